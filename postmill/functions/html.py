@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Elements whose text is no page text.
 HIDDEN = frozenset({"script", "style", "template"})
@@ -66,7 +67,7 @@ def fragment_text(raw: str) -> str:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _html_to_text(raw: pd.Series) -> pd.Series:
     return raw.map(fragment_text, na_action="ignore")
 

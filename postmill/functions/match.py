@@ -151,11 +151,11 @@ def near(phrases: Sequence[str], n: int = 10, cols=None) -> Column:
         def around(positions: Column) -> Column:
             groups = [positions[f"p{k}"] for k in range(len(wanted))]
 
+            def reaches(group: Column, size: int, last: Column) -> Column:
+                return F.exists(group, lambda s: (s <= last) & (s + size + n >= last))
+
             def holds(last: Column) -> Column:
-                return all_of([
-                    F.exists(g, lambda s, size=len(p): (s <= last) & (s + size + n >= last))
-                    for g, p in zip(groups, wanted)
-                ])
+                return all_of([reaches(g, len(p), last) for g, p in zip(groups, wanted)])
 
             return F.exists(F.concat(*groups), holds)
 

@@ -7,6 +7,7 @@ overwrites its own, so the result does not depend on how often it ran.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -27,16 +28,17 @@ def read_version(spark: SparkSession, path: str, version: int, schema) -> DataFr
         return spark.createDataFrame([], schema)
 
 
-def latest_version(spark: SparkSession, path: str, query: StreamingQuery | None = None) -> int:
+def latest_version(spark: SparkSession, path: str) -> int:
     """Newest written version, -1 without any."""
     try:
-        versions = spark.read.text(f"{path}/v=*/_SUCCESS", wholetext=True)
+        files = spark.read.parquet(path).inputFiles()
     except AnalysisException:
         return -1
-    from pyspark.sql import functions as F
+    return max((int(m[1]) for f in files if (m := re.search(r"/v=(\d+)/", f))), default=-1)
 
-    at = F.regexp_extract(F.col("_metadata.file_path"), r"/v=(\d+)/", 1).cast("int")
-    return versions.agg(F.max(at)).head()[0]
+
+def read_latest(spark: SparkSession, path: str, schema) -> DataFrame:
+    return read_version(spark, path, latest_version(spark, path), schema)
 
 
 def fold_stream(
