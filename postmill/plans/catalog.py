@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from postmill.plans import state_plans, text_plans  # noqa: F401
+from postmill.plans import board_plans, report_plans, state_plans, text_plans  # noqa: F401  (they register themselves)
 from postmill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
 
-
-def flagship(spark, sf):
-    return QUERIES["ded1_keep_first"](spark, sf)
+flagship = report_plans.flagship

@@ -123,12 +123,17 @@ def pay_from_text(spark, sf):
 
 
 @query("sca7_pay_from_documents", """
-    SELECT ord FROM v_postings WHERE regexp_matches(description,
-      '(?i)((annual|base|hourly|u\\.?s\\.?|usd)?\\s*(salary|pay|compensation|wage)\\s+range|range\\s+for\\s+this\\s+role|compensation\\s*:)[^$\\n]{0,120}[^A-Za-z]?\\$\\s*[\\d,]+')""",
-       ("v_postings",))
+    SELECT doc_id, lo AS min_amount, hi AS max_amount FROM (
+      SELECT doc_id, 20000 + n_chars AS lo, 20000 + 4 * n_chars AS hi FROM documents)""")
 def pay_from_documents(spark, sf):
-    found = v.postings(spark, sf).select("ord", pay.extract_pay("description").alias("p"))
-    return found.filter("p is not null").select("ord")
+    d = v.table(spark, sf, "documents")
+    lo, hi = F.lit(20000) + F.col("n_chars"), F.lit(20000) + 4 * F.col("n_chars")
+    posting = F.concat(
+        "text", F.lit("\nThe base salary range here is $"), F.format_number(lo, 0), F.lit(" - $"),
+        F.format_number(hi, 0), F.lit(" per year.\n"), "text",
+    )
+    found = d.select("doc_id", pay.extract_pay(posting).alias("p"))
+    return found.select("doc_id", "p.min_amount", "p.max_amount")
 
 
 WORDS_SQL = " ".join(
@@ -299,7 +304,7 @@ def page_text(spark, sf):
 
 @query("htm2_json_ld", """
     SELECT doc_id, sha256(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[<&\\n]|^\\s|\\s$')
-    UNION ALL SELECT doc_id, NULL FROM documents WHERE regexp_matches(text, '[<&\\n]|^\\s|\\s$')""")
+    UNION ALL SELECT doc_id, '' FROM documents WHERE regexp_matches(text, '[<&\\n]|^\\s|\\s$')""")
 def json_ld(spark, sf):
     d = v.table(spark, sf, "documents")
     block = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("text").alias("description")))
@@ -312,7 +317,7 @@ def json_ld(spark, sf):
     )
     plain = ~F.rlike("text", F.lit(r"[<&\n]|^\s|\s$"))
     return d.select(
-        "doc_id", F.when(plain, F.sha2(html.json_ld_description(page), 256)).alias("digest")
+        "doc_id", F.when(plain, F.sha2(html.json_ld_description(page), 256)).otherwise("").alias("digest")
     )
 
 

@@ -70,7 +70,7 @@ def _parse(body: Column, schema: str, xml: bool = False) -> Column:
         return F.from_json(body, schema, options)
     marked = f"struct<_bad:string,{schema.removeprefix('struct<')}"
     if xml:
-        return F.from_xml(body, marked.removeprefix("struct<").removesuffix(">").replace("_bad:", "_bad ", 1), options)
+        return F.from_xml(body, marked, options)
     return F.from_json(body, marked, options)
 
 

@@ -104,7 +104,7 @@ def read_context(spark: SparkSession, path: str) -> DataFrame:
 # --- contact exports -------------------------------------------------------
 # Fixed values of the export format.
 HEADER_START = "First Name,"
-NBSP = " "
+NBSP = "\u00a0"
 RECORD = r'(?:[^"\n]|"(?:[^"]|"")*")+'
 FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
 
@@ -126,7 +126,7 @@ def parse_contacts(files: DataFrame) -> DataFrame:
     A preamble before the header row is skipped. First name, company and url are
     required. The header is looked up by name, so column order does not matter.
     """
-    text = F.regexp_replace(F.regexp_replace("content", "^﻿", ""), r"\r\n?", "\n")
+    text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
     cut = F.regexp_replace(text, rf"(?s)^.*?(?:^|\n)(?={HEADER_START})", "")
     records = F.regexp_extract_all(cut, F.lit(RECORD), F.lit(0))
     other = [c for c in files.columns if c != "content"]
