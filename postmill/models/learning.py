@@ -88,6 +88,7 @@ def active_learning(
     A cold start is one without training rows before the forced ones. Rows the
     provider does not label stay unscored and may be picked again.
     """
+    universe = materialise(universe, "universe")
     cold = training.isEmpty()
     last = training.agg(F.max("round")).head()[0]
     step = {"round": 0 if last is None else last + 1}

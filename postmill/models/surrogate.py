@@ -170,7 +170,7 @@ def fit_surrogate(
     max_chars: int | None = None, **features,
 ) -> Surrogate:
     """Fit both heads on EXAMPLE rows taken in the order ``order_by``."""
-    placed = materialise(with_position(examples, order_by, "ordinal", start=0), "examples")
+    placed = with_position(examples, order_by, "ordinal", start=0)
     n = placed.count()
     if n == 0:
         raise ValueError("no training examples")

@@ -68,7 +68,7 @@ def _parse(body: Column, schema: str, xml: bool = False) -> Column:
     options = {"columnNameOfCorruptRecord": "_bad"}
     if schema.startswith("array"):
         return F.from_json(body, schema, options)
-    marked = f"struct<_bad:string,{schema.removeprefix('struct<')}"
+    marked = schema.removesuffix(">") + ",_bad:string>"
     if xml:
         return F.from_xml(body, marked, options)
     return F.from_json(body, marked, options)
