@@ -5,6 +5,9 @@ diacritics do not count. Terms, phrases, prefixes and anchored terms compile to
 one regular expression that scans the stored text where it lies, so no token
 array is built or shuffled; only proximity needs token positions, and those are
 computed for rows that already hold every phrase.
+
+Plain ASCII text, which one length comparison detects, is scanned with a short
+expression of single-byte classes; other text with the full one.
 """
 
 from __future__ import annotations
@@ -22,9 +25,7 @@ COLUMNS = ("title", "description", "company", "location")
 # The characters of a token, and the marks ignored inside one.
 MARKS = r"\x{300}-\x{36F}"
 WORD = rf"\p{{L}}\p{{N}}\p{{Co}}{MARKS}"
-NOT_AFTER_WORD = rf"(?<![{WORD}])"
-NOT_BEFORE_WORD = rf"(?![{WORD}])"
-GAP = rf"[^{WORD}]+"
+ASCII_WORD = "a-zA-Z0-9"
 TOKEN = rf"[{WORD}]+"
 
 
@@ -46,12 +47,38 @@ def _variants() -> dict[str, str]:
     return {base: "".join(chars) for base, chars in found.items()}
 
 
-def _char_class(char: str) -> str:
-    options = {char, *_variants().get(char, "")}
-    if len(char.upper()) == 1:
-        options.add(char.upper())
-    members = "".join(sorted(options))
-    return f"[{members}][{MARKS}]*" if char.isalpha() else f"[{members}]"
+def _ranges(chars: set[str]) -> str:
+    """Members of a character class, neighbours joined to ranges."""
+    codes, out = sorted(ord(c) for c in chars), []
+    for code in codes:
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def _cases(char: str) -> set[str]:
+    return {char, char.upper()} if len(char.upper()) == 1 else {char}
+
+
+def _char_class(char: str, ascii_text: bool) -> str:
+    """One folded character: in ASCII text its cases, else all its variants.
+
+    A variant outside ASCII is looked for only where the text has one.
+    """
+    cases = _cases(char)
+    if ascii_text:
+        return f"[{_ranges(cases)}]"
+    variants = cases | set(_variants().get(char, ""))
+    plain, other = {c for c in variants if c < "\x80"}, {c for c in variants if c >= "\x80"}
+    if not plain:
+        body = f"[{_ranges(other)}]"
+    elif not other:
+        body = f"[{_ranges(plain)}]"
+    else:
+        body = rf"(?:[{_ranges(plain)}]|(?=[^\x00-\x7F])[{_ranges(other)}])"
+    return f"{body}[{MARKS}]*" if char.isalpha() else body
 
 
 def fold_tokens(text: str) -> list[str]:
@@ -63,8 +90,28 @@ def fold_tokens(text: str) -> list[str]:
     return marked.split()
 
 
-def _token_pattern(token: str) -> str:
-    return "".join(_char_class(c) for c in token)
+def _token_pattern(token: str, ascii_text: bool = False) -> str:
+    return "".join(_char_class(c, ascii_text) for c in token)
+
+
+def _pattern(tokens: list[str], prefix: bool, initial: bool, ascii_text: bool) -> str:
+    """Expression of adjacent tokens.
+
+    The look behind for a token start comes after the first character, so most
+    positions are left after one class test.
+    """
+    word = ASCII_WORD if ascii_text else WORD
+    parts = [_token_pattern(t, ascii_text) for t in tokens]
+    first = _char_class(tokens[0][0], ascii_text).removesuffix(f"[{MARKS}]*")
+    if initial:
+        parts[0] = f"^[^{word}]*{parts[0]}"
+    else:
+        parts[0] = f"{first}(?<![{word}]{first}){parts[0].removeprefix(first)}"
+    return f"[^{word}]+".join(parts) + ("" if prefix else f"(?![{word}])")
+
+
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
 
 
 def _resolve(cols: str | Iterable[str] | None) -> tuple[str, ...]:
@@ -81,24 +128,24 @@ def excluding(*cols: str) -> tuple[str, ...]:
     return tuple(c for c in COLUMNS if c not in dropped)
 
 
-def _any_column(cols, pattern: str) -> Column:
-    hits = [F.rlike(F.coalesce(F.col(c), F.lit("")), F.lit(pattern)) for c in _resolve(cols)]
-    return reduce(or_, hits)
-
-
 def phrase(text: str, cols=None, *, prefix: bool = False, initial: bool = False) -> Column:
     """Adjacent tokens inside one column.
 
     ``prefix`` lets the last token be the start of a longer one; ``initial``
     asks the phrase to open its column. A phrase without tokens matches nothing.
     """
-    tokens = fold_tokens(text)
+    names, tokens = _resolve(cols), fold_tokens(text)
     if not tokens:
-        _resolve(cols)
         return F.lit(False)
-    body = GAP.join(_token_pattern(t) for t in tokens)
-    start = rf"^[^{WORD}]*" if initial else NOT_AFTER_WORD
-    return _any_column(cols, start + body + ("" if prefix else NOT_BEFORE_WORD))
+    full = _pattern(tokens, prefix, initial, False)
+    plain = _pattern(tokens, prefix, initial, True) if "".join(tokens).isascii() else None
+
+    def found(name: str) -> Column:
+        c = F.coalesce(F.col(name), F.lit(""))
+        in_plain = F.rlike(c, F.lit(plain)) if plain is not None else F.lit(False)
+        return F.when(is_ascii(c), in_plain).otherwise(F.rlike(c, F.lit(full)))
+
+    return any_of([found(n) for n in names])
 
 
 def term(text: str, cols=None) -> Column:

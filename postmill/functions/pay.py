@@ -22,7 +22,9 @@ ANCHOR = (
 )
 AMOUNT = r"(?<![A-Za-z])\$\s*([\d,]+(?:\.\d+)?)\s*([KkMm]?)"
 SEPARATOR = r"\s*(?:-|–|to)\s*"
-RANGE_IN_TEXT = rf"(?iU){ANCHOR}[^$\n]{{0,120}}{AMOUNT}\$?{SEPARATOR}{AMOUNT}"
+RANGE_IN_ASCII = rf"(?i){ANCHOR}[^$\n]{{0,120}}{AMOUNT}\$?{SEPARATOR}{AMOUNT}"
+RANGE_IN_TEXT = RANGE_IN_ASCII.replace("(?i)", "(?iU)", 1)
+ANCHOR_PARTS = ("range", "compen")  # every anchor holds one of them
 TEXT_WINDOW = 60
 TEXT_INTERVALS = (
     ("hourly", ("an hour", "per hour", "/hr", "/hour", "hourly")),
@@ -211,9 +213,15 @@ def extract_pay(text: Column | str) -> Column:
         )
         return F.when(valid, pay_struct(lo, hi, F.lit("USD"), every))
 
-    return F.when(
-        F.contains(t, F.lit("$")), _once(F.regexp_extract(t, RANGE_IN_TEXT, 0), found)
-    ).otherwise(F.lit(None).cast(PAY_DDL))
+    folded = F.lower(t)
+    anchored = F.contains(folded, F.lit(ANCHOR_PARTS[0])) | F.contains(folded, F.lit(ANCHOR_PARTS[1]))
+    ascii_text = F.octet_length(t) == F.char_length(t)
+    matched = F.when(ascii_text, F.regexp_extract(t, RANGE_IN_ASCII, 0)).otherwise(
+        F.regexp_extract(t, RANGE_IN_TEXT, 0)
+    )
+    return F.when(F.contains(t, F.lit("$")) & anchored, _once(matched, found)).otherwise(
+        F.lit(None).cast(PAY_DDL)
+    )
 
 
 def summary_pay(summary: Column) -> tuple[Column, Column]:

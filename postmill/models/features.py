@@ -25,6 +25,7 @@ DESC_FEATURES = 1300
 # Token pattern and default stop words. Pass another list to
 # ``fit_features`` to use it instead.
 TOKEN = r"[\p{L}\p{N}_]+"
+ASCII_TOKEN = "[a-z0-9_]+"
 STOP_WORDS = tuple(
     """a about above after again against all am an and any are as at be because
     been before being below between both but by can did do does doing don down
@@ -38,6 +39,10 @@ STOP_WORDS = tuple(
 )
 
 
+RARE = "\u0001"  # stands for a rare word; no token holds it
+KEPT_TIES = 2_000  # words tied with the k-th best that are kept before pruning is given up
+
+
 def posting_texts(postings: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(hash, meta, body) of postings. The body is whole unless clipped."""
     pay = format_pay("compensation", "compensation_raw")
@@ -57,18 +62,27 @@ def example_texts(
     )
 
 
-def tokens(text: Column | str, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-case word tokens in order, stop words removed."""
-    c = F.col(text) if isinstance(text, str) else text
-    found = F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+def _listed(words: Sequence[str]) -> str:
+    """Words as an SQL list; one parsed text instead of one call per word."""
+    return ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+
+
+def with_tokens(df: DataFrame, text: str, name: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Adds lower-case word tokens in order, stop words removed."""
+    folded = F.lower(text)
+    found = F.when(
+        F.octet_length(text) == F.char_length(text),
+        F.regexp_extract_all(folded, F.lit(ASCII_TOKEN), F.lit(0)),
+    ).otherwise(F.regexp_extract_all(folded, F.lit(TOKEN), F.lit(0)))
+    out = df.withColumn(name, found)
     if not stop_words:
-        return found
-    return F.filter(found, lambda t: ~t.isin(*stop_words))
+        return out
+    return out.withColumn(name, F.expr(f"filter({name}, t -> t not in ({_listed(stop_words)}))"))
 
 
 def with_terms(df: DataFrame, text: str, name: str, stop_words: Sequence[str]) -> DataFrame:
     """Adds the array of 1-, 2- and 3-grams of a text column."""
-    out = df.withColumn("_t1", tokens(text, stop_words))
+    out = with_tokens(df, text, "_t1", stop_words)
     for n in (2, 3):
         out = NGram(n=n, inputCol="_t1", outputCol=f"_t{n}").transform(out)
     return out.withColumn(name, F.concat("_t1", "_t2", "_t3")).drop("_t1", "_t2", "_t3")
@@ -79,10 +93,36 @@ def term_counts(df: DataFrame, terms: str) -> DataFrame:
     return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def top_terms(df: DataFrame, terms: str, k: int) -> list[str]:
-    """The k most frequent terms, ties by term; a bounded list of k strings."""
-    best = term_counts(df, terms).orderBy(F.desc("n"), F.asc("term")).limit(k)
-    return [r.term for r in best.collect()]
+def _best(counted: DataFrame, k: int) -> list[tuple[str, int]]:
+    """The k most frequent of (term, n) rows, ties by term: k rows at most."""
+    return [(r.term, r.n) for r in counted.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()]
+
+
+def top_terms(df: DataFrame, text: str, k: int, stop_words: Sequence[str], prune: bool) -> list[str]:
+    """The k most frequent 1- to 3-grams of a text column, ties by term.
+
+    An n-gram is at most as frequent as each of its words. So, once the k-th
+    best count of single words is known, longer terms with a rarer word cannot
+    be among the best, and are not even formed: the result is exact, and the
+    shuffle carries the frequent terms instead of nearly every n-gram.
+    ``prune=False`` saves that first count on small tables.
+    """
+    if not prune:
+        return [t for t, _ in _best(term_counts(with_terms(df, text, "_terms", stop_words), "_terms"), k)]
+    words = with_tokens(df, text, "_t1", stop_words).select("_t1")
+    single = _best(term_counts(words, "_t1"), k + KEPT_TIES)
+    floor = single[k - 1][1] if len(single) >= k else 0
+    frequent = [t for t, n in single if n >= floor]
+    if floor == 0 or (len(single) == k + KEPT_TIES and single[-1][1] >= floor):
+        return top_terms(df, text, k, stop_words, False)
+    known = f"transform(_t1, t -> if(t in ({_listed(frequent)}), t, '{RARE}'))"
+    marked = words.select(F.expr(known).alias("_t1"))
+    for n in (2, 3):
+        marked = NGram(n=n, inputCol="_t1", outputCol=f"_t{n}").transform(marked)
+    longer = F.filter(F.concat("_t2", "_t3"), lambda g: ~F.contains(g, F.lit(RARE)))
+    best = _best(term_counts(marked.select(longer.alias("g")), "g"), k)
+    both = sorted(single[:k] + best, key=lambda x: (-x[1], x[0].encode()))
+    return [t for t, _ in both[:k]]
 
 
 def literal_array(values: Sequence[float]) -> Column:
@@ -168,12 +208,12 @@ def _block_counts(
 
 def fit_features(
     texts: DataFrame, meta_k: int = META_FEATURES, desc_k: int = DESC_FEATURES,
-    stop_words: Sequence[str] = STOP_WORDS,
+    stop_words: Sequence[str] = STOP_WORDS, prune: bool = True,
 ) -> Features:
     """Vocabulary and smoothed idf over (hash, meta, body) rows."""
     stop = tuple(stop_words)
     vocabulary = {
-        text: tuple(top_terms(with_terms(texts.select(text), text, "_terms", stop), "_terms", k))
+        text: tuple(top_terms(texts.select(text), text, k, stop, prune))
         for text, k in (("meta", meta_k), ("body", desc_k))
     }
     counted = _block_counts(texts, vocabulary["meta"], vocabulary["body"], stop)

@@ -158,6 +158,17 @@ def _basis(gram: np.ndarray, width: int) -> tuple[float, np.ndarray, np.ndarray,
     return n, mean, v[:, keep], s[keep]
 
 
+def row_basis(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvectors and positive eigenvalues of x'x, by its smaller side."""
+    rows, columns = x.shape
+    if not columns:
+        return np.zeros((0, 0)), np.zeros(0)
+    s, u = np.linalg.eigh(x.T @ x if columns <= rows else x @ x.T)
+    keep = s > max(s.max(initial=0.0), 0.0) * max(rows, columns) * np.finfo(float).eps
+    s, u = s[keep], u[:, keep]
+    return (u, s) if columns <= rows else (x.T @ (u / np.sqrt(s)), s)
+
+
 def loo_errors(
     x: np.ndarray, y: np.ndarray, n: float, mean: np.ndarray, v: np.ndarray,
     s: np.ndarray, projected: np.ndarray, centres: np.ndarray,
@@ -209,9 +220,7 @@ def fit_by_loo(rows: DataFrame, n: int, width: int, n_targets: int, heads: int)
         a = augmented(pdf, width)
         x, y = a[:, :width], a[:, width + 1 : width + 1 + heads]
         mean, centres = x.mean(axis=0), y.mean(axis=0)
-        u, d, vt = np.linalg.svd(x - mean, full_matrices=False)
-        keep = d > d.max(initial=0.0) * max(x.shape) * np.finfo(float).eps
-        v, s = vt[keep].T, d[keep] ** 2
+        v, s = row_basis(x - mean)
         projected = v.T @ ((x - mean).T @ (y - centres))
         errors = loo_errors(x, y, len(x), mean, v, s, projected, centres)
         return _models(_chosen(errors, mean, v, s, projected, centres))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.models.features import Features, dot, example_texts, fit_features, posting_texts
-from postmill.models.ridge import fit_by_loo, fit_weighted
+from postmill.models.ridge import TASK_ROWS, fit_by_loo, fit_weighted
 from postmill.operators.ranking import spearman, top_n, with_position
 from postmill.session import materialise
 
@@ -179,7 +179,7 @@ def fit_surrogate(
         combined_target("interest_score", "fit_score"),
     )
     texts = example_texts(placed.withColumn("ys", ys), max_chars, ("ordinal", "ys"))
-    fitted = fit_features(texts, **features)
+    fitted = fit_features(texts, prune=n > TASK_ROWS, **features)
     rows = materialise(
         fitted.transform(texts).select(
             "ordinal", "ys", "features",

@@ -46,6 +46,11 @@ def fea_sql(rows: str, fitted_on: str = "TRUE", meta_k: int = 700, desc_k: int =
     weights AS (SELECT hash, block, term, w / sqrt(sum(w * w) OVER (PARTITION BY hash, block)) AS w FROM raw)"""
 
 
+def stored(spark, sf):
+    """The posting store as a written table: fitting reads it several times."""
+    return materialise(v.store(spark, sf), "store")
+
+
 STORE_TEXTS = f"SELECT hash, {META_SQL} AS meta, description AS body FROM v_store"
 
 
@@ -53,7 +58,7 @@ STORE_TEXTS = f"SELECT hash, {META_SQL} AS meta, description AS body FROM v_stor
     SELECT ord, len(t) AS n, sha256(array_to_string(t, ' ')) AS digest
     FROM (SELECT ord, {tokens_sql('description')} AS t FROM v_postings)""", ("v_postings",))
 def tokens(spark, sf):
-    t = v.postings(spark, sf).select("ord", fe.tokens("description").alias("t"))
+    t = fe.with_tokens(v.postings(spark, sf).select("ord", "description"), "description", "t")
     return t.select("ord", F.size("t").cast("bigint").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("digest"))
 
 
@@ -69,13 +74,13 @@ def ngrams(spark, sf):
     SELECT term, count(*) AS n FROM (SELECT unnest(t) AS term
       FROM (SELECT {tokens_sql('description')} AS t FROM v_postings)) GROUP BY term""", ("v_postings",))
 def term_totals(spark, sf):
-    t = v.postings(spark, sf).select(fe.tokens("description").alias("t"))
+    t = fe.with_tokens(v.postings(spark, sf).select("description"), "description", "t")
     return fe.term_counts(t, "t")
 
 
 @query("fea3_vocabulary", fea_sql(STORE_TEXTS) + " SELECT block, term FROM vocabulary", ("v_store",))
 def vocabulary(spark, sf):
-    fitted = fe.fit_features(fe.posting_texts(v.store(spark, sf)))
+    fitted = fe.fit_features(fe.posting_texts(stored(spark, sf)))
     return spark.createDataFrame(
         [(0, t) for t in fitted.meta_vocabulary] + [(1, t) for t in fitted.body_vocabulary], "block int, term string"
     )
@@ -93,7 +98,7 @@ def long_form(spark, fitted: fe.Features, texts):
 
 @query("fea4_weights", fea_sql(STORE_TEXTS) + " SELECT hash, block, term, round(w, 6) AS w FROM weights", ("v_store",))
 def weights(spark, sf):
-    texts = fe.posting_texts(v.store(spark, sf))
+    texts = fe.posting_texts(stored(spark, sf))
     return long_form(spark, fe.fit_features(texts), texts)
 
 
@@ -101,7 +106,7 @@ def weights(spark, sf):
     f"SELECT hash, {META_SQL} AS meta, description AS body, location FROM v_store", "location <> 'en'")
     + " SELECT hash, block, term, round(w, 6) AS w FROM weights", ("v_store",))
 def unseen_rows(spark, sf):
-    p = v.store(spark, sf)
+    p = stored(spark, sf)
     fitted = fe.fit_features(fe.posting_texts(p.filter("location <> 'en'")))
     return long_form(spark, fitted, fe.posting_texts(p))
 
@@ -122,14 +127,14 @@ def reference_text(spark, sf) -> str:
 
 @query("sim1_similarity", SIMILARITY_SQL + " SELECT hash, round(similarity, 6) AS similarity FROM likeness", ("v_store",))
 def similarity(spark, sf):
-    scored = fe.similarity(v.store(spark, sf), reference_text(spark, sf))
+    scored = fe.similarity(stored(spark, sf), reference_text(spark, sf))
     return scored.select("hash", F.round("similarity", 6).alias("similarity"))
 
 
 @query("sim1_seed", SIMILARITY_SQL + """ SELECT hash, round(similarity, 6) AS similarity FROM likeness
     ORDER BY likeness.similarity DESC, hash LIMIT 100""", ("v_store",))
 def seed(spark, sf):
-    chosen = fe.seed_by_similarity(v.store(spark, sf), reference_text(spark, sf), 100)
+    chosen = fe.seed_by_similarity(stored(spark, sf), reference_text(spark, sf), 100)
     return chosen.select("hash", F.round("similarity", 6).alias("similarity"))
 
 
@@ -137,7 +142,7 @@ def seed(spark, sf):
 
 
 def training(spark, sf):
-    return to_examples(v.store(spark, sf), v.scores(spark, sf))
+    return to_examples(stored(spark, sf), v.scores(spark, sf))
 
 
 def trained(spark, sf, **options):
@@ -197,18 +202,18 @@ def chosen_alpha(spark, sf):
 
 @query("mod2_mod6_predictions")
 def predictions(spark, sf):
-    return trained(spark, sf).predict(v.store(spark, sf))
+    return trained(spark, sf).predict(stored(spark, sf))
 
 
 @query("mod3_mod4_agg7_disagreement")
 def disagreement(spark, sf):
-    p = v.store(spark, sf)
+    p = stored(spark, sf)
     return trained(spark, sf).by_disagreement(p, 10)
 
 
 @query("mod5_select_by_score")
 def select_by_score(spark, sf):
-    return trained(spark, sf).by_score(v.store(spark, sf), 10)
+    return trained(spark, sf).by_score(stored(spark, sf), 10)
 
 
 @query("mod7_cv_metrics")
@@ -221,7 +226,7 @@ def cv_metrics(spark, sf):
 
 def all_scores(spark, sf):
     """Labels where there are any, else scores that follow from the text."""
-    p = v.store(spark, sf)
+    p = stored(spark, sf)
     derived = p.select(
         "hash", F.pmod(F.xxhash64("hash"), F.lit(101)).cast("int").alias("i"),
         F.pmod(F.length("description"), F.lit(101)).cast("int").alias("f"),
@@ -232,7 +237,7 @@ def all_scores(spark, sf):
 
 
 def loop(spark, sf, warm: bool, **options):
-    p = v.store(spark, sf)
+    p = stored(spark, sf)
     universe, forced = select_universe(p, match.any_of([match.term("the"), match.term("de")]), match.term("avec"))
     before = learning.empty_training(spark)
     if warm:

@@ -126,7 +126,7 @@ def pay_from_text(spark, sf):
     SELECT doc_id, lo AS min_amount, hi AS max_amount FROM (
       SELECT doc_id, 20000 + n_chars AS lo, 20000 + 4 * n_chars AS hi FROM documents)""")
 def pay_from_documents(spark, sf):
-    d = v.table(spark, sf, "documents")
+    d = v.texts(spark, sf, "documents")
     lo, hi = F.lit(20000) + F.col("n_chars"), F.lit(20000) + 4 * F.col("n_chars")
     posting = F.concat(
         "text", F.lit("\nThe base salary range here is $"), F.format_number(lo, 0), F.lit(" - $"),
@@ -298,7 +298,7 @@ PAGE_TEXT_SQL = r"""
 
 @query("htm1_page_text", PAGE_TEXT_SQL.replace("{ws}", v.WS))
 def page_text(spark, sf):
-    pages = v.table(spark, sf, "pages")
+    pages = v.texts(spark, sf, "pages")
     return pages.select("page_id", html.html_to_text("html").alias("page_text"))
 
 
@@ -306,7 +306,7 @@ def page_text(spark, sf):
     SELECT doc_id, sha256(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[<&\\n]|^\\s|\\s$')
     UNION ALL SELECT doc_id, '' FROM documents WHERE regexp_matches(text, '[<&\\n]|^\\s|\\s$')""")
 def json_ld(spark, sf):
-    d = v.table(spark, sf, "documents")
+    d = v.texts(spark, sf, "documents")
     block = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("text").alias("description")))
     escaped = F.replace(block, F.lit("</"), F.lit("<\\/"))
     page = F.concat(

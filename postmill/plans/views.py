@@ -6,6 +6,8 @@ expressions, so a registered query and its SQL read the same rows.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,25 @@ AS_OF = "2026-04-19T12:00:00"
 EVENTS_AS_OF = 1706572800.0  # 2024-01-30T00:00:00
 
 WS = WHITESPACE
+SPREAD_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts.
+
+    A single small file is one scan task; its rows are then spread over the
+    cores. A table of many files is read as it is.
+    """
+    df, path = table(spark, sf, name), f"{sf}/{name}.parquet"
+    if os.path.isfile(path) and os.path.getsize(path) > SPREAD_BYTES:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
 def sql_hash(title: str, company: str, description: str) -> str:
     text = f"{title} || chr(10) || {company} || chr(10) || {description}"
     return f"sha256(trim(lower({text}), '{WS}'))"
@@ -30,7 +45,7 @@ def sql_hash(title: str, company: str, description: str) -> str:
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as postings; pay, stamps and urls follow from their numbers."""
-    d = table(spark, sf, "documents")
+    d = texts(spark, sf, "documents")
     n, size = F.col("doc_id"), F.col("n_chars")
     kind = n % 4
     amount = pay_struct(

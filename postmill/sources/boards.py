@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.dates import date_prefix, epoch_millis_date, feed_date, utc_date
 from postmill.functions.html import html_or_blank, html_to_text, json_ld_description
@@ -25,6 +26,7 @@ from postmill.functions.text import first_non_empty, job_hash, join_non_empty, n
 from postmill.operators.dedup import first_per_key
 from postmill.operators.enrich import with_sources
 from postmill.schema import PAY_DDL, PAYLOAD_TTL_SECONDS, POSTING_FIELDS
+from postmill.session import materialise
 
 ITEM_BITS = 24  # items of one payload share the low bits of ``ord``
 
@@ -62,6 +64,7 @@ class Board:
     unique: str | None = None
     keep: Callable[[], Column] | None = None
     xml: bool = False
+    keeps_listing: bool = False
 
 
 def _parse(body: Column, schema: str, xml: bool = False) -> Column:
@@ -406,13 +409,69 @@ BOARDS: dict[str, Board] = {
         "struct<jobs:array<struct<id:string,title:string,listed:boolean,ats_job:struct<"
         f"job_description:string,ats_department:{NAMED},offices:array<struct<location:string>>,"
         "workplace:string,employment_type:string>>>,refs:map<string,string>>",
-        _kula, items="jobs", keep=lambda: F.coalesce(F.col("j")["listed"], F.lit(True)),
+        _kula, items="jobs", keeps_listing=True, keep=lambda: F.coalesce(F.col("j")["listed"], F.lit(True)),
     ),
 }
 
 
-def _error(text: str) -> list[Column]:
-    return [F.col("source"), F.concat(F.lit(text), F.lit(" "), F.col("request_key")).alias("error")]
+def _item_type(board: Board, listings: DataFrame) -> T.DataType:
+    """Type of one listing item, as the body schema has it."""
+    column = "listing" if board.items is None else f"listing.{board.items}"
+    return listings.select(F.col(column).alias("j")).schema["j"].dataType.elementType
+
+
+def _listed(board: Board, mine: DataFrame) -> DataFrame:
+    """One row per listing item, and one row with an error per broken body.
+
+    A broken body of a lenient platform only loses its own items.
+    """
+    listings = mine.filter("kind = 'listing'").withColumn(
+        "listing", _parse(F.col("body"), board.listing, board.xml)
+    )
+    bad = _malformed("listing", board.listing)
+    items = F.col("listing") if board.items is None else F.col(f"listing.{board.items}")
+    element = _item_type(board, listings)
+    entry = T.StructType([
+        T.StructField("error", T.StringType()), T.StructField("at", T.IntegerType()),
+        T.StructField("j", element),
+    ])
+    error = F.concat(F.lit("malformed listing "), "request_key")
+    fatal = F.lit(board.strict)
+    if board.first_page is not None:
+        fatal = F.contains("request_key", F.lit(board.first_page))
+    broken = F.array(F.struct(error.alias("error"), F.lit(-1).alias("at"), F.lit(None).cast(element).alias("j")))
+    good = F.transform(
+        items, lambda j, at: F.struct(F.lit(None).cast("string").alias("error"), at.alias("at"), j.alias("j"))
+    )
+    rows = F.when(bad & fatal, broken.cast(T.ArrayType(entry))).when(~bad, good.cast(T.ArrayType(entry)))
+    carried = ["source", "slug", "name", "extra", "ord"]
+    if board.keeps_listing:
+        carried.append("listing")
+    out = listings.select(*carried, F.explode(rows).alias("r")).select(*carried, "r.error", "r.at", "r.j")
+    return out.withColumn("ord", F.shiftleft("ord", ITEM_BITS) + F.col("at")).drop("at")
+
+
+def _with_details(board: Board, rows: DataFrame, mine: DataFrame) -> DataFrame:
+    """Listing items with their detail; a strict platform needs every one."""
+    details = mine.filter(F.col("kind") == board.detail_kind).select(
+        "source", "request_key", F.col("body").alias("detail_body")
+    )
+    if board.detail is not None:
+        details = details.withColumn("d", _parse(F.col("detail_body"), board.detail))
+        bad = F.col("detail_body").isNotNull() & _malformed("d", board.detail)
+    else:
+        bad = F.lit(False)
+    joined = rows.withColumn("request_key", _item_text(board.detail_key)).join(
+        details, ["source", "request_key"], "left"
+    )
+    if not board.strict:
+        if board.detail is not None:
+            joined = joined.withColumn("d", F.when(~bad, F.col("d")))
+        return joined
+    failed = F.when(F.col("detail_body").isNull(), "missing detail ").when(bad, "malformed detail ")
+    return joined.withColumn(
+        "error", F.coalesce("error", F.concat(failed, "request_key"))
+    )
 
 
 def normalize(
@@ -421,7 +480,8 @@ def normalize(
     """(postings, errors) of one platform.
 
     ``errors`` has one row per failed source, and a failed source contributes no
-    postings at all.
+    postings at all. Bodies are parsed in one pass whose rows, good and failed,
+    are stored before they are separated.
     """
     board = BOARDS.get(platform)
     if board is None:
@@ -429,69 +489,27 @@ def normalize(
     mine = with_sources(payloads.filter(F.col("platform") == platform), sources, None).withColumn(
         "source", F.concat(F.lit(f"{platform}:"), "slug")
     )
-    listings = mine.filter("kind = 'listing'").withColumn(
-        "listing", _parse(F.col("body"), board.listing, board.xml)
-    )
-    broken = listings.filter(_malformed("listing", board.listing))
-    if board.first_page is not None:
-        broken = broken.filter(F.contains("request_key", F.lit(board.first_page)))
-    elif not board.strict:
-        broken = broken.filter(F.lit(False))
-    failures = [broken.select(*_error("malformed listing"))]
-
-    items = F.col("listing") if board.items is None else F.col(f"listing.{board.items}")
-    carried = ["source", "slug", "name", "extra", "ord"]
-    if platform == "kula":
-        carried.append("listing")
-    rows = (
-        listings.filter(~_malformed("listing", board.listing))
-        .select(*carried, F.posexplode(items).alias("at", "j"))
-        .withColumn("ord", F.shiftleft("ord", ITEM_BITS) + F.col("at"))
-        .drop("at")
-    )
+    rows = _listed(board, mine)
     if board.keep is not None:
-        rows = rows.filter(board.keep())
+        rows = rows.filter(F.col("error").isNotNull() | board.keep())
     if board.unique is not None:
         rows = first_per_key(
-            rows, [F.col("source"), _item_text(board.unique)], [F.col("ord")]
+            rows, [F.col("source"), F.col("error"), _item_text(board.unique)], [F.col("ord")]
         )
     if board.detail_key is not None:
-        rows, missing = _with_details(board, rows, mine)
-        failures += missing
-    postings = _project(board, rows)
-    errors = failures[0]
-    for more in failures[1:]:
-        errors = errors.unionByName(more)
-    errors = errors.groupBy("source").agg(F.min("error").alias("error"))
-    return postings.join(errors.select("source"), "source", "left_anti").select(
-        *POSTING_FIELDS
-    ), errors
-
-
-def _with_details(board: Board, rows: DataFrame, mine: DataFrame):
-    details = mine.filter(F.col("kind") == board.detail_kind).select(
-        "source", "request_key", F.col("body").alias("detail_body")
+        rows = _with_details(board, rows, mine)
+    parsed = materialise(_project(board, rows), "parsed")
+    errors = (
+        parsed.filter("error is not null").groupBy("source").agg(F.min("error").alias("error"))
     )
-    failures = []
-    if board.detail is not None:
-        details = details.withColumn("d", _parse(F.col("detail_body"), board.detail))
-        bad = _malformed("d", board.detail)
-        if board.strict:
-            failures.append(details.filter(bad).select(*_error("malformed detail")))
-        details = details.filter(~bad)
-    keyed = rows.withColumn("request_key", _item_text(board.detail_key))
-    joined = keyed.join(details, ["source", "request_key"], "left")
-    if board.strict:
-        failures.append(
-            joined.filter(F.col("detail_body").isNull()).select(*_error("missing detail"))
-        )
-    return joined, failures
+    postings = parsed.filter("error is null").join(errors.select("source"), "source", "left_anti")
+    return postings.select(*POSTING_FIELDS), errors
 
 
 def _project(board: Board, rows: DataFrame) -> DataFrame:
     columns = board.columns()
     from_text = columns.pop("pay_from_text", None) is not None
-    out = rows.select("source", F.col("name").alias("company"), "ord",
+    out = rows.select("error", "source", F.col("name").alias("company"), "ord",
                       *[c.alias(n) for n, c in columns.items()])
     if from_text:
         out = out.withColumn("compensation", extract_pay("description"))
