@@ -92,8 +92,8 @@ def long_form(spark, fitted: fe.Features, texts):
          for i, t in enumerate(fitted.meta_vocabulary + fitted.body_vocabulary)],
         "i int, block int, term string",
     )
-    rows = fitted.transform(texts).select("hash", F.explode("features").alias("f"))
-    return rows.select("hash", "f.i", F.round("f.w", 6).alias("w")).join(terms, "i").drop("i")
+    rows = fitted.transform(texts).select("hash", F.inline("features"))
+    return rows.select("hash", "i", F.round("w", 6).alias("w")).join(terms, "i").drop("i")
 
 
 @query("fea4_weights", fea_sql(STORE_TEXTS) + " SELECT hash, block, term, round(w, 6) AS w FROM weights", ("v_store",))
