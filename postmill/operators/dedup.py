@@ -71,15 +71,18 @@ def select_universe(
     if force is None:
         return unique.filter(kept).withColumn("only_forced", F.lit(False)), unique.filter(F.lit(False))
     forced = F.coalesce(force, F.lit(False))
-    flagged = unique.withColumn("only_forced", ~kept).withColumn("_forced", forced)
-    candidates = flagged.filter(~F.col("only_forced") | F.col("_forced")).drop("_forced")
-    # Rows of one hash: a matched row beats a forced one. Among matched rows the
-    # last value stands at the first place, among forced rows the first stays.
-    matched = last_value_first_position(candidates.filter(~F.col("only_forced")))
-    extra = first_per_key(
-        candidates.filter("only_forced"), [F.col("hash")], [F.col("ord")]
-    ).join(matched.select("hash"), "hash", "left_anti")
-    universe = matched.unionByName(extra)
+    candidates = unique.withColumns({"_kept": kept, "_forced": forced}).filter("_kept or _forced")
+    # Rows of one hash in one aggregation: the last matched row at the place of
+    # the first matched one, or else the first forced row.
+    rest = [c for c in df.columns if c not in ("hash", "ord")]
+    rank = F.struct(F.col("_kept"), F.when(F.col("_kept"), F.col("ord")).otherwise(-F.col("ord")))
+    merged = candidates.groupBy("hash").agg(
+        F.max_by(F.struct(*rest), rank).alias("_row"),
+        F.coalesce(F.min(F.when(F.col("_kept"), F.col("ord"))), F.min("ord")).alias("ord"),
+        (~F.max("_kept")).alias("only_forced"),
+    )
+    columns = {c: F.col("_row")[c].alias(c) for c in rest}
+    universe = merged.select(*[columns.get(c, F.col(c)) for c in df.columns], "only_forced")
     return universe, unique.filter(forced)
 
 

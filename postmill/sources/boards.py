@@ -453,25 +453,20 @@ def _listed(board: Board, mine: DataFrame) -> DataFrame:
 
 def _with_details(board: Board, rows: DataFrame, mine: DataFrame) -> DataFrame:
     """Listing items with their detail; a strict platform needs every one."""
-    details = mine.filter(F.col("kind") == board.detail_kind).select(
-        "source", "request_key", F.col("body").alias("detail_body")
-    )
-    if board.detail is not None:
-        details = details.withColumn("d", _parse(F.col("detail_body"), board.detail))
-        bad = F.col("detail_body").isNotNull() & _malformed("d", board.detail)
+    details = mine.filter(F.col("kind") == board.detail_kind)
+    keys = ["source", "request_key"]
+    if board.detail is None:
+        found = details.select(*keys, F.col("body").alias("detail_body"), F.lit(False).alias("_bad"))
     else:
-        bad = F.lit(False)
-    joined = rows.withColumn("request_key", _item_text(board.detail_key)).join(
-        details, ["source", "request_key"], "left"
-    )
+        # Only what the postings need is shuffled: the parsed body, not the text.
+        parsed = details.select(*keys, _parse(F.col("body"), board.detail).alias("d"))
+        bad = _malformed("d", board.detail)
+        found = parsed.select(*keys, F.when(~bad, F.col("d").dropFields("_bad")).alias("d"), bad.alias("_bad"))
+    joined = rows.withColumn("request_key", _item_text(board.detail_key)).join(found, keys, "left")
     if not board.strict:
-        if board.detail is not None:
-            joined = joined.withColumn("d", F.when(~bad, F.col("d")))
         return joined
-    failed = F.when(F.col("detail_body").isNull(), "missing detail ").when(bad, "malformed detail ")
-    return joined.withColumn(
-        "error", F.coalesce("error", F.concat(failed, "request_key"))
-    )
+    failed = F.when(F.col("_bad").isNull(), "missing detail ").when(F.col("_bad"), "malformed detail ")
+    return joined.withColumn("error", F.coalesce("error", F.concat(failed, "request_key")))
 
 
 def normalize(

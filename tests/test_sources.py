@@ -288,6 +288,13 @@ def test_pages(spark):
     assert [r["count"] for r in ranking.with_page(df, ["n"]).groupBy("page").count().orderBy("page").collect()] == [50, 50, 20]
 
 
+def test_late_pages_come_from_positions(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "TOP_ROWS", 60)
+    df = spark.range(120).withColumnRenamed("id", "n")
+    assert column(ranking.page(df, 1, [F.desc("n")]), "n") == list(range(69, 19, -1))
+    assert column(ranking.page(df, 2, [F.desc("n")]), "n") == list(range(19, -1, -1))
+
+
 def test_report_table_and_search(spark):
     df = postings(
         spark,
