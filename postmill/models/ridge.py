@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TASK_ROWS = 10_000
+MODEL_PARTS = 32
 ALPHAS = np.logspace(-2, 2, 50)
 
 MODEL_SCHEMA = "model int, target int, alpha double, intercept double, weights array<double>"
@@ -140,7 +141,9 @@ def fit_weighted(
         return table(int(pdf["model"].iloc[0]), fitted)
 
     if n <= TASK_ROWS:
-        return rows.groupBy("model").applyInPandas(from_rows, MODEL_SCHEMA)
+        # An explicit number of parts keeps the models on different tasks.
+        spread = rows.repartition(MODEL_PARTS, "model")
+        return spread.groupBy("model").applyInPandas(from_rows, MODEL_SCHEMA)
     salts = -(-n // TASK_ROWS)
     grams = weighted_grams(rows, width, n_targets, salts)
     return grams.groupBy("model").applyInPandas(from_gram, MODEL_SCHEMA)

@@ -119,8 +119,8 @@ class Surrogate:
         weighted = draws.join(self.rows, "ordinal")
         fitted = fit_weighted(
             weighted, self.n, self.features.size, 3, [2], ENSEMBLE_ALPHA
-        ).orderBy("model").collect()
-        return tuple(_linear(r) for r in fitted)
+        ).collect()
+        return tuple(_linear(r) for r in sorted(fitted, key=lambda r: r.model))
 
     @cached_property
     def cv_predictions(self) -> DataFrame:
@@ -133,7 +133,7 @@ class Surrogate:
         training = rows.select("*", others).withColumn("weight", F.lit(1.0))
         fitted = fit_weighted(
             training, self.n, self.features.size, 3, [2], ENSEMBLE_ALPHA
-        ).orderBy("model").collect()
+        ).collect()
         prediction = F.lit(None).cast("double")
         for row in fitted:
             prediction = F.when(F.col("fold") == row.model, _linear(row).predict()).otherwise(prediction)

@@ -457,7 +457,7 @@ def custom_source(spark, sf):
 
 
 @query("jon10_source_settings", """
-    SELECT p_partkey AS ord, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 2000000.0 ELSE 86400.0 END AS cache_ttl
+    SELECT p_partkey AS ord, s_name AS name, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2000000 ELSE 86400 END AS DOUBLE) AS cache_ttl
     FROM part JOIN supplier ON s_suppkey = p_partkey % 10""")
 def source_settings(spark, sf):
     pages = gem_pages(spark, sf)

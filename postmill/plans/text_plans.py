@@ -189,7 +189,7 @@ def posted_ago(spark, sf):
 
 
 @query("sca10_epoch", """
-    SELECT ord, CAST(epoch(CAST(last_seen_at AS TIMESTAMP)) AS BIGINT) AS seen, 0 AS none FROM v_postings""",
+    SELECT ord, CAST(epoch(CAST(last_seen_at AS TIMESTAMP)) AS BIGINT) AS seen, CAST(0 AS BIGINT) AS none FROM v_postings""",
        ("v_postings",))
 def epoch(spark, sf):
     return v.postings(spark, sf).select(

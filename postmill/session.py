@@ -29,14 +29,15 @@ def local_session(cores: int | str = 8, app: str = "postmill") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by spark.checkpoint.dir.
+    """This application's folder under the one spark.checkpoint.dir names.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
+    Every executor can reach it, and it can be deleted as a whole once the
+    application has ended. Only a local session may fall back to a temporary folder: on a cluster a
     machine-local folder would be lost with its executor.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        return f"{configured.rstrip('/')}/{spark.sparkContext.applicationId}"
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
