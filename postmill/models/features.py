@@ -89,8 +89,13 @@ def with_terms(df: DataFrame, text: str, name: str, stop_words: Sequence[str]) -
 
 
 def term_counts(df: DataFrame, terms: str) -> DataFrame:
-    """Corpus count of every term."""
-    return df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    """Corpus count of every term.
+
+    The outer form keeps Spark from testing each array for emptiness below the
+    projection, which would form all terms a second time.
+    """
+    found = df.select(F.explode_outer(terms).alias("term")).filter("term is not null")
+    return found.groupBy("term").agg(F.count("*").alias("n"))
 
 
 def _best(counted: DataFrame, k: int) -> list[tuple[str, int]]:
@@ -223,7 +228,7 @@ def fit_features(
     )
     # The entry -1 stands for the row itself, so one aggregation counts both.
     found = (
-        counted.select(F.explode(F.concat(F.array(F.lit(-1)), present)).alias("i"))
+        counted.select(F.explode_outer(F.concat(F.array(F.lit(-1)), present)).alias("i"))
         .groupBy("i").count().collect()
     )
     frequency = {r.i: r["count"] for r in found}

@@ -92,7 +92,7 @@ def long_form(spark, fitted: fe.Features, texts):
          for i, t in enumerate(fitted.meta_vocabulary + fitted.body_vocabulary)],
         "i int, block int, term string",
     )
-    rows = fitted.transform(texts).select("hash", F.inline("features"))
+    rows = fitted.transform(texts).select("hash", F.inline_outer("features")).filter("i is not null")
     return rows.select("hash", "i", F.round("w", 6).alias("w")).join(terms, "i").drop("i")
 
 

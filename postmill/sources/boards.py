@@ -447,7 +447,10 @@ def _listed(board: Board, mine: DataFrame) -> DataFrame:
     carried = ["source", "slug", "name", "extra", "ord"]
     if board.keeps_listing:
         carried.append("listing")
-    out = listings.select(*carried, F.explode(rows).alias("r")).select(*carried, "r.error", "r.at", "r.j")
+    # The outer form keeps the bodies from being parsed twice, once to see
+    # whether they hold any item.
+    found = listings.select(*carried, F.explode_outer(rows).alias("r")).filter("r is not null")
+    out = found.select(*carried, "r.error", "r.at", "r.j")
     return out.withColumn("ord", F.shiftleft("ord", ITEM_BITS) + F.col("at")).drop("at")
 
 

@@ -133,7 +133,7 @@ def parse_contacts(files: DataFrame) -> DataFrame:
     rows = (
         files.select(*other, records.alias("records"))
         .select(*other, _fields(F.get("records", F.lit(0))).alias("header"),
-                F.posexplode("records").alias("ord", "record"))
+                F.posexplode_outer("records").alias("ord", "record"))
         .filter("ord > 0")
         .withColumn("fields", _fields(F.col("record")))
     )
