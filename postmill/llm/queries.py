@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import ngram_join
+from postmill.llm import language, ngram_join
+from postmill.llm.samples import remainder
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two of three folds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", remainder("doc_id", 3) == 1
+    )
+    model = language.train(docs.filter("NOT held_out"))
+    found = language.with_language(docs.select("doc_id", "held_out", "text"), model)
+    return found.select(
+        "doc_id", "held_out", F.col("language.lang").alias("lang_pred"),
+        F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"),
+    )
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles are 90 % alike."""
     found = ngram_join.similar_texts(read(spark, sf_dir, "documents"), words=3, percent=90)
@@ -22,6 +36,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
