@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import language, ngram_join
+from postmill.llm import language, ngram_join, quality
 from postmill.llm.samples import remainder
 
 
@@ -26,6 +26,21 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of four of five folds."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "held_out", remainder("doc_id", 5) == 0
+    )
+    labels = read(spark, sf_dir, "labels").filter("quality IS NOT NULL").groupBy("doc_id").agg(
+        F.max("quality").alias("quality")
+    )
+    model = quality.train(docs.filter("NOT held_out").join(labels, "doc_id"))
+    scored = quality.with_quality(docs, model, name="score")
+    return scored.select(
+        "doc_id", "held_out", "score", (F.col("score") >= quality.GOOD).cast("int").alias("predicted")
+    )
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 3-word shingles are 90 % alike."""
     found = ngram_join.similar_texts(read(spark, sf_dir, "documents"), words=3, percent=90)
@@ -37,6 +52,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
