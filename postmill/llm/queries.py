@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import language, ngram_join, quality
+from postmill.llm import language, ngram_join, packing, quality
 from postmill.llm.samples import remainder
 
 
@@ -26,6 +26,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary() -> tuple[str, str]:
+    """The ranks of the public byte-level vocabulary, installed on every machine, and its pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised and packed into sequences of 1024 tokens."""
+    packed = packing.pack(read(spark, sf_dir, "documents"), *vocabulary())
+    return packed.withColumnRenamed("id", "doc_id")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of four of five folds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
@@ -52,6 +65,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
