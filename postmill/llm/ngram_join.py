@@ -1,11 +1,14 @@
-"""N-gram Jaccard join: filters under several token orders, intersected, then exact sets.
+"""N-gram Jaccard join: prefix filters under several token orders, intersected, then exact sets.
 
 A text's set is its distinct n-word shingles (`[^\\x20\\x09-\\x0D]+` words, A-Z folded).
-Two sets of which the smaller need is `c = ceil(percent * size / 100)` tokens share at
-least that many, so under *any* order of all tokens they share one of the first
-`size - c + 1`, their prefix. Three orders are used: rare tokens first (by counts over
-all texts, kept in a table of fixed size), and two by hash. A pair must meet in the
-prefix of every order before its sets are compared.
+A pair that reaches the wanted similarity shares at least `need(size)` tokens of either
+set. So under *any* order of all tokens the first `size - need + k` tokens of both share
+at least k. Three orders are used, and a pair must pass all of them:
+
+1. a hash order: the first `wide` tokens of both must share several;
+2. among those, rare tokens first, by their exact counts in all such lists: the first
+   `rare` must share one. Most tokens are met in one class only, which leaves few pairs;
+3. another hash order over the whole sets, tried on pairs before they are compared.
 
 Defined cases: a null or empty text, or one without words, has an empty set and no
 link. A text of fewer than n words has one shingle, its whole sequence. Equal sets are
@@ -28,16 +31,31 @@ from postmill.llm.buffers import WordHasher, mix, shingle_sets
 from postmill.llm.components import components
 from postmill.session import materialise
 
-#: Cells of the table of token counts. Any order gives right results: collisions in it
-#: only make a rare token look frequent.
-COUNT_BITS = 18
+#: Length of the first list over the shortest possible one.
+WIDE = 2
 #: Pairs tried for each class before the exhaustive step, to join large groups cheaply.
 TRIES = 6
 
-# The two hash orders.
+# Salts of the two hash orders.
 ORDER_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
+def _need(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens that a set of n shares at least with a similar one."""
+    return -(-n * percent // 100)
+
+
+def wide_length(n: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(n, WIDE * (n - _need(n, percent) + 1))
+
+
+def rare_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Tokens of the rare-first order: enough for the smallest set a partner can have."""
+    low = _need(n, percent)
+    shared = wide_length(low, percent) - low + _need(low, percent)
+    return wide_length(n, percent) - shared + 1
+
+
 def _digests(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit digest of each set: the sum of mixed tokens, mixed with its size."""
     with np.errstate(over="ignore"):
@@ -51,107 +69,58 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.view(np.int64)))
 
 
-def class_rows(docs: DataFrame, words: int) -> DataFrame:
-    """One row per text (id, size, class), and rows of token counts, tagged by kind.
-
-    Counts are summed in each task first: a row holds 4,096 cells of the count table.
-    """
-    cells, width = 1 << COUNT_BITS, 4096
-    id_type = docs.schema["id"].dataType
-    id_arrow = to_arrow_type(id_type)
-    names = ["id", "text_hash", "n", "cls", "part", "counts"]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, counts = WordHasher(), np.zeros(cells, np.int64)
-        for batch in batches:
-            for lo, hi, bounds, sets in shingle_sets(batch.column("text"), hasher, words):
-                counts += np.bincount((sets >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=cells)
-                n = hi - lo
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1, np.int32)), pa.array([], pa.int64()))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column("id").slice(lo, n), batch.column("text_hash").slice(lo, n),
-                    pa.array(np.diff(bounds).astype(np.int64)), pa.array(_digests(sets, bounds)),
-                    pa.array(np.full(n, -1, np.int32)), none,
-                ], names=names)
-        zero = pa.array([0], pa.int64())
-        for part in range(cells // width):
-            some = counts[part * width : (part + 1) * width]
-            if some.any():
-                one = pa.ListArray.from_arrays(pa.array([0, width], pa.int32()), pa.array(some))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, id_arrow), zero, zero, zero, pa.array([part], pa.int32()), one], names=names
-                )
-
-    return docs.mapInArrow(
-        work, f"id {id_type.simpleString()}, text_hash long, n long, cls long, part int, counts array<long>"
-    )
-
-
-def token_counts(rows: DataFrame) -> np.ndarray:
-    """The summed count table, of 2 ** COUNT_BITS cells at any input size."""
-    found = (
-        rows.filter("part >= 0").select("part", F.posexplode("counts").alias("at", "k"))
-        .groupBy((F.col("part") * 4096 + F.col("at")).alias("cell")).agg(F.sum("k").alias("k"))
-        .toPandas()
-    )
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    counts[found["cell"].to_numpy()] = found["k"].to_numpy()
-    return counts
+def _first_by_hash(sets: np.ndarray, size: np.ndarray, take: np.ndarray, salt: int) -> pa.Array:
+    """Of each set the first ``take`` tokens under the hash order of ``salt``."""
+    doc = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(sets)) - np.repeat(np.cumsum(size) - size, size)
+    order = np.lexsort((mix(sets ^ np.uint64(salt)), doc))
+    return _lists(sets[order][place < take[doc]], take)
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(cls, n, first, second, third): every class's prefix under the three orders.
+def class_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, text_hash, n, cls, wide, rare, tokens): a row per text.
 
-    A class is returned once by each task that meets it.
+    The first list is given once by each task for a class, and empty otherwise.
     """
-    # Cells of about the same count keep their order by hash: only the step counts.
-    steps = np.floor(np.log2(counts + 1.0) * 2).astype(np.uint64)
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, seen = WordHasher(), set()
         for batch in batches:
             for lo, hi, bounds, sets in shingle_sets(batch.column("text"), hasher, words):
-                size, cls = np.diff(bounds), _digests(sets, bounds)
-                new = []
-                for k in range(hi - lo):
-                    if size[k] and (c := int(cls[k])) not in seen:
+                size, cls = np.diff(bounds).astype(np.int64), _digests(sets, bounds)
+                new = np.zeros(hi - lo, bool)
+                for k, c in enumerate(cls.tolist()):
+                    if c not in seen:
                         seen.add(c)
-                        new.append(k)
-                if not new:
-                    continue
-                doc = np.repeat(np.arange(hi - lo), size)
-                need = -(-size * percent // 100)
-                take = np.where(size > 0, size - need + 1, 0)
-                rank_in = np.arange(len(sets)) - bounds[doc]
-                keep = (rank_in < take[doc]) & np.isin(doc, new)
-                hashed = [mix(sets ^ np.uint64(salt)) for salt in ORDER_SALTS]
-                rare = steps[(sets >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-                lists = []
-                for keys in ((hashed[0], rare, doc), (hashed[0], doc), (hashed[1], doc)):
-                    lists.append(_lists(sets[np.lexsort(keys)][keep], take[new]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cls[new]), pa.array(size[new].astype(np.int64)), *lists],
-                    names=["cls", "n", "first", "second", "third"],
-                )
-
-    return docs.select("text").mapInArrow(
-        work, "cls long, n long, first array<long>, second array<long>, third array<long>"
+                        new[k] = True
+                wide = wide_length(size, percent)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").slice(lo, hi - lo), batch.column("text_hash").slice(lo, hi - lo),
+                    pa.array(size), pa.array(cls), pa.array(wide), pa.array(rare_length(size, percent)),
+                    _first_by_hash(sets, size, np.where(new, wide, 0), ORDER_SALTS[0]),
+                ], names=["id", "text_hash", "n", "cls", "wide", "rare", "tokens"])
+
+    return docs.mapInArrow(
+        work, f"id {id_type}, text_hash long, n long, cls long, wide long, rare long, tokens array<long>"
     )
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, tokens) of texts; a class once by each task."""
+def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(cls, tokens, second): whole sets, and their prefix under the last order."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             for _, _, bounds, sets in shingle_sets(batch.column("text"), hasher, words):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_digests(sets, bounds)), _lists(sets, np.diff(bounds))],
-                    names=["cls", "tokens"],
-                )
+                size = np.diff(bounds).astype(np.int64)
+                take = np.where(size > 0, size - _need(size, percent) + 1, 0)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(_digests(sets, bounds)), _lists(sets, size),
+                    _first_by_hash(sets, size, take, ORDER_SALTS[1]),
+                ], names=["cls", "tokens", "second"])
 
-    return docs.select("text").mapInArrow(work, "cls long, tokens array<long>")
+    return docs.select("text").mapInArrow(work, "cls long, tokens array<long>, second array<long>")
 
 
 def _near(a: Column, b: Column, percent: int) -> Column:
@@ -159,26 +128,46 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _linked(pairs: DataFrame, orders: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the other two orders, then the exact comparison."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the last order, then the exact comparison."""
 
-    def side(table: DataFrame, key: str, names: list[str]) -> DataFrame:
-        return table.select(F.col("cls").alias(key), *[F.col(n).alias(f"{n}_{key}") for n in names])
+    def side(key: str, name: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(key), F.col(name).alias(f"{name}_{key}"))
 
-    other = ["second", "third"]
     met = (
-        pairs.join(side(orders, "a", other), "a").join(side(orders, "b", other), "b")
-        .filter(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"))
-        .select("a", "b")
+        pairs.join(side("a", "second"), "a").join(side("b", "second"), "b")
+        .filter(F.arrays_overlap("second_a", "second_b")).select("a", "b")
     )
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
     union = F.size("tokens_a") + F.size("tokens_b") - shared
     return (
-        met.join(side(sets, "a", ["tokens"]), "a").join(side(sets, "b", ["tokens"]), "b")
+        met.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
         .filter(shared.cast("long") * 100 >= union.cast("long") * percent).select("a", "b")
     )
 
 
+def _groups(found: DataFrame) -> DataFrame:
+    """(token, cls, n, leads): classes that share a token of the rare-first order."""
+    posts = found.select("cls", "n", "wide", "rare", F.explode("tokens").alias("token"))
+    counts = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    # Tokens met once come first in the order; only their number matters.
+    within = Window.partitionBy("cls")
+    met = posts.join(counts, "token").repartition("cls").distinct()
+    rare = (
+        met.withColumns({
+            "single": F.col("wide") - F.count("*").over(within),
+            "at": F.row_number().over(within.orderBy("k", "token")),
+        })
+        .filter("single + at <= rare").select("token", "cls", "n")
+    )
+    rare = materialise(rare, "rare")
+    lead = F.xxhash64("token", "cls")
+    shared = rare.groupBy("token").agg(F.count("*").alias("k"), F.min(lead).alias("lead")).filter("k > 1")
+    return materialise(
+        rare.join(shared, "token").select("token", "cls", "n", (lead == F.col("lead")).alias("leads")), "groups"
+    )
+
+
 def similar_texts(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     words: int = 5, percent: int = 80,
@@ -190,27 +179,17 @@ def similar_texts(
     apart where ids repeat; it is null for an empty set.
 
     Large groups are joined without forming all their pairs: each class is first tried
-    against a few leaders, each chosen by hash in one of its prefix groups; only
-    groups that still hold more than one component then form pairs, and only across
-    components. Every pair whose link could still matter is compared.
+    against a few leaders, each chosen by hash in one of the groups that share a token;
+    only groups that still hold more than one component then form pairs, and only
+    across components. Every pair whose link could still matter is compared.
     """
     texts = docs.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"),
         F.xxhash64(text_column).alias("text_hash"),
     )
-    found = materialise(class_rows(texts, words), "classes")
-    rows = found.filter("part < 0").select("id", "text_hash", "n", "cls")
-    counts = token_counts(found)
-    orders = materialise(prefixes(texts, counts, words, percent), "orders")
-
-    # Groups of classes that share a token of the first prefix.
-    posts = orders.select("cls", "n", F.explode("first").alias("token")).distinct()
-    leader = F.xxhash64("token", "cls")
-    groups = posts.groupBy("token").agg(F.count("*").alias("k"), F.min(leader).alias("lead")).filter("k > 1")
-    groups = materialise(
-        posts.join(groups, "token").select("token", "cls", "n", (leader == F.col("lead")).alias("leads")),
-        "groups",
-    )
+    found = materialise(class_rows(texts, words, percent), "classes")
+    rows = found.select("id", "text_hash", "n", "cls")
+    groups = _groups(found)
     first = Window.partitionBy("b").orderBy(F.xxhash64("token"), "token")
     tries = (
         groups.filter("leads").select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"))
@@ -220,17 +199,19 @@ def similar_texts(
         .select("a", "b").distinct()
     )
 
-    # The sets of classes that are in a group, from one text of each.
+    # The sets of classes that are in a group, each from one of its rows.
     involved = groups.select("cls").distinct()
-    chosen = rows.join(involved, "cls", "left_semi").groupBy("cls").agg(F.min("text_hash").alias("text_hash"))
-    own = texts.join(chosen.select("text_hash"), "text_hash", "left_semi")
-    sets = materialise(_sets(own, words).join(involved, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    orders_in = materialise(
-        orders.join(involved, "cls", "left_semi").select("cls", "second", "third").dropDuplicates(["cls"]),
-        "orders",
+    chosen = (
+        rows.join(involved, "cls", "left_semi").groupBy("cls")
+        .agg(F.min(F.struct("text_hash", "id")).alias("row"))
+        .select(F.col("row.text_hash").alias("hash_one"), F.col("row.id").alias("id_one"))
+    )
+    own = texts.join(
+        chosen, (F.col("text_hash") == F.col("hash_one")) & F.col("id").eqNullSafe(F.col("id_one")), "left_semi"
     )
+    sets = materialise(_sets(own, words, percent).dropDuplicates(["cls"]), "sets")
 
-    early = materialise(_linked(tries, orders_in, sets, percent), "links")
+    early = materialise(_linked(tries, sets, percent), "links")
     joined = components(early, "a", "b")
     placed = groups.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "cls", "n", F.coalesce("component", "cls").alias("component")
@@ -250,7 +231,7 @@ def similar_texts(
     rest = left.join(right, (left["token"] == right["token"]) & (F.col("a") < F.col("b"))
                      & (F.col("component_a") != F.col("component_b"))
                      & _near(F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    late = _linked(rest, orders_in, sets, percent)
+    late = _linked(rest, sets, percent)
     links = materialise(early.select("a", "b").union(late), "links")
 
     whole = components(links, "a", "b").withColumnRenamed("node", "cls")
