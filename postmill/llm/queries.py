@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import language, ngram_join, packing, quality
+from postmill.llm import language, mixing, ngram_join, packing, quality
 from postmill.llm.samples import remainder
 
 
@@ -26,6 +26,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to the weights of their sources."""
+    found = mixing.mix(read(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target",
+        (F.col("size") * F.col("copies")).alias("taken"),
+    )
+
+
 def vocabulary() -> tuple[str, str]:
     """The ranks of the public byte-level vocabulary, installed on every machine, and its pattern."""
     import public_tokenizers
@@ -65,6 +74,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op4_source_mixing": op4_source_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
