@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import language, mixing, ngram_join, packing, quality
+from postmill.llm import fingerprints, language, mixing, ngram_join, packing, quality
 from postmill.llm.samples import remainder
 
 
@@ -26,6 +26,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.report(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights of their sources."""
     found = mixing.mix(read(spark, sf_dir, "documents"))
@@ -74,6 +79,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_fingerprints": op3_fingerprints,
     "op4_source_mixing": op4_source_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality": op9_quality,
