@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import fingerprints, language, mixing, ngram_join, packing, quality
+from postmill.llm import fingerprints, language, line_dedup, mixing, ngram_join, packing, quality
 from postmill.llm.samples import remainder
 
 
@@ -26,6 +26,15 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier one has."""
+    found = line_dedup.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"),
+        F.col("__removed").cast("long").alias("chunks_removed"),
+    )
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprints.report(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
@@ -79,6 +88,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mixing": op4_source_mixing,
     "op6_best_fit_packing": op6_best_fit_packing,
