@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import fingerprints, language, line_dedup, mixing, ngram_join, packing, quality
+from postmill.llm import fingerprints, language, line_dedup, mixing, neighbours, ngram_join, packing, quality
 from postmill.llm.samples import remainder
 
 
@@ -49,6 +49,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def vocabulary() -> tuple[str, str]:
     """The ranks of the public byte-level vocabulary, installed on every machine, and its pattern."""
     import public_tokenizers
@@ -91,6 +96,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_fingerprints": op3_fingerprints,
     "op4_source_mixing": op4_source_mixing,
+    "op5_neighbours": op5_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
