@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import fingerprints, language, line_dedup, mixing, neighbours, ngram_join, packing, quality
+from postmill.llm import fingerprints, html_content, language, line_dedup, mixing, neighbours, ngram_join, packing, quality
 from postmill.llm.samples import remainder
 
 
@@ -67,6 +67,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
+def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    text = html_content.content(F.col("html"), html_content.train())
+    found = pages.select("page_id", "url", text.alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of four of five folds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
@@ -98,6 +106,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op5_neighbours": op5_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_html_content": op7_html_content,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
