@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import fingerprints, html_content, language, line_dedup, mixing, neighbours, ngram_join, packing, quality
+from postmill.llm import fingerprints, html_content, language, line_dedup, mixing, neighbours, ngram_join, packing, quality, surrogates
 from postmill.llm.samples import remainder
 
 
@@ -75,6 +75,16 @@ def op7_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced."""
+    key = spark.conf.get("postmill.surrogate.key", "example key")
+    found = surrogates.replaced(read(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    return found.select(
+        "doc_id", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"),
+        F.col("__entities").cast("long").alias("entities"),
+    )
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learned from the labels of four of five folds."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
@@ -107,6 +117,7 @@ QUERIES = {
     "op5_neighbours": op5_neighbours,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_html_content": op7_html_content,
+    "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
