@@ -89,7 +89,7 @@ def bounded_pay(
     """Pay of one object carrying a pair of bounds; null without any bound."""
 
     def bound(name: str) -> Column:
-        value = item[name].cast("double")
+        value = item[name].try_cast("double")
         if zero_is_missing:
             value = F.nullif(value, F.lit(0.0))
         return F.floor(value / 100) if cents else value
@@ -104,7 +104,9 @@ def bounded_pay(
 
 def first_bounded_pay(items: Column, low: str, high: str, currency: str, **kw) -> Column:
     """Pay of the first array element that has any bound."""
-    found = F.filter(items, lambda r: r[low].isNotNull() | r[high].isNotNull())
+    found = F.filter(
+        items, lambda r: r[low].try_cast("double").isNotNull() | r[high].try_cast("double").isNotNull()
+    )
     return bounded_pay(F.get(found, F.lit(0)), low, high, currency, **kw)
 
 

@@ -59,14 +59,19 @@ def select_universe(
     keep: Column | None = None,
     force: Column | None = None,
     fields: Sequence[str] = DEDUP_FIELDS,
+    order: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(universe, forced): deduplicated rows that match or are forced.
 
-    Matched rows keep their place and come before rows that are only forced.
-    Rows are unique by hash only when a force predicate is given; the order is
-    ``only_forced, ord``.
+    ``order`` is a value that rises in the order of the rows, by default their
+    ``ord``. A store's ``ord`` begins anew with every run: give ``store_place()``
+    there, so that of equal postings the one seen last is taken. Matched rows
+    keep their place and come before rows that are only forced. Rows are unique
+    by hash only when a force predicate is given; the order is ``only_forced``,
+    then ``order``.
     """
-    unique = dedup_first(df, fields)
+    place = F.col("ord") if order is None else order
+    unique = dedup_first(df, fields, [place])
     kept = F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(True)
     if force is None:
         return unique.filter(kept).withColumn("only_forced", F.lit(False)), unique.filter(F.lit(False))
@@ -75,11 +80,13 @@ def select_universe(
     # Rows of one hash in one aggregation: the last matched row at the place of
     # the first matched one, or else the first forced row.
     rest = [c for c in df.columns if c not in ("hash", "ord")]
-    rank = F.struct(F.col("_kept"), F.when(F.col("_kept"), F.col("ord")).otherwise(-F.col("ord")))
+    row, placed = F.struct(*rest), F.struct(place.alias("place"), F.col("ord").alias("at"))
+    first = F.coalesce(F.min(F.when(F.col("_kept"), placed)), F.min(placed))
     merged = candidates.groupBy("hash").agg(
-        F.max_by(F.struct(*rest), rank).alias("_row"),
-        F.coalesce(F.min(F.when(F.col("_kept"), F.col("ord"))), F.min("ord")).alias("ord"),
-        (~F.max("_kept")).alias("only_forced"),
+        F.coalesce(
+            F.max_by(F.when(F.col("_kept"), row), F.when(F.col("_kept"), place)), F.min_by(row, place)
+        ).alias("_row"),
+        first.getField("at").alias("ord"), (~F.max("_kept")).alias("only_forced"),
     )
     columns = {c: F.col("_row")[c].alias(c) for c in rest}
     universe = merged.select(*[columns.get(c, F.col(c)) for c in df.columns], "only_forced")

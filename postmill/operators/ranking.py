@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from postmill.session import materialise
 
 PAGE_SIZE = 50
-TOP_ROWS = 10_000
 
 
 def _cols(order_by: Sequence[Column | str]) -> list[Column]:
@@ -63,13 +62,12 @@ def page(
 ) -> DataFrame:
     """One page; the page number is clamped to the existing pages.
 
-    Early pages are a bounded top-n. A late page would make every task keep all
-    rows before it, so it is cut from the positions of a range sort instead.
+    It is cut from the positions of a range sort, as no task could keep all rows
+    before a late page. The order should end with a unique key: rows that tie
+    have no fixed place among each other.
     """
     pages = max(1, -(-df.count() // size))
     start = min(max(number, 0), pages - 1) * size
-    if start + size <= TOP_ROWS:
-        return df.orderBy(*_cols(order_by)).offset(start).limit(size)
     placed = with_position(df, order_by, "_place", start=0)
     here = F.col("_place").between(start, start + size - 1)
     return placed.filter(here).orderBy("_place").drop("_place")

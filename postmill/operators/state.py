@@ -18,6 +18,12 @@ def store_order() -> list[Column]:
     return [parse_iso("last_seen_at").desc(), F.col("ord").asc()]
 
 
+def store_place() -> Column:
+    """The store's order as one value: it rises in that order, rows without a stamp last."""
+    last = F.lit((1 << 63) - 1)
+    return F.struct(F.coalesce(-F.unix_micros(parse_iso("last_seen_at").cast("timestamp")), last), F.col("ord"))
+
+
 def within_retention(ts: Column | str, as_of, retain_seconds: int) -> Column:
     return age_micros(ts, as_of) <= retain_seconds * 1_000_000
 
@@ -33,7 +39,8 @@ def upsert_and_evict(
     """The next store: fresh rows stamped ``as_of`` plus surviving carried rows.
 
     A carried row goes when its hash or its url was observed again, or when it
-    is past retention. Fresh rows sharing a url do not replace each other.
+    is past retention. A stamp that is missing or cannot be read has no age: its
+    row is carried on (``invalid_stamps`` lists such rows). Fresh rows sharing a url do not replace each other.
     ``ignore_missing_details`` treats a fresh row without description whose url
     is already stored as not observed, so the stored row survives.
     """
@@ -44,7 +51,7 @@ def upsert_and_evict(
         fresh = fresh.filter("description <> ''").unionByName(missing)
     stamped = last_value_first_position(fresh).withColumn("last_seen_at", F.lit(stamp))
     survivors = (
-        store.filter(within_retention("last_seen_at", as_of, retain_seconds))
+        store.filter(F.coalesce(within_retention("last_seen_at", as_of, retain_seconds), F.lit(True)))
         .join(fresh.select("hash").distinct(), "hash", "left_anti")
         .join(fresh.select("url").distinct(), "url", "left_anti")
     )

@@ -6,8 +6,6 @@ expressions, so a registered query and its SQL read the same rows.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ AS_OF = "2026-04-19T12:00:00"
 EVENTS_AS_OF = 1706572800.0  # 2024-01-30T00:00:00
 
 WS = WHITESPACE
-SPREAD_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -27,15 +24,9 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of long texts.
-
-    A single small file is one scan task; its rows are then spread over the
-    cores. A table of many files is read as it is.
-    """
-    df, path = table(spark, sf, name), f"{sf}/{name}.parquet"
-    if os.path.isfile(path) and os.path.getsize(path) > SPREAD_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A table of long texts, spread over the cores where its scan has fewer tasks."""
+    df, cores = table(spark, sf, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def sql_hash(title: str, company: str, description: str) -> str:

@@ -25,10 +25,12 @@ from postmill.functions.pay import (
 from postmill.functions.text import first_non_empty, job_hash, join_non_empty, non_empty, or_blank, strip
 from postmill.operators.dedup import first_per_key
 from postmill.operators.enrich import with_sources
+from postmill.operators.ranking import with_position
 from postmill.schema import PAY_DDL, PAYLOAD_TTL_SECONDS, POSTING_FIELDS
 from postmill.session import materialise
 
 ITEM_BITS = 24  # items of one payload share the low bits of ``ord``
+PAYLOADS = 1 << (63 - ITEM_BITS)
 
 # --- Fixed values: interval names of the platforms -------------------------
 ASHBY_INTERVALS = {"1 HOUR": "hourly", "1 WEEK": "weekly", "1 MONTH": "monthly", "1 YEAR": "annual"}
@@ -114,7 +116,7 @@ def component_pay(components: Column) -> Column:
     def has(kind: str) -> Column:
         return F.exists(components, lambda c: F.coalesce(c["compensationType"] == kind, F.lit(False)))
 
-    lo, hi = salary["minValue"], salary["maxValue"]
+    lo, hi = salary["minValue"].try_cast("double"), salary["maxValue"].try_cast("double")
     return F.when(
         lo.isNotNull() | hi.isNotNull(),
         pay_struct(
@@ -154,7 +156,7 @@ def _lever() -> dict[str, Column]:
         "team": j["categories"]["team"],
         "location": j["categories"]["location"],
         "url": _item_text("hostedUrl"),
-        "posted": epoch_millis_date(j["createdAt"]),
+        "posted": epoch_millis_date(j["createdAt"].try_cast("double")),
         "compensation": bounded_pay(
             j["salaryRange"], "min", "max", "currency",
             lambda r: lookup(r["interval"], LEVER_INTERVALS),
@@ -329,20 +331,20 @@ BOARDS: dict[str, Board] = {
     "greenhouse": Board(
         "struct<jobs:array<struct<title:string,content:string,departments:array<struct<name:string>>,"
         "location:struct<name:string>,absolute_url:string,updated_at:string,pay_input_ranges:"
-        "array<struct<min_cents:bigint,max_cents:bigint,currency_type:string>>>>>",
+        "array<struct<min_cents:string,max_cents:string,currency_type:string>>>>>",
         _greenhouse, items="jobs",
     ),
     "ashby": Board(
         "struct<jobs:array<struct<title:string,department:string,team:string,descriptionPlain:string,"
         "jobUrl:string,publishedAt:string,location:string,compensation:struct<"
         "compensationTierSummary:string,summaryComponents:array<struct<compensationType:string,"
-        "interval:string,currencyCode:string,minValue:double,maxValue:double>>>>>>",
+        "interval:string,currencyCode:string,minValue:string,maxValue:string>>>>>>",
         _ashby, items="jobs",
     ),
     "lever": Board(
         "array<struct<text:string,categories:struct<team:string,location:string>,"
-        "descriptionPlain:string,hostedUrl:string,createdAt:double,"
-        "salaryRange:struct<min:double,max:double,currency:string,interval:string>>>",
+        "descriptionPlain:string,hostedUrl:string,createdAt:string,"
+        "salaryRange:struct<min:string,max:string,currency:string,interval:string>>>",
         _lever,
     ),
     "gem": Board(
@@ -357,7 +359,7 @@ BOARDS: dict[str, Board] = {
         detail="struct<description:string>", detail_key="shortcode",
     ),
     "workday": Board(
-        "struct<total:bigint,jobPostings:array<struct<title:string,externalPath:string,"
+        "struct<jobPostings:array<struct<title:string,externalPath:string,"
         "locationsText:string>>>",
         _workday, items="jobPostings",
         detail="struct<jobPostingInfo:struct<jobDescription:string,startDate:string,"
@@ -382,17 +384,17 @@ BOARDS: dict[str, Board] = {
         "array<struct<uuid:string>>", _rippling,
         detail="struct<name:string,description:struct<role:string,company:string>,"
         "department:struct<name:string,base_department:string>,workLocations:array<string>,"
-        "url:string,payRangeDetails:array<struct<rangeStart:double,rangeEnd:double,"
+        "url:string,payRangeDetails:array<struct<rangeStart:string,rangeEnd:string,"
         "currency:string,frequency:string>>,createdOn:string>",
         detail_key="uuid", unique="uuid",
     ),
     "smartrecruiters": Board(
-        "struct<totalFound:bigint,content:array<struct<name:string,id:string,"
+        "struct<content:array<struct<name:string,id:string,"
         "location:struct<fullLocation:string>,releasedDate:string>>>",
         _smartrecruiters, items="content",
         detail="struct<jobAd:struct<sections:struct<jobDescription:struct<text:string>,"
         "qualifications:struct<text:string>,additionalInformation:struct<text:string>>>,"
-        "postingUrl:string,compensation:struct<min:double,max:double,currency:string,period:string>>",
+        "postingUrl:string,compensation:struct<min:string,max:string,currency:string,period:string>>",
         detail_key="id", strict=False, first_page="offset=0",
     ),
     "trakstar": Board(
@@ -429,6 +431,9 @@ def _listed(board: Board, mine: DataFrame) -> DataFrame:
         "listing", _parse(F.col("body"), board.listing, board.xml)
     )
     bad = _malformed("listing", board.listing)
+    if board.listing.startswith("array"):
+        # An object where a list is due is an error message, not a list of one.
+        bad = bad | ~F.coalesce(F.startswith(F.ltrim("body"), F.lit("[")), F.lit(False))
     items = F.col("listing") if board.items is None else F.col(f"listing.{board.items}")
     element = _item_type(board, listings)
     entry = T.StructType([
@@ -451,7 +456,9 @@ def _listed(board: Board, mine: DataFrame) -> DataFrame:
     # whether they hold any item.
     found = listings.select(*carried, F.explode_outer(rows).alias("r")).filter("r is not null")
     out = found.select(*carried, "r.error", "r.at", "r.j")
-    return out.withColumn("ord", F.shiftleft("ord", ITEM_BITS) + F.col("at")).drop("at")
+    fits = F.col("ord").between(0, PAYLOADS - 1)
+    high = F.when(fits, F.shiftleft("ord", ITEM_BITS)).otherwise(F.raise_error(F.lit("payloads are not numbered densely")))
+    return out.withColumn("ord", high + F.col("at")).drop("at")
 
 
 def _with_details(board: Board, rows: DataFrame, mine: DataFrame) -> DataFrame:
@@ -530,17 +537,29 @@ def live_payloads(
     known = with_sources(log, sources, ttl)
     age = F.lit(float(as_of)) - F.col("fetched_at")
     live = known.filter(~F.coalesce(age > F.col("cache_ttl"), F.lit(False)))
-    return live.groupBy(*keys).agg(
-        F.max_by(F.struct("body", "fetched_at"), F.col("ord")).alias("_last"),
-        F.min("ord").alias("ord"),
-    ).select(*keys, "_last.body", "_last.fetched_at", "ord")
+    # The winner of a request is found without its body.
+    won = live.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(
+        F.max("ord").alias("_last"), F.min("ord").alias("_first")
+    )
+    same = F.col("ord") == F.col("_last")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return live.join(won, same).select(*keys, "body", "fetched_at", F.col("_first").alias("ord"))
 
 
 def collect(
     payloads: DataFrame, sources: DataFrame, platforms: list[str] | None = None,
     custom: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(postings, errors) over all platforms plus custom postings."""
+    """(postings, errors) over all platforms plus custom postings.
+
+    The payloads are stored once and numbered densely in their order, so that
+    no platform folds the log again and ``ord`` has room for the items.
+    """
+    columns = payloads.columns
+    order = ["ord", "platform", "slug", "kind", "request_key"]
+    numbered = with_position(payloads.withColumnRenamed("ord", "_line"), ["_line", *order[1:]], "ord", start=0)
+    payloads = numbered.withColumn("ord", F.col("ord").cast("bigint")).select(columns)
     postings, errors = custom, None
     for platform in platforms or sorted(BOARDS):
         p, e = normalize(platform, payloads, sources)

@@ -105,8 +105,9 @@ def read_context(spark: SparkSession, path: str) -> DataFrame:
 # Fixed values of the export format.
 HEADER_START = "First Name,"
 NBSP = "\u00a0"
-RECORD = r'(?:[^"\n]|"(?:[^"]|"")*")+'
-FIELD = r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'
+# Possessive, so that long records and fields are matched without recursion.
+RECORD = r'[^"\n]*+(?:"[^"]*+"[^"\n]*+)*+'
+FIELD = r'(?:^|,)("[^"]*+(?:""[^"]*+)*+"|[^,]*+)'
 
 
 def _fields(record: Column) -> Column:
@@ -128,7 +129,7 @@ def parse_contacts(files: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.regexp_replace("content", "^\ufeff", ""), r"\r\n?", "\n")
     cut = F.regexp_replace(text, rf"(?s)^.*?(?:^|\n)(?={HEADER_START})", "")
-    records = F.regexp_extract_all(cut, F.lit(RECORD), F.lit(0))
+    records = F.array_remove(F.regexp_extract_all(cut, F.lit(RECORD), F.lit(0)), "")
     other = [c for c in files.columns if c != "content"]
     rows = (
         files.select(*other, records.alias("records"))

@@ -288,8 +288,7 @@ def test_pages(spark):
     assert [r["count"] for r in ranking.with_page(df, ["n"]).groupBy("page").count().orderBy("page").collect()] == [50, 50, 20]
 
 
-def test_late_pages_come_from_positions(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "TOP_ROWS", 60)
+def test_late_pages_come_from_positions(spark):
     df = spark.range(120).withColumnRenamed("id", "n")
     assert column(ranking.page(df, 1, [F.desc("n")]), "n") == list(range(69, 19, -1))
     assert column(ranking.page(df, 2, [F.desc("n")]), "n") == list(range(19, -1, -1))
@@ -317,3 +316,52 @@ def test_spearman_with_ties(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (2.0, 3.0), (5.0, 9.0), (None, 1.0)], "a double, b double")
     row = ranking.spearman(df, "a", "b").head()
     assert (row.n, row.rho) == (4, round(3.75 / 4.5, 4))
+
+
+def test_long_records_of_contact_exports(spark):
+    long = "x" * (1 << 20)
+    text = f'Notes\n\nFirst Name,Last Name,URL,Company\nAda,"{long}""q""",u1,Acme\nBob,{long},u2,"A, B"\n\nlone " quote\n'
+    got = readers.parse_contacts(spark.createDataFrame([("", text)], "person string, content string")).collect()
+    assert [(r.url, r.company, len(r.name)) for r in got] == [("u1", "Acme", len(long) + 7), ("u2", "A, B", len(long) + 4)]
+
+
+def _payload(platform, body, kind="listing", key="", slug="s", ord=0):
+    return (platform, slug, kind, key, body, 0.0, ord)
+
+
+CAPTURE = "platform string, slug string, kind string, request_key string, body string, fetched_at double, ord bigint"
+
+
+def _registry(spark, platforms):
+    return spark.createDataFrame(
+        [(p, "s", "Acme", None, None) for p in platforms],
+        "platform string, slug string, name string, extra map<string,string>, cache_ttl double",
+    )
+
+
+def test_an_error_object_fails_its_source(spark):
+    for platform in ("lever", "gem"):
+        body = '{"ok": false, "error": "Document not found"}'
+        df = spark.createDataFrame([_payload(platform, body)], CAPTURE)
+        rows, errors = boards.normalize(platform, df, _registry(spark, [platform]))
+        assert rows.count() == 0 and [r.source for r in errors.collect()] == [f"{platform}:s"]
+
+
+def test_bad_numbers_are_null_and_fractions_floored(spark):
+    body = """{"jobs": [{"title": "a", "content": "x", "absolute_url": "u", "pay_input_ranges": [
+        {"min_cents": 500050.5, "max_cents": "many", "currency_type": "USD"}]}]}"""
+    df = spark.createDataFrame([_payload("greenhouse", body)], CAPTURE)
+    rows, errors = boards.normalize("greenhouse", df, _registry(spark, ["greenhouse"]))
+    pay = rows.first().compensation
+    assert errors.count() == 0 and (pay.min_amount, pay.max_amount) == (5000, None)
+
+
+def test_payloads_of_late_partitions_keep_their_order(spark):
+    bodies = ['[{"text": "%s", "hostedUrl": "u%s"}]' % (k, k) for k in range(3)]
+    lines = [5 + (64 << 33), 5 + (128 << 33), 5 + (5000 << 33)]
+    df = spark.createDataFrame(
+        [_payload("lever", b, slug="s", key=str(k), ord=o) for k, (b, o) in enumerate(zip(bodies, lines))], CAPTURE
+    )
+    rows, errors = boards.collect(df, _registry(spark, ["lever"]), ["lever"])
+    assert errors.count() == 0
+    assert [r.title for r in rows.orderBy("ord").collect()] == ["0", "1", "2"]

@@ -81,7 +81,7 @@ def test_counts_and_invalid_stamps(spark):
     old = postings(spark, posting("a", last_seen_at="2026-04-18T00:00:00"), posting("z", last_seen_at=""))
     new = postings(spark, posting("b"), posting("b"), posting("c"))
     store = state.upsert_and_evict(old, new, NOW)
-    assert tuple(state.store_counts(store, new).head()) == (2, 1, 3)
+    assert tuple(state.store_counts(store, new).head()) == (2, 2, 4)  # the row without a stamp is carried
     assert column(state.invalid_stamps(old)) == ["z"]
 
 
@@ -197,3 +197,19 @@ def test_run_outcomes(spark):
 def test_schema_is_kept(spark):
     df = postings(spark, posting("a"))
     assert dedup.last_value_first_position(df).columns == POSTING.names
+
+
+def test_rows_without_a_stamp_are_carried(spark):
+    old = postings(spark, posting("a", last_seen_at=""), posting("b", last_seen_at="junk"),
+                   posting("c", last_seen_at="2020-01-01T00:00:00"), posting("d", last_seen_at=""))
+    fresh = postings(spark, posting("d"))
+    assert sorted(column(state.upsert_and_evict(old, fresh, NOW))) == ["a", "b", "d"]
+
+
+def test_of_equal_postings_the_one_seen_last_is_taken(spark):
+    old = posting("old", title="T", url="u1", description="d", last_seen_at="2026-04-18T12:00:00", ord=1)
+    new = posting("new", title="T", url="u2", description="d", last_seen_at="2026-04-19T12:00:00", ord=9)
+    store = postings(spark, old, new, posting("blank", title="T", description="d", ord=3))
+    for force in (None, F.lit(False)):
+        universe, _ = dedup.select_universe(store, F.lit(True), force, order=state.store_place())
+        assert column(universe) == ["new"]
