@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from postmill.functions.pay import format_pay
 from postmill.functions.text import clip, let, meta_text, or_blank
 from postmill.operators.ranking import top_n
+from postmill.session import materialise
 
 META_FEATURES = 700
 DESC_FEATURES = 1300
@@ -39,10 +40,6 @@ STOP_WORDS = tuple(
 )
 
 
-RARE = "\u0001"  # stands for a rare word; no token holds it
-KEPT_TIES = 2_000  # words tied with the k-th best that are kept before pruning is given up
-
-
 def posting_texts(postings: DataFrame, max_chars: int | None = None) -> DataFrame:
     """(hash, meta, body) of postings. The body is whole unless clipped."""
     pay = format_pay("compensation", "compensation_raw")
@@ -81,8 +78,9 @@ def with_tokens(df: DataFrame, text: str, name: str, stop_words: Sequence[str] =
 
 
 def with_terms(df: DataFrame, text: str, name: str, stop_words: Sequence[str]) -> DataFrame:
-    """Adds the array of 1-, 2- and 3-grams of a text column."""
-    out = with_tokens(df, text, "_t1", stop_words)
+    """Adds the array of 1-, 2- and 3-grams of a text column, or of its stored tokens."""
+    stored = f"_{text}_tokens"
+    out = df.withColumn("_t1", F.col(stored)) if stored in df.columns else with_tokens(df, text, "_t1", stop_words)
     for n in (2, 3):
         out = NGram(n=n, inputCol="_t1", outputCol=f"_t{n}").transform(out)
     return out.withColumn(name, F.concat("_t1", "_t2", "_t3")).drop("_t1", "_t2", "_t3")
@@ -98,36 +96,13 @@ def term_counts(df: DataFrame, terms: str) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("n"))
 
 
-def _best(counted: DataFrame, k: int) -> list[tuple[str, int]]:
-    """The k most frequent of (term, n) rows, ties by term: k rows at most."""
-    return [(r.term, r.n) for r in counted.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()]
-
-
-def top_terms(df: DataFrame, text: str, k: int, stop_words: Sequence[str], prune: bool) -> list[str]:
+def top_terms(df: DataFrame, text: str, k: int, stop_words: Sequence[str]) -> list[str]:
     """The k most frequent 1- to 3-grams of a text column, ties by term.
 
-    An n-gram is at most as frequent as each of its words. So, once the k-th
-    best count of single words is known, longer terms with a rarer word cannot
-    be among the best, and are not even formed: the result is exact, and the
-    shuffle carries the frequent terms instead of nearly every n-gram.
-    ``prune=False`` saves that first count on small tables.
+    Counts are summed in each task before they are shuffled; k rows reach the driver.
     """
-    if not prune:
-        return [t for t, _ in _best(term_counts(with_terms(df, text, "_terms", stop_words), "_terms"), k)]
-    words = with_tokens(df, text, "_t1", stop_words).select("_t1")
-    single = _best(term_counts(words, "_t1"), k + KEPT_TIES)
-    floor = single[k - 1][1] if len(single) >= k else 0
-    frequent = [t for t, n in single if n >= floor]
-    if floor == 0 or (len(single) == k + KEPT_TIES and single[-1][1] >= floor):
-        return top_terms(df, text, k, stop_words, False)
-    known = f"transform(_t1, t -> if(t in ({_listed(frequent)}), t, '{RARE}'))"
-    marked = words.select(F.expr(known).alias("_t1"))
-    for n in (2, 3):
-        marked = NGram(n=n, inputCol="_t1", outputCol=f"_t{n}").transform(marked)
-    longer = F.filter(F.concat("_t2", "_t3"), lambda g: ~F.contains(g, F.lit(RARE)))
-    best = _best(term_counts(marked.select(longer.alias("g")), "g"), k)
-    both = sorted(single[:k] + best, key=lambda x: (-x[1], x[0].encode()))
-    return [t for t, _ in both[:k]]
+    counted = term_counts(with_terms(df, text, "_terms", stop_words), "_terms")
+    return [r.term for r in counted.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()]
 
 
 def literal_array(values: Sequence[float]) -> Column:
@@ -213,12 +188,15 @@ def _block_counts(
 
 def fit_features(
     texts: DataFrame, meta_k: int = META_FEATURES, desc_k: int = DESC_FEATURES,
-    stop_words: Sequence[str] = STOP_WORDS, prune: bool = True,
+    stop_words: Sequence[str] = STOP_WORDS,
 ) -> Features:
     """Vocabulary and smoothed idf over (hash, meta, body) rows."""
     stop = tuple(stop_words)
+    # Tokens are made once; vocabulary and frequencies both read them.
+    tokens = with_tokens(with_tokens(texts, "meta", "_meta_tokens", stop), "body", "_body_tokens", stop)
+    texts = materialise(tokens.select("_meta_tokens", "_body_tokens"), "tokens")
     vocabulary = {
-        text: tuple(top_terms(texts.select(text), text, k, stop, prune))
+        text: tuple(top_terms(texts.select(f"_{text}_tokens"), text, k, stop))
         for text, k in (("meta", meta_k), ("body", desc_k))
     }
     counted = _block_counts(texts, vocabulary["meta"], vocabulary["body"], stop)

@@ -5,9 +5,8 @@ cross-validation fits and the bootstrap members - is one weighting of the same
 rows, so each needs only its weighted Gram matrix, whose size depends on the
 vocabulary (at most a few thousand columns) and not on the rows.
 
-Rows up to ``TASK_ROWS`` are checked to fit one task per model. Beyond it the
-rows of a model are spread over many tasks, each emits the rows of its partial
-Gram matrix, and Spark sums them.
+The rows of a model are spread over tasks of about ``PART_ROWS`` rows, each emits
+the rows of its partial Gram matrix, and Spark sums them.
 """
 
 from __future__ import annotations
@@ -21,8 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TASK_ROWS = 10_000
-MODEL_PARTS = 32
+PART_ROWS = 10_000
 ALPHAS = np.logspace(-2, 2, 50)
 
 MODEL_SCHEMA = "model int, target int, alpha double, intercept double, weights array<double>"
@@ -49,22 +47,6 @@ def solve(gram: np.ndarray, width: int, targets: list[int], alpha: float) -> lis
     return [(t, c - mean @ w[:, k], w[:, k]) for k, (t, c) in enumerate(zip(targets, centres))]
 
 
-def solve_rows(
-    a: np.ndarray, weight: np.ndarray, width: int, targets: list[int], alpha: float
-) -> list[tuple]:
-    """As ``solve``, by the rows' inner products: cheaper with fewer rows than columns."""
-    n = weight.sum()
-    means = weight @ a / n
-    scaled = (a - means) * np.sqrt(weight)[:, None]
-    x, y = scaled[:, :width], scaled[:, width + 1 :]
-    kernel = x @ x.T
-    kernel[np.diag_indices(len(kernel))] += alpha
-    w = x.T @ np.linalg.solve(kernel, y[:, targets])
-    return [
-        (t, means[width + 1 + t] - means[:width] @ w[:, k], w[:, k]) for k, t in enumerate(targets)
-    ]
-
-
 def augmented(pdf: pd.DataFrame, width: int) -> np.ndarray:
     x = dense_rows(pdf["idx"], pdf["val"], width)
     y = np.stack(pdf["ys"].to_numpy())
@@ -128,23 +110,11 @@ def fit_weighted(
             }
         )
 
-    def from_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, weight = augmented(pdf, width), pdf["weight"].to_numpy()
-        if len(pdf) < width:
-            fitted = solve_rows(a, weight, width, targets, alpha)
-        else:
-            fitted = solve((a * weight[:, None]).T @ a, width, targets, alpha)
-        return table(int(pdf["model"].iloc[0]), fitted)
-
     def from_gram(pdf: pd.DataFrame) -> pd.DataFrame:
         fitted = solve(stack_gram(pdf, width, n_targets), width, targets, alpha)
         return table(int(pdf["model"].iloc[0]), fitted)
 
-    if n <= TASK_ROWS:
-        # An explicit number of parts keeps the models on different tasks.
-        spread = rows.repartition(MODEL_PARTS, "model")
-        return spread.groupBy("model").applyInPandas(from_rows, MODEL_SCHEMA)
-    salts = -(-n // TASK_ROWS)
+    salts = -(-n // PART_ROWS)
     grams = weighted_grams(rows, width, n_targets, salts)
     return grams.groupBy("model").applyInPandas(from_gram, MODEL_SCHEMA)
 
@@ -161,17 +131,6 @@ def _basis(gram: np.ndarray, width: int) -> tuple[float, np.ndarray, np.ndarray,
     return n, mean, v[:, keep], s[keep]
 
 
-def row_basis(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvectors and positive eigenvalues of x'x, by its smaller side."""
-    rows, columns = x.shape
-    if not columns:
-        return np.zeros((0, 0)), np.zeros(0)
-    s, u = np.linalg.eigh(x.T @ x if columns <= rows else x @ x.T)
-    keep = s > max(s.max(initial=0.0), 0.0) * max(rows, columns) * np.finfo(float).eps
-    s, u = s[keep], u[:, keep]
-    return (u, s) if columns <= rows else (x.T @ (u / np.sqrt(s)), s)
-
-
 def loo_errors(
     x: np.ndarray, y: np.ndarray, n: float, mean: np.ndarray, v: np.ndarray,
     s: np.ndarray, projected: np.ndarray, centres: np.ndarray,
@@ -219,19 +178,7 @@ def fit_by_loo(rows: DataFrame, n: int, width: int, n_targets: int, heads: int)
     vocabulary.
     """
 
-    def in_task(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = augmented(pdf, width)
-        x, y = a[:, :width], a[:, width + 1 : width + 1 + heads]
-        mean, centres = x.mean(axis=0), y.mean(axis=0)
-        v, s = row_basis(x - mean)
-        projected = v.T @ ((x - mean).T @ (y - centres))
-        errors = loo_errors(x, y, len(x), mean, v, s, projected, centres)
-        return _models(_chosen(errors, mean, v, s, projected, centres))
-
-    if n <= TASK_ROWS:
-        return rows.groupBy(F.lit(0).alias("all")).applyInPandas(in_task, MODEL_SCHEMA).toPandas()
-
-    salts = -(-n // TASK_ROWS)
+    salts = -(-n // PART_ROWS)
     weighted = rows.select("*", F.lit(0).alias("model"), F.lit(1.0).alias("weight"))
     # One Gram matrix, its size fixed by the vocabulary, is decomposed once.
     gram = stack_gram(weighted_grams(weighted, width, n_targets, salts).toPandas(), width, n_targets)

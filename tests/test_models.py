@@ -102,15 +102,15 @@ def test_heads_match_explicit_leave_one_out(model):
         np.testing.assert_allclose(head.weights, beta, atol=1e-8)
 
 
-def test_many_task_fit_equals_one_task_fit(spark, model, monkeypatch):
+def test_fits_do_not_depend_on_the_number_of_tasks(spark, model, monkeypatch):
     size = model.features.size
-    one = ridge.fit_by_loo(model.rows, model.n, size, 3, 2)
     drawn = surrogate.bootstrap_weights(model.rows, model.n, 4, 5).join(model.rows, "ordinal")
-    small = ridge.fit_weighted(drawn, model.n, size, 3, [2], 1.0).orderBy("model").toPandas()
-    monkeypatch.setattr(ridge, "TASK_ROWS", 5)
-    many = ridge.fit_by_loo(model.rows, model.n, size, 3, 2)
-    large = ridge.fit_weighted(drawn, model.n, size, 3, [2], 1.0).orderBy("model").toPandas()
-    for a, b in ((one, many), (small, large)):
+    found = []
+    for rows in (10_000, 5):
+        monkeypatch.setattr(ridge, "PART_ROWS", rows)
+        found.append((ridge.fit_by_loo(model.rows, model.n, size, 3, 2),
+                      ridge.fit_weighted(drawn, model.n, size, 3, [2], 1.0).orderBy("model").toPandas()))
+    for a, b in zip(*found):
         np.testing.assert_allclose(a["alpha"], b["alpha"])
         np.testing.assert_allclose(a["intercept"], b["intercept"], atol=1e-9)
         np.testing.assert_allclose(np.stack(a["weights"]), np.stack(b["weights"]), atol=1e-9)
