@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +34,11 @@ from postmill.session import materialise
 
 #: Length of the first list over the shortest possible one.
 WIDE = 2
-#: Pairs tried for each class before the exhaustive step, to join large groups cheaply.
-TRIES = 6
+#: Classes sharing a token from which they are compared in blocks, not as pairs.
+LARGE = 64
+#: Classes, and tokens of theirs, that a block holds on average at most.
+BLOCK_CLASSES = 1024
+BLOCK_TOKENS = 1 << 20
 
 # Salts of the two hash orders.
 ORDER_SALTS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
@@ -147,7 +151,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _groups(found: DataFrame) -> DataFrame:
-    """(token, cls, n, leads): classes that share a token of the rare-first order."""
+    """(token, cls, n, k): the k classes that share a token of the rare-first order."""
     posts = found.select("cls", "n", "wide", "rare", F.explode("tokens").alias("token"))
     counts = posts.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
     # Tokens met once come first in the order; only their number matters.
@@ -161,11 +165,76 @@ def _groups(found: DataFrame) -> DataFrame:
         .filter("single + at <= rare").select("token", "cls", "n")
     )
     rare = materialise(rare, "rare")
-    lead = F.xxhash64("token", "cls")
-    shared = rare.groupBy("token").agg(F.count("*").alias("k"), F.min(lead).alias("lead")).filter("k > 1")
-    return materialise(
-        rare.join(shared, "token").select("token", "cls", "n", (lead == F.col("lead")).alias("leads")), "groups"
+    shared = rare.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1")
+    return materialise(rare.join(shared, "token").select("token", "cls", "n", "k"), "groups")
+
+
+def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
+    """Common tokens of every two sets of a block."""
+    size = np.array([len(r) for r in rows])
+    tokens, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), size)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+    times = np.diff(np.r_[first, len(tokens)])
+    common = np.zeros((len(rows), len(rows)), np.int32)
+    for k in range(2, 16):  # tokens of few sets: their pairs one by one
+        members = owner[first[times == k][:, None] + np.arange(k)]
+        for i in range(k):
+            for j in range(k):
+                if i != j:
+                    np.add.at(common, (members[:, i], members[:, j]), 1)
+    many = first[times >= 16]
+    for lo in range(0, len(many), 1024):
+        held = np.zeros((len(rows), min(1024, len(many) - lo)), np.float32)
+        for k, at in enumerate(many[lo : lo + 1024]):
+            end = at + times[np.searchsorted(first, at)]
+            held[owner[at:end], k] = 1
+        common += (held @ held.T).astype(np.int32)
+    return common
+
+
+def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what the matrix of links joins, one less than nodes for each tree."""
+    waiting, out = np.ones(len(linked), bool), []
+    for root in range(len(linked)):
+        if not waiting[root]:
+            continue
+        waiting[root], front = False, [root]
+        while front:
+            node = front.pop()
+            near = np.flatnonzero(linked[node] & waiting)
+            waiting[near] = False
+            out += [(node, int(k)) for k in near]
+            front += near.tolist()
+    return out
+
+
+def _block_links(piles: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join all similar classes of each pile (cls, pile).
+
+    Every two classes of a pile are compared, block against block, by products of
+    matrices; only a forest of links leaves a task.
+    """
+    sizes = piles.join(sets.select("cls", F.size("tokens").alias("size")), "cls").groupBy("pile").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_TOKENS)).alias("blocks")
+    )
+    placed = piles.join(sizes, "pile").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     )
+    dealt = placed.select(
+        "cls", "pile", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    ).join(sets.select("cls", "tokens"), "cls")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        cls, size = pdf["cls"].to_numpy(), np.array([len(t) for t in pdf["tokens"]], np.int64)
+        common = _overlaps([np.asarray(t) for t in pdf["tokens"]]).astype(np.int64)
+        linked = common * 100 >= percent * (size[:, None] + size[None, :] - common)
+        np.fill_diagonal(linked, False)
+        links = _forest(linked)
+        return pd.DataFrame({"a": cls[[u for u, _ in links]], "b": cls[[v for _, v in links]]}, dtype="int64")
+
+    return dealt.groupBy("pile", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def similar_texts(
@@ -178,10 +247,10 @@ def similar_texts(
     included; a row with an empty set is its own component. ``group`` tells components
     apart where ids repeat; it is null for an empty set.
 
-    Large groups are joined without forming all their pairs: each class is first tried
-    against a few leaders, each chosen by hash in one of the groups that share a token;
-    only groups that still hold more than one component then form pairs, and only
-    across components. Every pair whose link could still matter is compared.
+    Classes that share a frequent token are compared in blocks, which return links that
+    join them, not all pairs. The others form pairs, fewer than ``LARGE`` for each token
+    of theirs, and only across what is not joined yet. Every pair whose link could still
+    matter is compared.
     """
     texts = docs.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"),
@@ -190,15 +259,6 @@ def similar_texts(
     found = materialise(class_rows(texts, words, percent), "classes")
     rows = found.select("id", "text_hash", "n", "cls")
     groups = _groups(found)
-    first = Window.partitionBy("b").orderBy(F.xxhash64("token"), "token")
-    tries = (
-        groups.filter("leads").select("token", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-        .join(groups.filter("NOT leads").select("token", F.col("cls").alias("b"), F.col("n").alias("n_b")), "token")
-        .filter((F.col("a") != F.col("b")) & _near(F.col("n_a"), F.col("n_b"), percent))
-        .withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TRIES)
-        .select("a", "b").distinct()
-    )
-
     # The sets of classes that are in a group, each from one of its rows.
     involved = groups.select("cls").distinct()
     chosen = (
@@ -211,9 +271,14 @@ def similar_texts(
     )
     sets = materialise(_sets(own, words, percent).dropDuplicates(["cls"]), "sets")
 
-    early = materialise(_linked(tries, sets, percent), "links")
+    # Piles: classes that frequent tokens tie together.
+    large = groups.filter(F.col("k") >= LARGE)
+    ties = large.join(large.groupBy("token").agg(F.min("cls").alias("low")), "token").select("cls", "low").distinct()
+    piles = materialise(components(ties, "cls", "low").select(
+        F.col("node").alias("cls"), F.col("component").alias("pile")), "piles")
+    early = materialise(_block_links(piles, sets, percent), "links")
     joined = components(early, "a", "b")
-    placed = groups.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(
+    placed = groups.filter(F.col("k") < LARGE).join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(
         "token", "cls", "n", F.coalesce("component", "cls").alias("component")
     )
     mixed = placed.groupBy("token").agg(
