@@ -93,6 +93,20 @@ def select_universe(
     return universe, unique.filter(forced)
 
 
+def stage_counts(
+    df: DataFrame, keep: Column | None = None, fields: Sequence[str] = DEDUP_FIELDS,
+    order_by: Sequence[Column | str] = ("ord",),
+) -> DataFrame:
+    """One row (total, unique_rows, matched): rows before, after deduplication, after matching."""
+    matched = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    unique, both = F.lit("unique_rows"), F.array(F.lit("unique_rows"), F.lit("matched"))
+    met = dedup_first(df, fields, order_by).select(
+        F.explode(F.when(matched, both).otherwise(F.array(unique))).alias("stage")
+    )
+    stages = df.select(F.lit("total").alias("stage")).unionAll(met)
+    return stages.agg(*[F.count_if(F.col("stage") == s).alias(s) for s in ("total", "unique_rows", "matched")])
+
+
 def unscored(df: DataFrame, scored: DataFrame) -> DataFrame:
     """Rows whose hash has no score yet."""
     return df.join(scored.select("hash").distinct(), "hash", "left_anti")

@@ -36,6 +36,11 @@ def first_degree(contacts: DataFrame) -> DataFrame:
     return contacts.select(company_key("company").alias("company_key"), "ord", "name", "url")
 
 
+def not_known(contacts: DataFrame, first: DataFrame) -> DataFrame:
+    """Contacts whose url is no own contact's, at whatever company that one is known."""
+    return contacts.join(first.select("url").distinct(), "url", "left_anti")
+
+
 def second_degree(contacts: DataFrame, first: DataFrame) -> DataFrame:
     """Contacts of contacts by company and intermediary, each url once per company.
 
@@ -44,9 +49,8 @@ def second_degree(contacts: DataFrame, first: DataFrame) -> DataFrame:
     they are known. A url stays with the first intermediary in person order.
     """
     keyed = contacts.withColumn("company_key", company_key("company"))
-    unknown = keyed.join(first.select("url").distinct(), "url", "left_anti")
     return first_per_key(
-        unknown, [F.col("company_key"), F.col("url")], [F.col("person"), F.col("ord")]
+        not_known(keyed, first), [F.col("company_key"), F.col("url")], [F.col("person"), F.col("ord")]
     ).select("company_key", "person", "via_name", "via_url", "ord", "name", "url")
 
 

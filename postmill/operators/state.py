@@ -58,6 +58,13 @@ def upsert_and_evict(
     return stamped.unionByName(survivors)
 
 
+def superseded(store: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Stored rows whose url was observed again under another hash: edited postings."""
+    return store.join(fresh.select("url").distinct(), "url", "left_semi").join(
+        fresh.select("hash").distinct(), "hash", "left_anti"
+    )
+
+
 def invalid_stamps(store: DataFrame) -> DataFrame:
     """Stored rows whose stamp cannot be aged; a store must have none."""
     return store.filter(parse_iso("last_seen_at").isNull())

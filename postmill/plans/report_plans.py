@@ -80,7 +80,7 @@ def second_degree_groups(spark, sf):
        ("v_first",))
 def known_urls_left_out(spark, sf):
     first = enrich.first_degree(v.first_contacts(spark, sf))
-    return v.network_contacts(spark, sf).join(first.select("url").distinct(), "url", "left_anti").select("ord")
+    return enrich.not_known(v.network_contacts(spark, sf), first).select("ord")
 
 
 @query("jon5_jon6_contact_counts", """

@@ -84,11 +84,7 @@ def store_counts(spark, sf):
     SELECT s.hash, s.url FROM v_store s WHERE s.url IN (SELECT url FROM v_fresh)
       AND s.hash NOT IN (SELECT hash FROM v_fresh)""", ("v_store", "v_fresh"))
 def superseded(spark, sf):
-    store, fresh = v.store(spark, sf), v.fresh(spark, sf)
-    return (
-        store.join(fresh.select("url").distinct(), "url", "left_semi")
-        .join(fresh.select("hash").distinct(), "hash", "left_anti").select("hash", "url")
-    )
+    return state.superseded(v.store(spark, sf), v.fresh(spark, sf)).select("hash", "url")
 
 
 @query("flt3_retention", """

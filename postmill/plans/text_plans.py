@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, html, match, pay, text
-from postmill.operators.dedup import dedup_first, select_universe
+from postmill.operators.dedup import dedup_first, select_universe, stage_counts
+from postmill.operators.state import store_place
 from postmill.operators.report import parse_score
 from postmill.plans import views as v
 from postmill.plans.registry import query
@@ -366,7 +367,13 @@ match_query("mat6_adjacent_words", f"{sql_match('the')} AND {sql_match('nation')
             lambda: match.words("the nation en"))
 match_query("mat7_folding", sql_match(f"c{GAP}ndre", end="") + " OR " + sql_match("eon"), lambda: match.any_of(
     [match.phrase("c++ ndre", prefix=True), match.term("ÉÓN")]))
-match_query("mat8_empty_query", "TRUE", lambda: F.lit(True))
+
+
+@query("mat8_empty_query", "SELECT ord, hash FROM v_postings", ("v_postings",))
+def empty_query(spark, sf):
+    return match.matching(v.postings(spark, sf), None).select("ord", "hash")
+
+
 match_query("prj6_keyword_lines", f"{sql_match('avec')} OR {sql_match('nicht')}", lambda: match.any_of(
     [match.term(line) for line in match.keyword_lines("# languages\n\navec\n  nicht  \n")]))
 
@@ -393,16 +400,19 @@ def forced_rows(spark, sf):
     return select_universe(v.postings(spark, sf), match.term("the"), match.term("der"))[1].select("hash", "ord")
 
 
+@query("set1_fresh_wins", f"""
+    SELECT hash, ord FROM (
+        SELECT *, row_number() OVER (PARTITION BY title, company, team, description
+                                     ORDER BY CAST(last_seen_at AS TIMESTAMP) DESC NULLS LAST, ord) AS rn
+        FROM v_postings) WHERE rn = 1 AND {sql_match('the')}""", ("v_postings",))
+def fresh_wins(spark, sf):
+    chosen, _ = select_universe(v.postings(spark, sf), match.term("the"), order=store_place())
+    return chosen.select("hash", "ord")
+
+
 @query("agg9_filter_counts", f"""
     , unique_rows AS (SELECT DISTINCT ON (title, company, team, description) * FROM v_postings)
     SELECT (SELECT count(*) FROM v_postings) AS total, count(*) AS unique_rows,
            count(*) FILTER (WHERE {sql_match('the')}) AS matched FROM unique_rows""", ("v_postings",))
 def filter_counts(spark, sf):
-    p = v.postings(spark, sf)
-    stages = (
-        p.select(F.lit("total").alias("stage"))
-        .unionAll(dedup_first(p).select(F.explode(F.when(
-            match.term("the"), F.array(F.lit("unique_rows"), F.lit("matched"))
-        ).otherwise(F.array(F.lit("unique_rows")))).alias("stage")))
-    )
-    return stages.agg(*[F.count_if(F.col("stage") == s).alias(s) for s in ("total", "unique_rows", "matched")])
+    return stage_counts(v.postings(spark, sf), match.term("the"))
