@@ -5,8 +5,7 @@ makes the largest inner product the smallest distance. Each of `CURVES` curves p
 the lifted vectors to `PLANES` random directions, scales each by its spread, shifts the
 grid by a random amount and orders the vectors by their Hilbert key. Spark sorts all
 curves' keys by range and numbers them; a query meets the vectors up to `SHARE` of the
-table before and after it on each curve. Windows are cut into blocks of `BLOCK` vectors,
-joined by block, scored with exact inner products, and merged.
+table before and after it on each curve. Windows are cut into blocks, joined by block, scored with exact inner products, and merged.
 
 Copies of a vector beyond the first `k + 1` by id can be in no list of k, as ties go to
 the smaller id, and are left out of the curves; their lists are found like all others.
@@ -39,7 +38,13 @@ CURVES = 6
 PLANES = 3
 BITS = 12
 SHARE = 0.14
+#: Least and most vectors of a block; in between half the reach of a window, so that a
+#: query meets as many blocks at any size.
 BLOCK = 1024
+LARGEST_BLOCK = 65_536
+#: Queries of a part, and products held at a time.
+QUERIES = 4096
+PRODUCTS = 1 << 21
 NEAREST = 20
 
 
@@ -134,23 +139,27 @@ def nearest(
         "curves",
     )
     reach = max(int(np.ceil(share * total)), 2 * k)
+    block = min(max(BLOCK, reach // 2), LARGEST_BLOCK)
     low, high = F.greatest(F.col("at") - reach, F.lit(0)), F.least(F.col("at") + reach, F.lit(max(total - 1, 0)))
     # A block's queries are dealt to parts of bounded size; each part gets the block.
-    parts = max(1, -(-(n_asked or 0) * (2 * reach + 2 * BLOCK) // (max(total, 1) * 4 * BLOCK)))
+    parts = max(1, -(-(n_asked or 0) * (2 * reach + 2 * block) // (max(total, 1) * QUERIES)))
     asked = placed.filter("asks").select(
-        "curve", F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK))).alias("block"),
+        "curve", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))).alias("block"),
         F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", "v",
     )
     held = placed.filter("stays").select(
-        "curve", F.floor(F.col("at") / BLOCK).alias("block"),
+        "curve", F.floor(F.col("at") / block).alias("block"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "id", "v",
     )
 
     def score(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        for lo in range(0, len(queries) if len(found) else 0, BLOCK):
-            table, names = np.stack(found["v"].to_numpy()), found["id"].to_numpy()
-            some = queries.iloc[lo : lo + BLOCK]
+        if not len(queries) or not len(found):
+            return out[0]
+        table, names = np.stack(found["v"].to_numpy()), found["id"].to_numpy()
+        some_of = max(1, PRODUCTS // len(table))
+        for lo in range(0, len(queries), some_of):
+            some = queries.iloc[lo : lo + some_of]
             who, ask = some["id"].to_numpy(), np.stack(some["v"].to_numpy())
             # Equal vectors must tie: the last digits of a product of matrices may differ.
             rough = np.round(ask @ table.T, 12)
