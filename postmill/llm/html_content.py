@@ -16,8 +16,9 @@ trimmed and joined by two line feeds in page order. `br` is white space. Nothing
 dropped or capped by length.
 
 Defined cases: a null or empty page, or one without content, gives an empty text. Broken
-markup is closed as browsers do for paragraphs, list items and table cells; stray end
-tags are ignored. Identical rows get identical results, other columns are ignored, an
+markup is closed as browsers do for paragraphs, list items and table cells; a head ends
+at the first tag or text it cannot hold; stray end tags are ignored. Scripts, styles,
+templates, titles, frames and the choices and entries of forms have no text of the page. Identical rows get identical results, other columns are ignored, an
 empty table gives an empty result.
 """
 
@@ -35,9 +36,18 @@ from pyspark.sql import functions as F
 # Elements by their part in a page.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span"
-    " strike strong sub sup time tt u var wbr".split()
+    " strike strong sub sup time tt u var wbr noscript object param canvas"
+    # Formulas and drawings stand in a line of text.
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom mspace msub msup msubsup munder mover"
+    " munderover mmultiscripts mprescripts mtable mtr mtd semantics annotation annotation-xml"
+    " svg g text tspan textpath path circle ellipse rect line polyline polygon use defs symbol marker image lineargradient"
+    " radialgradient stop clippath mask pattern filter foreignobject".split()
 )
-SILENT = frozenset("script style template noscript head title svg math iframe object canvas select datalist textarea".split())
+SILENT = frozenset("script style template head title iframe select datalist textarea".split())
+# What a head may hold; anything else ends it, as `</head>` may be left out.
+HEAD = frozenset("base basefont bgsound link meta title script style template noscript noframes".split())
+# Parts of a drawing that describe it and are not shown.
+UNSEEN = frozenset(("desc", "metadata"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -103,21 +113,35 @@ class _Tree(HTMLParser):
         self.size.append(0)
 
     def _pop(self, depth: int) -> None:
-        if any(tag not in INLINE for tag, _ in self.stack[depth:]):
+        if any(node >= 0 for _, node in self.stack[depth:]):
             self._text_ends()
         for tag, node in self.stack[depth:]:
-            self.silent -= tag in SILENT
+            self.silent -= node == _SILENT
             self.anchors -= tag == "a"
-            if tag not in INLINE and tag not in SILENT:
+            if node >= 0:
                 self.here = self.parent[node]
         del self.stack[depth:]
-        blocks = [node for tag, node in self.stack if tag not in INLINE and tag not in SILENT]
+        blocks = [node for _, node in self.stack if node >= 0]
         self.here = blocks[-1] if blocks else 0
 
+    def _head_ends(self) -> None:
+        """Closes an open head, unless the place is inside a silent element of it."""
+        for k in range(len(self.stack) - 1, -1, -1):
+            tag, node = self.stack[k]
+            if tag == "head":
+                self._pop(k)
+            if node == _SILENT:
+                break
+
     def handle_starttag(self, tag, attrs):
+        if tag not in HEAD and self.silent:
+            self._head_ends()
+        if tag == "head" and any(t != "html" for t, _ in self.stack):
+            return
         if tag == "br":
             self.run.append(" ")
             return
+        silent = tag in SILENT or (tag in UNSEEN and any(t == "svg" for t, _ in self.stack))
         if tag not in INLINE:
             open_tags = [t for t, _ in self.stack]
             if tag in CLOSES:
@@ -128,15 +152,15 @@ class _Tree(HTMLParser):
                     if open_tags[k] in ends:
                         self._pop(k)
                         break
-            elif "p" in open_tags and tag not in SILENT and tag not in VOID:
+            elif "p" in open_tags and not silent and tag not in VOID:
                 self._pop(len(open_tags) - 1 - open_tags[::-1].index("p"))
         if tag in VOID:
             if tag not in INLINE:
                 self._text_ends()
             return
         node = -1
-        if tag in SILENT:
-            self.silent += 1
+        if silent:
+            self.silent, node = self.silent + 1, _SILENT
         elif tag not in INLINE:
             self._text_ends()
             given = dict(attrs)
@@ -159,12 +183,15 @@ class _Tree(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if self.silent and not data.isspace():
+            self._head_ends()
         if not self.silent:
             self.run.append(data)
             if self.anchors:
                 self.run_links += len(data)
 
 
+_SILENT = -2
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 
 

@@ -78,3 +78,26 @@ def test_edge_pages(spark, model):
     by = [r.text for r in got]
     assert by[0] == by[1] == by[2] == "" and by[7] == " ".join(["word"] * 50_000) and by[8] == "x" and by[9] == ""
     assert df.limit(0).select(html_content.content(df["html"], model)).collect() == []
+
+
+def test_optional_tags_may_be_left_out(model):
+    inner = "<article><h1>Head</h1><p>First part of the text goes on.<p>Second part of the text.</article>"
+    text = "Head\n\nFirst part of the text goes on.\n\nSecond part of the text."
+    heads = ["<html><head><title>T</title><body>", "<html><head><title>T</title>", "<head><meta charset=utf-8><title>T</title>",
+             "<title>T</title>", "<html><head><title>T</title></head>", "<head><template><p>x</p></template><style>p{}</style><body>",
+             "<head><noscript><link href=x></noscript><script>a<b</script>\n<body>", "<head><noscript><img src=x></noscript><body>", ""]
+    assert html_content.texts_of([h + inner for h in heads], model) == [text] * len(heads)
+    assert html_content.texts_of(["<head><title>T</title>Bare text", "<head>\n<title>T</title>"], model) == ["Bare text", ""]
+    late = "<html><head></head><body><article><p>One part of the text.</p><head><p>Two parts of the text.</p></article>"
+    assert html_content.texts_of([late], model) == ["One part of the text.\n\nTwo parts of the text."]
+
+
+def test_formulas_drawings_and_fallbacks_of_an_article_are_text(model):
+    page = """<html><head><title>T</title></head><body><article><h1>Head</h1>
+    <p>Where <math><msup><mi>x</mi><mn>2</mn></msup></math> holds and <object data=f><param name=a>the file</object> or
+    <canvas>the chart</canvas> is <noscript>plainly</noscript> seen<script>no()</script>.</p>
+    <p>In <svg><title>no</title><desc>no</desc><g><text>the drawing</text></g></svg> it is
+    <select><option>no</select></p></article></body></html>"""
+    assert html_content.texts_of([page], model) == [
+        "Head\n\nWhere x2 holds and the file or the chart is plainly seen.\n\nIn the drawing it is"
+    ]
