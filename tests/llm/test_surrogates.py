@@ -74,3 +74,34 @@ def test_edge_texts(spark):
     assert run(spark, docs) == new != run(spark, docs, "other key")
     df = spark.createDataFrame([], "doc_id long, text string")
     assert surrogates.replaced(df, "k").collect() == []
+
+
+def test_bare_mentions_of_a_name_found_get_its_surrogate(spark):
+    new = run(spark, [
+        (1, "Mr Paul Berg called. Paul Berg left, Berg said; Berg's Bergen and ex-Berg."), (2, "Dr Anna Berg or Mrs Anna Berg"),
+        (3, "Paul stays where no title is."), (4, "Mr Paul met Paul"),
+    ])
+    a = re.fullmatch(r"Mr (\w+) (\w+) called\. (\w+) (\w+) left, (\w+) said; (\w+)'s Bergen and ex-(\w+)\.", new[0])
+    assert a[1] == a[3] != "Paul" and a[2] == a[4] == a[5] == a[6] == a[7] != "Berg" and a[1].endswith(surrogates.ENDINGS["male"])
+    b = re.fullmatch(r"Dr (\w+) (\w+) or Mrs (\w+) (\w+)", new[1])
+    assert b[1] == b[3] and b[2] == b[4] == a[2] and b[1].endswith(surrogates.ENDINGS["female"])
+    assert new[2] == "Paul stays where no title is." and new[3] == f"Mr {a[1]} met {a[1]}"
+    df = spark.createDataFrame([(1, "Mr Paul Berg: Paul Berg")], "doc_id long, text string")
+    assert [r["__entities"] for r in surrogates.replaced(df, "k").collect()] == [3]
+
+
+def test_secrets_whole_spaced_phones_and_long_addresses(spark):
+    new = run(spark, [
+        (1, "password=hunter2, password=Tr0ub4dor&3 end"), (2, "secret: 'two words, & 1' {\"token\": \"ab\\\"cd\"} api_key=\u5bc6\u78bc9."),
+        (3, "call 555 123 4567 or (555) 123-4567 or 06 12 34 56 78."), (4, "at fe80::1, FE80:0:0:0:0:0:0:1 and 2a00:1450:4001:81b::200e."),
+        (5, "at 12:30:45, x[::2], std::abs, ::ffff:42.144.35.254 and password=****"),
+    ])
+    a = re.fullmatch(r"password=([a-z]{6}\d), password=(\w{9})&(\d) end", new[0])
+    assert a[1] != "hunter2" and a[2] != "Tr0ub4dor"
+    b = re.fullmatch(r"secret: '([a-z]{3}) ([a-z]{5}), & (\d)' \{\"token\": \"(\w\w\\\"\w\w)\"\} api_key=([a-z]{2}\d)\.", new[1])
+    assert b[1] != "two" and b[2] != "words" and b[4] != "ab\\\"cd"
+    c = re.fullmatch(r"call (\d{3} \d{3} \d{4}) or (\(\d{3}\) \d{3}-\d{4}) or (\d\d(?: \d\d){4})\.", new[2])
+    assert c[1] != "555 123 4567" and re.sub(r"\D", "", c[1]) == re.sub(r"\D", "", c[2]) and c[3] != "06 12 34 56 78"
+    d = re.fullmatch(r"at (2001:0db8(?::[0-9a-f]{4}){6}), (2001:0db8(?::[0-9a-f]{4}){6}) and (2001:0db8(?::[0-9a-f]{4}){6})\.", new[3])
+    assert d[1] == d[2] != d[3]
+    assert re.fullmatch(r"at 12:30:45, x\[::2\], std::abs, ::ffff:2[45]\d(\.\d+){3} and password=\*\*\*\*", new[4])
