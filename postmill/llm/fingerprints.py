@@ -8,7 +8,7 @@ of up to two thousand million terms is counted without overflow.
 
 `near_fingerprints` splits the bits into `radius + 2` blocks. Two fingerprints within
 the radius differ in at most `radius` blocks, so they agree on two whole blocks: one
-table for each pair of blocks, keyed by the blocks' bits, meets them all. Equal
+table for each pair of blocks, keyed by a hash of the blocks' bits, meets them all. Equal
 fingerprints are one class and meet once, however many rows have it.
 
 Defined cases: a null text is empty; a text without words has the fingerprint of no
@@ -29,7 +29,8 @@ from postmill.session import materialise
 
 BITS = 128
 WORDS = 5
-RADIUS = 4
+#: The widest that two equal blocks hold: their bits still tell millions of fingerprints apart.
+RADIUS = 8
 #: Ranges of ids, each sorted by one task, for every shuffle partition.
 RANGES = 4
 
@@ -101,21 +102,19 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Each pair is returned once, the smaller fingerprint first.
     """
-    blocks, size = radius + 2, -(-BITS // (radius + 2))
-    masks = [_halves(sum(1 << b for b in range(k * size, min((k + 1) * size, BITS)))) for k in range(blocks)]
+    blocks = radius + 2
+    cuts = [k * BITS // blocks for k in range(blocks + 1)]
+    masks = [_halves(sum(1 << b for b in range(*ends))) for ends in zip(cuts, cuts[1:])]
     tables = list(combinations(range(blocks), 2))
     classes = prints.select("high", "low").distinct()
 
     def key(i: int, j: int) -> Column:
         high, low = masks[i][0] | masks[j][0], masks[i][1] | masks[j][1]
-        return F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            F.col("high").bitwiseAND(F.lit(high)).alias("h"), F.col("low").bitwiseAND(F.lit(low)).alias("l"),
-        )
+        bits = F.xxhash64(F.col("high").bitwiseAND(F.lit(high)), F.col("low").bitwiseAND(F.lit(low)))
+        # One long: the table in the upper 16 bits, a hash of the blocks' bits below.
+        return bits.bitwiseAND(F.lit((1 << 48) - 1)).bitwiseOR(F.lit(_signed(i << 56 | j << 48)))
 
-    rows = classes.select("high", "low", F.explode(F.array(*[key(i, j) for i, j in tables])).alias("t")).select(
-        "high", "low", "t.*"
-    )
+    rows = classes.select("high", "low", F.explode(F.array(*[key(i, j) for i, j in tables])).alias("key"))
 
     def side(name: str) -> DataFrame:
         return rows.select(*[F.col(c).alias(f"{c}_{name}") for c in rows.columns])
@@ -123,13 +122,14 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     high, low = F.col("high_a").bitwiseXOR(F.col("high_b")), F.col("low_a").bitwiseXOR(F.col("low_b"))
     equal = [(high.bitwiseAND(F.lit(h)).bitwiseOR(low.bitwiseAND(F.lit(m))) == 0) for h, m in masks]
     # A pair meets in several tables; it counts in that of its first two equal blocks.
+    first, second = F.shiftrightunsigned("key_a", 56), F.shiftrightunsigned("key_a", 48).bitwiseAND(F.lit(255))
     met_first = F.lit(True)
     for k in range(blocks):
-        met_first = met_first & ((F.lit(k) >= F.col("j_a")) | (F.lit(k) == F.col("i_a")) | ~equal[k])
+        own = (F.lit(k) == first) | (F.lit(k) == second)
+        met_first = met_first & F.when(own, equal[k]).otherwise((F.lit(k) > second) | ~equal[k])
     return side("a").join(
         side("b"),
-        (F.col("i_a") == F.col("i_b")) & (F.col("j_a") == F.col("j_b"))
-        & (F.col("h_a") == F.col("h_b")) & (F.col("l_a") == F.col("l_b"))
+        (F.col("key_a") == F.col("key_b"))
         & ((F.col("high_a") < F.col("high_b")) | ((F.col("high_a") == F.col("high_b")) & (F.col("low_a") < F.col("low_b"))))
         & (F.bit_count(high) + F.bit_count(low) <= radius) & met_first,
     ).select("high_a", "low_a", "high_b", "low_b")

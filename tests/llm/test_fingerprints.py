@@ -1,4 +1,5 @@
 import hashlib
+import random
 from itertools import combinations
 
 from postmill.llm import fingerprints
@@ -63,3 +64,12 @@ def test_repeated_and_null_ids(spark):
     rows = fingerprints.report(df).collect()
     assert len(rows) == 5
     assert len({r.fingerprint for r in rows if r.n_chars == 5 and r.id == 3}) == 2
+
+
+def test_copies_with_one_changed_word_are_near(spark):
+    rng, docs = random.Random(8), []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(504)]
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:250] + ["changed"] + words[251:]))]
+    rows = fingerprints.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == 80 and max(r.n_near for r in rows) == 1 and sum(r.n_near for r in rows) >= 64
