@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import fingerprints, html_content, language, line_dedup, mixing, neighbours, ngram_join, packing, quality, surrogates
+from postmill.llm import (
+    fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, packing, quality,
+    surrogates,
+)
 from postmill.llm.samples import remainder
 
 
@@ -109,6 +112,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and the 5 % that are drawn."""
+    found = importance.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=5, seed=42)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -120,6 +129,7 @@ QUERIES = {
     "op8_pii_surrogates": op8_pii_surrogates,
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_importance_resampling": op11_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
