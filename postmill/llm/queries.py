@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import (
-    fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, packing, quality,
+    conversation_repair, fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, packing, quality,
     surrogates,
 )
 from postmill.llm.samples import remainder
@@ -118,6 +118,33 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows, some dropped, emptied, cut, repeated or given to the user, by their keys."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    text, role = F.coalesce("text", space), F.coalesce("role", space)
+    return (
+        rows.withColumn("kind", F.crc32(key) % 20).filter("kind <> 0")
+        .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))))
+        .select(
+            "conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(role).alias("role"),
+            F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        )
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired by its cheapest edits."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.report(damaged(rows))
+    every = rows.select("conv_id").distinct()
+    none = F.sha2(F.lit(""), 256)
+    defaults = {"audit": F.lit(""), "repaired_sha256": none}
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        "conv_id", *[F.coalesce(c, defaults.get(c, F.lit(0).cast("long"))).alias(c) for c in found.columns if c != "id"]
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -130,6 +157,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_importance_resampling": op11_importance_resampling,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
