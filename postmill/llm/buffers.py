@@ -57,13 +57,14 @@ def runs(offsets: np.ndarray, size: int = RUN) -> Iterator[tuple[int, int]]:
 
 
 class WordHasher:
-    """64-bit hashes of words, equal after folding A-Z, the same in every task."""
+    """64-bit hashes of words, equal after folding A-Z unless told not to, the same in every task."""
 
-    def __init__(self) -> None:
+    def __init__(self, fold: bool = True) -> None:
         self.space = np.zeros(256, bool)
         self.space[list(WHITE)] = True
         codes = np.arange(256, dtype=np.uint64)
-        codes[UPPER[0] : UPPER[1] + 1] += np.uint64(32)
+        if fold:
+            codes[UPPER[0] : UPPER[1] + 1] += np.uint64(32)
         self.values = mix(codes * _BASE + np.uint64(1))
         self._grow(RUN)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import (
     conversation_repair, fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, packing, quality,
-    surrogates,
+    substring_dedup, surrogates,
 )
 from postmill.llm.samples import remainder
 
@@ -145,6 +145,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words, how many are in runs of 35 that are met elsewhere, and what is left."""
+    return substring_dedup.report(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -158,6 +163,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "op11_importance_resampling": op11_importance_resampling,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -179,4 +185,17 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id)
         SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id
         FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL""",
+    "op13_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        s AS (SELECT r, unnest(range(1, len(w) - 33)) AS i, w FROM d WHERE len(w) >= 35),
+        h AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g FROM s),
+        m AS (SELECT g FROM h GROUP BY g HAVING count(*) > 1),
+        g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM h SEMI JOIN m ON h.g = m.g),
+        k AS (SELECT r, list(j) AS gone FROM g GROUP BY r),
+        x AS (SELECT d.r, doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN k ON k.r = d.r),
+        u AS (SELECT r, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS j FROM d),
+        o AS (SELECT u.r, string_agg(t, ' ' ORDER BY u.j) AS kept FROM u ANTI JOIN g ON g.r = u.r AND g.j = u.j GROUP BY u.r)
+        SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM x LEFT JOIN o ON o.r = x.r""",
 }
