@@ -148,6 +148,104 @@ def phrase(text: str, cols=None, *, prefix: bool = False, initial: bool = False)
     return any_of([found(n) for n in names])
 
 
+def _trie(phrases: Iterable[tuple[str, bool]]) -> dict:
+    """Folded phrases as nested nodes; a space is a gap between tokens. Ends are marked by whether they are prefixes."""
+    root: dict = {}
+    for text, open_ended in phrases:
+        node = root
+        for char in text:
+            node = node.setdefault(char, {})
+        node.setdefault("ends", set()).add(open_ended)
+    return root
+
+
+def _trie_pattern(node: dict, ascii_text: bool) -> str:
+    """Expression of the longest phrase of a trie at a place, whole tokens at its end."""
+    word = ASCII_WORD if ascii_text else WORD
+    ways = []
+    for char, below in node.items():
+        if char == "ends":
+            continue
+        first = f"[^{word}]+" if char == " " else _char_class(char, ascii_text)
+        ways.append(first + _trie_pattern(below, ascii_text))
+    ends = node.get("ends", set())
+    if True in ends:
+        ways.append(f"[{word}]*+")
+    elif ends:
+        ways.append(f"(?![{word}])")
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+class Keywords:
+    """Many phrases that are looked for in one pass over each column.
+
+    All phrases form one trie-shaped expression, which finds the longest of them at every
+    token. ``scan`` adds what was found, a short list per column; ``has`` reads a phrase
+    from these lists, so a Boolean tree of any size costs one scan of the text.
+    """
+
+    def __init__(self, phrases: Iterable[str], prefixes: Iterable[str] = (), cols=None, name: str = "_found") -> None:
+        self.names, self.name = _resolve(cols), name
+        folded = [(" ".join(fold_tokens(t)), False) for t in phrases]
+        folded += [(" ".join(fold_tokens(t)), True) for t in prefixes]
+        self.known = {f for f in folded if f[0]}
+
+    def _pattern(self, ascii_text: bool) -> str | None:
+        """Expression of what is met at a token; null if none of the phrases is in ASCII letters."""
+        fitting = sorted(f for f in self.known if f[0].isascii() or not ascii_text)
+        if not fitting:
+            return None
+        word, heads = ASCII_WORD if ascii_text else WORD, {f[0][0] for f in fitting}
+        first = "|".join(sorted(_char_class(h, ascii_text).removesuffix(f"[{MARKS}]*") for h in heads))
+        return f"(?={first})(?<![{word}])(?=({_trie_pattern(_trie(fitting), ascii_text)}))"
+
+    def _found(self, column: str) -> Column:
+        c, none = F.coalesce(F.col(column), F.lit("")), F.array().cast("array<string>")
+        plain, full = self._pattern(True), self._pattern(False)
+
+        def met(pattern: str | None) -> Column:
+            return none if pattern is None else F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)))
+
+        return F.when(is_ascii(c), met(plain)).otherwise(met(full))
+
+    def scan(self, df):
+        """``df`` with what was found in each column."""
+        return df.withColumn(self.name, F.struct(*[self._found(c).alias(c) for c in self.names]))
+
+    def has(self, text: str, cols=None, *, prefix: bool = False) -> Column:
+        """Whether a phrase of the set was found in one of the columns scanned."""
+        wanted = (" ".join(fold_tokens(text)), prefix)
+        names = self.names if cols is None else _resolve(cols)
+        if set(names) - set(self.names):
+            raise ValueError(f"columns not scanned: {', '.join(sorted(set(names) - set(self.names)))}")
+        if not wanted[0]:
+            return F.lit(False)
+        if wanted not in self.known:
+            raise ValueError(f"phrase not in the set: {text}")
+        # What was found begins with the phrase if the phrase was met there.
+        pattern = f"^{_pattern(wanted[0].split(), prefix, False, False)}"
+        return any_of([F.exists(F.col(self.name)[c], lambda x: F.rlike(x, F.lit(pattern))) for c in names])
+
+    def any(self) -> Column:
+        """Whether any phrase of the set was found."""
+        return any_of([F.size(F.col(self.name)[c]) > 0 for c in self.names])
+
+
+def any_phrase(phrases: Iterable[str], cols=None) -> Column:
+    """Whether a text has any of many phrases, by one expression per column."""
+    keywords = Keywords(phrases, cols=cols)
+    if not keywords.known:
+        return F.lit(False)
+    plain, full = keywords._pattern(True), keywords._pattern(False)
+
+    def found(name: str) -> Column:
+        c = F.coalesce(F.col(name), F.lit(""))
+        in_plain = F.rlike(c, F.lit(plain)) if plain is not None else F.lit(False)
+        return F.when(is_ascii(c), in_plain).otherwise(F.rlike(c, F.lit(full)))
+
+    return any_of([found(n) for n in keywords.names])
+
+
 def term(text: str, cols=None) -> Column:
     return phrase(text, cols)
 

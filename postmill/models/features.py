@@ -22,6 +22,10 @@ from postmill.session import materialise
 
 META_FEATURES = 700
 DESC_FEATURES = 1300
+#: Terms that a summary of frequent ones keeps; its error is at most so many times the
+#: number of terms, divided by its slots (a known bound of such summaries).
+TRACKED = 200_000
+SUMMARY_ERROR = 3.5
 
 # Token pattern and default stop words. Pass another list to
 # ``fit_features`` to use it instead.
@@ -96,12 +100,46 @@ def term_counts(df: DataFrame, terms: str) -> DataFrame:
     return found.groupBy("term").agg(F.count("*").alias("n"))
 
 
-def top_terms(df: DataFrame, text: str, k: int, stop_words: Sequence[str]) -> list[str]:
+def _frequent(terms: DataFrame, k: int, tracked: int) -> list[str] | None:
+    """Terms among which the k most frequent are for certain; None if the summary cannot tell.
+
+    Each task keeps a summary of ``tracked`` terms; merged, it gives no term less than its
+    count and none more than its count plus ``error``, and a term it lost has at most
+    ``error``. What can reach the k-th of the lower bounds is kept.
+    """
+    asked = min(4 * k, tracked)
+    row = terms.agg(
+        F.expr(f"approx_top_k(term, {asked}, {tracked})").alias("top"), F.count("*").alias("n")
+    ).first()
+    found = sorted(row.top or [], key=lambda t: -t["count"])
+    slots = 1 << math.ceil(math.log2(math.ceil(tracked / 0.75)))
+    error = SUMMARY_ERROR * row.n / slots
+    if error < 1 and len(found) < asked:
+        return [t.item for t in found]
+    if len(found) < k:
+        return None
+    floor = found[k - 1]["count"] - error
+    # What was not asked for has at most the last count; what was lost at most the error.
+    if floor <= error or (len(found) == asked and found[-1]["count"] >= floor):
+        return None
+    return [t.item for t in found if t["count"] >= floor]
+
+
+def top_terms(df: DataFrame, text: str, k: int, stop_words: Sequence[str], tracked: int = TRACKED) -> list[str]:
     """The k most frequent 1- to 3-grams of a text column, ties by term.
 
-    Counts are summed in each task before they are shuffled; k rows reach the driver.
+    A bounded summary names candidates that hold all of them, which are then counted
+    exactly; so no more terms are shuffled than a summary has, whatever the corpus. If
+    the summary's error is too large for its counts to tell, all terms are counted.
     """
-    counted = term_counts(with_terms(df, text, "_terms", stop_words), "_terms")
+    if k <= 0:
+        return []
+    terms = with_terms(df, text, "_terms", stop_words).select(F.explode_outer("_terms").alias("term")).filter("term is not null")
+    candidates = _frequent(terms, k, tracked)
+    if candidates is not None:
+        listed = df.sparkSession.createDataFrame([(t,) for t in candidates], "term string")
+        terms = terms.join(F.broadcast(listed), "term", "left_semi")
+    counted = terms.groupBy("term").agg(F.count("*").alias("n"))
     return [r.term for r in counted.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()]
 
 

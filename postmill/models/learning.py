@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.pay import format_pay
-from postmill.models.features import seed_by_similarity
+from postmill.models.features import STOP_WORDS, posting_texts, seed_by_similarity
+from postmill.models.index import term_index
 from postmill.models.surrogate import MODELS, Surrogate, agreement, fit_surrogate
 from postmill.operators.dedup import unscored
+from postmill.operators.ranking import top_n
 from postmill.operators.report import parse_score, scored_postings
 from postmill.schema import EXAMPLE_FIELDS
 from postmill.session import materialise
@@ -87,8 +89,13 @@ def active_learning(
 
     A cold start is one without training rows before the forced ones. Rows the
     provider does not label stay unscored and may be picked again.
+
+    Texts are tokenised once, to an index that every round scores. The universe is
+    stored in the order of hashes, so the few rows that are picked are found by the
+    bounds of their files.
     """
-    universe = materialise(universe, "universe")
+    universe = materialise(universe.repartitionByRange("hash").sortWithinPartitions("hash"), "universe")
+    index = term_index(posting_texts(universe, options.get("max_chars")), options.get("stop_words", STOP_WORDS))
     cold = training.isEmpty()
     last = training.agg(F.max("round")).head()[0]
     step = {"round": 0 if last is None else last + 1}
@@ -106,7 +113,8 @@ def active_learning(
         """Label a selection; its size is bounded by the n it was made with."""
         place = F.row_number().over(Window.orderBy(F.col(score).desc(), F.col("hash").asc()))
         chosen = materialise(selection.select("hash", place.cast("bigint").alias("place")), "chosen")
-        label(materialise(universe.join(chosen, "hash"), "rows"))
+        picked = [r.hash for r in chosen.select("hash").collect()]
+        label(materialise(universe.filter(F.col("hash").isin(picked)).join(F.broadcast(chosen), "hash"), "rows"))
 
     waiting = unscored(forced, state["training"])
     if not waiting.isEmpty():
@@ -115,22 +123,23 @@ def active_learning(
         left = unscored(universe, state["training"])
         choose(seed_by_similarity(left, reference_text, init_num_exploit, **options), "similarity")
 
+    def train() -> Surrogate:
+        return _train(state["training"], n_models, seed + done, options)
+
     done = 0
     for _ in range(init_learning_iters if cold else learning_iters):
-        left = unscored(universe, state["training"])
-        if left.isEmpty():
+        if unscored(index, state["training"]).isEmpty():
             break
-        choose(_train(state["training"], n_models, seed + done, options)
-               .by_disagreement(left, num_explore), "variance")
-        left = unscored(universe, state["training"])
-        if left.isEmpty():
+        spread = unscored(train().disagreement_indexed(index), state["training"])
+        choose(top_n(spread, "variance", num_explore), "variance")
+        if unscored(index, state["training"]).isEmpty():
             break
-        choose(_train(state["training"], n_models, seed + done, options)
-               .by_score(left, num_exploit), "surrogate_score")
+        guesses = unscored(train().predict_indexed(index), state["training"])
+        choose(top_n(guesses, "surrogate_score", num_exploit), "surrogate_score")
         done += 1
 
-    final = _train(state["training"], n_models, seed + done, options)
-    predictions = materialise(final.predict(universe), "predictions")
+    final = train()
+    predictions = materialise(final.predict_indexed(index), "predictions")
     metrics = with_agreement(final.cv_metrics(), agreement(state["training"], predictions))
     return Outcome(
         state["training"], predictions, scored_postings(universe, state["training"]), metrics, done

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.models.features import Features, dot, example_texts, fit_features, posting_texts
+from postmill.models.index import scored
 from postmill.models.ridge import fit_by_loo, fit_weighted
 from postmill.operators.ranking import spearman, top_n, with_position
 from postmill.session import materialise
@@ -98,13 +99,26 @@ class Surrogate:
     def disagreement(self, postings: DataFrame) -> DataFrame:
         """(hash, variance): population variance of the ensemble's predictions."""
         predictions = F.array(*[m.predict() for m in self.ensemble])
+        return self._variance(self._featured(postings).select("hash", predictions.alias("p")))
+
+    def _variance(self, predicted: DataFrame) -> DataFrame:
         size = F.lit(float(self.n_models))
-        with_all = self._featured(postings).select("hash", predictions.alias("p"))
         mean = F.aggregate("p", F.lit(0.0), lambda a, p: a + p) / size
-        centred = with_all.withColumn("m", mean)
+        centred = predicted.withColumn("m", mean)
         spread = F.aggregate("p", F.lit(0.0), lambda a, p: a + (p - F.col("m")) * (p - F.col("m")))
         return centred.select("hash", (spread / size).alias("variance"))
 
+    def predict_indexed(self, index: DataFrame) -> DataFrame:
+        """``predict`` of postings from their term index."""
+        heads = (self.interest, self.fit)
+        p = scored(index, self.features, [h.weights for h in heads], [h.intercept for h in heads])
+        return p.select("hash", F.sqrt(_clamp(F.col("p")[0]) * _clamp(F.col("p")[1])).alias("surrogate_score"))
+
+    def disagreement_indexed(self, index: DataFrame) -> DataFrame:
+        """``disagreement`` of postings from their term index."""
+        members = self.ensemble
+        return self._variance(scored(index, self.features, [m.weights for m in members], [m.intercept for m in members]))
+
     def by_score(self, postings: DataFrame, n: int) -> DataFrame:
         return top_n(self.predict(postings), "surrogate_score", n)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from postmill.schema import DEDUP_FIELDS, POSTING_FIELDS
@@ -44,14 +44,14 @@ def dedup_first(
 
 
 def last_value_first_position(df: DataFrame, key: str = "hash", order: str = "ord") -> DataFrame:
-    """One row per key: the values of its last row at the place of its first."""
-    rest = [c for c in df.columns if c not in (key, order)]
-    picked = df.groupBy(key).agg(
-        F.max_by(F.struct(*rest), F.col(order)).alias("_last"),
-        F.min(order).alias(order),
-    )
-    columns = {c: F.col("_last")[c].alias(c) for c in rest}
-    return picked.select(*[columns.get(c, F.col(c)) for c in df.columns])
+    """One row per key: the values of its last row at the place of its first.
+
+    Rows are chosen by a rank-one window, so few of a key are moved; the first places
+    are an aggregate of two narrow columns. A key is never null.
+    """
+    first = df.groupBy(key).agg(F.min(order).alias("_first"))
+    last = first_per_key(df, [F.col(key)], [F.col(order).desc()])
+    return last.drop(order).join(first.withColumnRenamed("_first", order), key).select(*df.columns)
 
 
 def select_universe(
@@ -77,20 +77,18 @@ def select_universe(
         return unique.filter(kept).withColumn("only_forced", F.lit(False)), unique.filter(F.lit(False))
     forced = F.coalesce(force, F.lit(False))
     candidates = unique.withColumns({"_kept": kept, "_forced": forced}).filter("_kept or _forced")
-    # Rows of one hash in one aggregation: the last matched row at the place of
-    # the first matched one, or else the first forced row.
-    rest = [c for c in df.columns if c not in ("hash", "ord")]
-    row, placed = F.struct(*rest), F.struct(place.alias("place"), F.col("ord").alias("at"))
-    first = F.coalesce(F.min(F.when(F.col("_kept"), placed)), F.min(placed))
-    merged = candidates.groupBy("hash").agg(
-        F.coalesce(
-            F.max_by(F.when(F.col("_kept"), row), F.when(F.col("_kept"), place)), F.min_by(row, place)
-        ).alias("_row"),
-        first.getField("at").alias("ord"), (~F.max("_kept")).alias("only_forced"),
+    # Of one hash the last matched row at the place of the first matched one, or else the
+    # first forced row. Places are found among narrow rows.
+    first = first_per_key(
+        candidates.select("hash", "_kept", F.col("ord").alias("_first"), place.alias("_place")),
+        [F.col("hash")], [F.col("_kept").desc(), F.col("_place").asc(), F.col("_first").asc()],
+    ).select("hash", "_first")
+    chosen = first_per_key(
+        candidates, [F.col("hash")],
+        [F.col("_kept").desc(), F.when(F.col("_kept"), place).desc(), place.asc()],
     )
-    columns = {c: F.col("_row")[c].alias(c) for c in rest}
-    universe = merged.select(*[columns.get(c, F.col(c)) for c in df.columns], "only_forced")
-    return universe, unique.filter(forced)
+    universe = chosen.join(first, "hash").withColumns({"ord": F.col("_first"), "only_forced": ~F.col("_kept")})
+    return universe.select(*df.columns, "only_forced"), unique.filter(forced)
 
 
 def stage_counts(
@@ -107,6 +105,38 @@ def stage_counts(
     return stages.agg(*[F.count_if(F.col("stage") == s).alias(s) for s in ("total", "unique_rows", "matched")])
 
 
+class Counted:
+    """Row counts taken while a table is written anyway.
+
+    ``through`` marks a place in a plan; once an action has run the plan, ``counts`` has
+    the rows that passed each place. Nothing is read a second time.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def through(self, df: DataFrame, stage: str, *conditions: Column) -> DataFrame:
+        """``df``, its rows counted, or those for which a condition holds."""
+        observation = self._seen[stage] = Observation(f"{stage}-{id(self)}")
+        rows = F.count_if(conditions[0]) if conditions else F.count(F.lit(1))
+        return df.observe(observation, rows.alias("rows"))
+
+    def counts(self) -> dict[str, int]:
+        """Rows by stage; waits for the first action on the plan."""
+        return {stage: observation.get["rows"] for stage, observation in self._seen.items()}
+
+
+def counted_stages(
+    df: DataFrame, keep: Column | None = None, fields: Sequence[str] = DEDUP_FIELDS,
+    order_by: Sequence[Column | str] = ("ord",),
+) -> tuple[DataFrame, Counted]:
+    """The deduplicated and matched rows, and what counts them while they are written."""
+    counted = Counted()
+    unique = counted.through(dedup_first(counted.through(df, "total"), fields, order_by), "unique_rows")
+    kept = unique if keep is None else unique.filter(F.coalesce(keep, F.lit(False)))
+    return counted.through(kept, "matched"), counted
+
+
 def unscored(df: DataFrame, scored: DataFrame) -> DataFrame:
     """Rows whose hash has no score yet."""
     return df.join(scored.select("hash").distinct(), "hash", "left_anti")

@@ -16,15 +16,16 @@ def _cols(order_by: Sequence[Column | str]) -> list[Column]:
     return [F.col(o) if isinstance(o, str) else o for o in order_by]
 
 
-def _ordered_parts(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
+def _ordered_parts(df: DataFrame, order_by: Sequence[Column | str], kept: Sequence[str] | None = None) -> DataFrame:
     """Rows range-partitioned by the order and stored with their part number.
 
     Storing fixes the parts: a range partitioning sampled a second time might
-    cut elsewhere.
+    cut elsewhere. Of ``kept`` columns alone nothing else is moved but the order's.
     """
     return materialise(
-        df.orderBy(*_cols(order_by)).withColumns(
-            {"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}
+        df.orderBy(*_cols(order_by)).select(
+            *(df.columns if kept is None else kept),
+            F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"),
         ),
         "ordered",
     )
@@ -40,36 +41,45 @@ def _offsets(parts: DataFrame, amount: Column) -> DataFrame:
 
 
 def with_position(
-    df: DataFrame, order_by: Sequence[Column | str], name: str = "position", start: int = 1
+    df: DataFrame, order_by: Sequence[Column | str], name: str = "position", start: int = 1,
+    key: str | None = None,
 ) -> DataFrame:
-    """Global row number: a range sort, then the sizes of the parts before."""
-    parts = _ordered_parts(df, order_by)
+    """Global row number: a range sort, then the sizes of the parts before.
+
+    ``key`` names a column that is unique and never null. The key alone is then sorted
+    and stored, and joined back to the rows, whose other columns are moved once.
+    """
+    parts = _ordered_parts(df, order_by, None if key is None else [key])
     offsets = F.broadcast(_offsets(parts, F.count("*")))
-    number = F.col("_before") + F.col("_at") - F.col("_start") + start
-    return parts.join(offsets, "_part").select(*df.columns, number.alias(name))
+    number = (F.col("_before") + F.col("_at") - F.col("_start") + start).alias(name)
+    placed = parts.join(offsets, "_part")
+    if key is None:
+        return placed.select(*df.columns, number)
+    return df.join(placed.select(key, number), key).select(*df.columns, name)
 
 
 def with_page(
-    df: DataFrame, order_by: Sequence[Column | str], size: int = PAGE_SIZE
+    df: DataFrame, order_by: Sequence[Column | str], size: int = PAGE_SIZE, key: str | None = None
 ) -> DataFrame:
     """Every row with its zero-based page."""
-    placed = with_position(df, order_by)
+    placed = with_position(df, order_by, key=key)
     return placed.withColumn("page", F.floor((F.col("position") - 1) / size))
 
 
 def page(
-    df: DataFrame, number: int, order_by: Sequence[Column | str], size: int = PAGE_SIZE
+    df: DataFrame, number: int, order_by: Sequence[Column | str], size: int = PAGE_SIZE, key: str | None = None
 ) -> DataFrame:
     """One page; the page number is clamped to the existing pages.
 
     It is cut from the positions of a range sort, as no task could keep all rows
     before a late page. The order should end with a unique key: rows that tie
-    have no fixed place among each other.
+    have no fixed place among each other. With a ``key`` (see ``with_position``)
+    the page's keys are cut first and looked up.
     """
     pages = max(1, -(-df.count() // size))
     start = min(max(number, 0), pages - 1) * size
-    placed = with_position(df, order_by, "_place", start=0)
     here = F.col("_place").between(start, start + size - 1)
+    placed = with_position(df, order_by, "_place", start=0, key=key)
     return placed.filter(here).orderBy("_place").drop("_place")
 
 

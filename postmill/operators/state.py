@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.dates import age_micros, parse_iso
-from postmill.operators.dedup import last_value_first_position
+from postmill.operators.dedup import first_per_key, last_value_first_position
 from postmill.schema import RETAIN_SECONDS, STATUS
 
 
@@ -50,11 +50,14 @@ def upsert_and_evict(
         missing = fresh.filter("description = ''").join(known, "url", "left_anti")
         fresh = fresh.filter("description <> ''").unionByName(missing)
     stamped = last_value_first_position(fresh).withColumn("last_seen_at", F.lit(stamp))
-    survivors = (
-        store.filter(F.coalesce(within_retention("last_seen_at", as_of, retain_seconds), F.lit(True)))
-        .join(fresh.select("hash").distinct(), "hash", "left_anti")
-        .join(fresh.select("url").distinct(), "url", "left_anti")
-    )
+    # Stored rows that go, by hash alone or by hash and url. Only hashes and urls are moved to
+    # find them; the rows themselves move once, or not at all if the store is in buckets by hash.
+    seen = fresh.select("hash", F.lit(None).cast("string").alias("url"))
+    edited = store.select("hash", "url").join(fresh.select("url").distinct(), "url", "left_semi").select("hash", "url")
+    gone = seen.unionByName(edited).distinct().select(F.col("hash").alias("_hash"), F.col("url").alias("_url"))
+    survivors = store.filter(
+        F.coalesce(within_retention("last_seen_at", as_of, retain_seconds), F.lit(True))
+    ).join(gone, (F.col("hash") == F.col("_hash")) & (F.col("_url").isNull() | (F.col("url") == F.col("_url"))), "left_anti")
     return stamped.unionByName(survivors)
 
 
@@ -93,27 +96,17 @@ def latest_live(
     limit = F.coalesce(F.col("_ttl"), F.lit(ttl).cast("double"))
     age = F.lit(float(as_of)) - F.coalesce(F.col("_ts"), F.lit(0.0))
     live = log.filter(F.col(key).isNotNull() & ~F.coalesce(age > limit, F.lit(False)))
-    rest = [c for c in log.columns if c != key]
-    return (
-        live.groupBy(key)
-        .agg(
-            F.max_by(F.struct(*rest), F.col(order)).alias("_last"),
-            F.min(order).alias("position"),
-        )
-        .select(key, *[F.col("_last")[c].alias(c) for c in rest], "position")
-    )
+    first = live.groupBy(key).agg(F.min(order).alias("position"))
+    last = first_per_key(live, [F.col(key)], [F.col(order).desc()])
+    return last.join(first, key).select(key, *[c for c in log.columns if c != key], "position")
 
 
 def empty_status(spark) -> DataFrame:
     return spark.createDataFrame([], STATUS)
 
 
-def fold_status(prev: DataFrame, runs: DataFrame, order: Column | None = None) -> DataFrame:
-    """Status per source after a log of runs (source, run_at, ok, jobs, error).
-
-    The previous status joins the fold as the earliest entry of its source, so
-    one aggregation replaces a join; sources not run keep their row.
-    """
+def _status_entries(runs: DataFrame, order: Column | None) -> DataFrame:
+    """Runs as (source, seq, last, success): what each would leave as its source's status."""
     seq = order if order is not None else F.struct(F.col("run_at"))
     last = F.struct(
         F.col("run_at").alias("at"), F.col("ok"),
@@ -124,24 +117,13 @@ def fold_status(prev: DataFrame, runs: DataFrame, order: Column | None = None) -
         F.col("ok"),
         F.struct(F.col("run_at").alias("at"), F.col("jobs").cast("bigint").alias("jobs")),
     )
-    now = runs.select("source", F.lit(1).alias("era"), seq.alias("seq"),
-                      last.alias("last"), success.alias("success"))
-    no_seq = F.lit(None).cast(now.schema["seq"].dataType)
-    before = prev.select(
-        "source", F.lit(0).alias("era"), no_seq.alias("seq"),
-        F.struct(
-            F.col("last_run_at").alias("at"), F.col("last_run_ok").alias("ok"),
-            F.col("last_run_error").alias("error"), F.col("last_run_jobs").alias("jobs"),
-        ).alias("last"),
-        F.when(
-            F.col("last_success_at").isNotNull(),
-            F.struct(F.col("last_success_at").alias("at"), F.col("last_success_jobs").alias("jobs")),
-        ).alias("success"),
-    )
-    when = F.struct("era", "seq")
+    return runs.select("source", seq.alias("seq"), last.alias("last"), success.alias("success"))
+
+
+def _folded(entries: DataFrame, when: Column) -> DataFrame:
+    """Status per source: the last entry, and the last one that succeeded."""
     return (
-        before.unionByName(now)
-        .groupBy("source")
+        entries.groupBy("source")
         .agg(
             F.max_by("last", when).alias("last"),
             F.max_by("success", F.when(F.col("success").isNotNull(), when)).alias("success"),
@@ -158,6 +140,33 @@ def fold_status(prev: DataFrame, runs: DataFrame, order: Column | None = None) -
     )
 
 
+def status_of(runs: DataFrame, order: Column | None = None) -> DataFrame:
+    """Status per source of a log of runs (source, run_at, ok, jobs, error), which may be a stream."""
+    return _folded(_status_entries(runs, order), F.col("seq"))
+
+
+def fold_status(prev: DataFrame, runs: DataFrame, order: Column | None = None) -> DataFrame:
+    """Status per source after a log of runs (source, run_at, ok, jobs, error).
+
+    The previous status joins the fold as the earliest entry of its source, so
+    one aggregation replaces a join; sources not run keep their row.
+    """
+    now = _status_entries(runs, order).withColumn("era", F.lit(1))
+    no_seq = F.lit(None).cast(now.schema["seq"].dataType)
+    before = prev.select(
+        "source", F.lit(0).alias("era"), no_seq.alias("seq"),
+        F.struct(
+            F.col("last_run_at").alias("at"), F.col("last_run_ok").alias("ok"),
+            F.col("last_run_error").alias("error"), F.col("last_run_jobs").alias("jobs"),
+        ).alias("last"),
+        F.when(
+            F.col("last_success_at").isNotNull(),
+            F.struct(F.col("last_success_at").alias("at"), F.col("last_success_jobs").alias("jobs")),
+        ).alias("success"),
+    )
+    return _folded(before.unionByName(now), F.struct("era", "seq"))
+
+
 def status_summary(status: DataFrame) -> DataFrame:
     """Number of sources, failing sources and jobs of the last runs."""
     return status.agg(

@@ -12,20 +12,27 @@ from pyspark.sql import functions as F
 from postmill.operators import enrich
 from postmill.plans import views as v
 from postmill.plans.registry import query
-from postmill.sources import boards, custom
+from postmill.session import fresh_path
+from postmill.sources import boards, custom, feeds
 
 # --- the parts behind the payloads -----------------------------------------
 
 ITEM_SQL = """
-    SELECT p_partkey * 16777216 + i AS ord, p_partkey AS k, i, 's' || (p_partkey % 10) AS slug, s_name AS company,
+    SELECT p_partkey * 16777216 + i AS ord, p_partkey AS k, i, 's' || (p_partkey % (SELECT count(*) FROM supplier)) AS slug, s_name AS company,
       CASE i WHEN 0 THEN p_name ELSE p_brand || ' ' || p_name END AS title, p_type AS kind, p_size AS size,
       p_brand AS brand, CAST(floor(p_retailprice) AS BIGINT) AS price
-    FROM part JOIN supplier ON s_suppkey = p_partkey % 10 CROSS JOIN (VALUES (0), (1)) t(i)"""
+    FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) CROSS JOIN (VALUES (0), (1)) t(i)"""
+
+
+def board_of(spark, sf, number: str) -> Column:
+    """The board a number falls to; numbers are dealt to all suppliers in turn."""
+    boards_in_all = v.table(spark, sf, "supplier").agg(F.count("*")).scalar()
+    return F.concat(F.lit("s"), (F.col(number) % boards_in_all).cast("string"))
 
 
 def parts(spark, sf) -> DataFrame:
     return v.table(spark, sf, "part").select(
-        F.col("p_partkey").alias("k"), F.concat(F.lit("s"), (F.col("p_partkey") % 10).cast("string")).alias("slug"),
+        F.col("p_partkey").alias("k"), board_of(spark, sf, "p_partkey").alias("slug"),
         "p_name", "p_brand", "p_type", "p_size", F.floor("p_retailprice").alias("price"),
     )
 
@@ -383,7 +390,7 @@ def gem_pages(spark, sf) -> DataFrame:
 
 @query("src10_failed_source_has_no_rows", f"""
     SELECT 'gem:' || slug AS source, title, ord FROM ({ITEM_SQL})
-    WHERE slug NOT IN (SELECT DISTINCT 's' || (p_partkey % 10) FROM part WHERE p_size = 13 AND p_partkey % 10 IN (3, 7))""")
+    WHERE slug NOT IN (SELECT DISTINCT 's' || (p_partkey % (SELECT count(*) FROM supplier)) FROM part WHERE p_size = 13 AND p_partkey % 10 IN (3, 7))""")
 def failed_source(spark, sf):
     return boards.normalize("gem", partly_broken(spark, sf), v.sources(spark, sf, "gem"))[0].select("source", "title", "ord")
 
@@ -398,7 +405,7 @@ def partly_broken(spark, sf) -> DataFrame:
 
 @query("src10_errors", """
     SELECT 'gem:s' || (p_partkey % 10) AS source, min('malformed listing page ' || p_partkey) AS error
-    FROM part JOIN supplier ON s_suppkey = p_partkey % 10 WHERE p_size = 13 AND p_partkey % 10 IN (3, 7) GROUP BY ALL""")
+    FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) WHERE p_size = 13 AND p_partkey % 10 IN (3, 7) GROUP BY ALL""")
 def source_errors(spark, sf):
     return boards.normalize("gem", partly_broken(spark, sf), v.sources(spark, sf, "gem"))[1]
 
@@ -422,15 +429,15 @@ def collect(spark, sf):
 
 @query("jon10_udx2_live_payloads", """
     SELECT slug, request_key, arg_max(body, n) AS body, min(n) AS ord FROM (
-      SELECT 's' || (user_id % 10) AS slug, 'r' || user_id AS request_key, props AS body, event_id AS n, ts,
+      SELECT 's' || (user_id % (SELECT count(*) FROM supplier)) AS slug, 'r' || user_id AS request_key, props AS body, event_id AS n, ts,
         CASE WHEN user_id % 2 = 0 THEN 2000000 ELSE 86400 END AS ttl
-      FROM events JOIN supplier ON s_suppkey = user_id % 10)
+      FROM events JOIN supplier ON s_suppkey = user_id % (SELECT count(*) FROM supplier))
     WHERE 1706572800 - floor(epoch(ts)) <= ttl GROUP BY ALL""")
 def live_payloads(spark, sf):
     e = v.table(spark, sf, "events")
     seconds = F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     log = e.select(
-        F.lit("gem").alias("platform"), F.concat(F.lit("s"), (F.col("user_id") % 10).cast("string")).alias("slug"),
+        F.lit("gem").alias("platform"), board_of(spark, sf, "user_id").alias("slug"),
         F.lit("listing").alias("kind"), F.concat(F.lit("r"), F.col("user_id").cast("string")).alias("request_key"),
         F.col("props").alias("body"), seconds.cast("double").alias("fetched_at"), F.col("event_id").alias("ord"),
     )
@@ -456,9 +463,23 @@ def custom_source(spark, sf):
     return custom.conform(own).select("hash", "ord", "location", "last_seen_at")
 
 
+@query("udx1_data_source", """
+    SELECT hash, title, url, source, CAST(location AS VARCHAR) AS location, length(description) AS n_chars
+    FROM v_postings""", ("v_postings",))
+def data_source(spark, sf):
+    """Postings as files of JSON lines, each file a part of a feed read as a data source."""
+    path = fresh_path(spark, "feed")
+    own = v.postings(spark, sf).select("title", "company", "url", "description", "source", "location")
+    own.repartition(4).write.json(path)
+    feeds.register_feed(spark, "posting_lines", feeds.LinesFeed(path))
+    return feeds.read_feed(spark, "posting_lines").select(
+        "hash", "title", "url", "source", "location", F.length("description").cast("long").alias("n_chars")
+    )
+
+
 @query("jon10_source_settings", """
     SELECT p_partkey AS ord, s_name AS name, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 2000000 ELSE 86400 END AS DOUBLE) AS cache_ttl
-    FROM part JOIN supplier ON s_suppkey = p_partkey % 10""")
+    FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier)""")
 def source_settings(spark, sf):
     pages = gem_pages(spark, sf)
     return enrich.with_sources(pages, v.sources(spark, sf, "gem"), 86400.0).select("ord", "name", "cache_ttl")

@@ -112,7 +112,7 @@ def unseen_rows(spark, sf):
 
 
 SIMILARITY_SQL = fea_sql(STORE_TEXTS + """
-    UNION ALL SELECT '' AS hash, (SELECT text FROM benchmark ORDER BY item_id LIMIT 1) AS meta, '' AS body""") + """
+    UNION ALL SELECT '' AS hash, (SELECT string_agg(text, ' ' ORDER BY item_id) FROM benchmark) AS meta, '' AS body""") + """
     , likeness AS (
       SELECT s.hash, coalesce(d.dot / nullif(n.len * (SELECT sqrt(sum(w * w)) FROM weights WHERE hash = ''), 0), 0) AS similarity
       FROM v_store s
@@ -122,7 +122,8 @@ SIMILARITY_SQL = fea_sql(STORE_TEXTS + """
 
 
 def reference_text(spark, sf) -> str:
-    return v.table(spark, sf, "benchmark").orderBy("item_id").head().text
+    """All items in order as one text; it is an argument of the operators, like a query."""
+    return " ".join(r.text for r in v.table(spark, sf, "benchmark").orderBy("item_id").collect())
 
 
 @query("sim1_similarity", SIMILARITY_SQL + " SELECT hash, round(similarity, 6) AS similarity FROM likeness", ("v_store",))

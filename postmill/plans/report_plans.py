@@ -99,7 +99,7 @@ def contact_counts(spark, sf):
     SELECT company_key, 2, via_name, ord, name, url FROM v_second WHERE company_key IN (SELECT k FROM page)""",
        ("v_postings", "v_first", "v_second"))
 def contacts_of_page(spark, sf):
-    shown = ranking.page(v.postings(spark, sf), 0, ["ord"])
+    shown = ranking.page(v.postings(spark, sf), 0, ["ord"], key="ord")
     return enrich.contacts_of(shown, *contacts(spark, sf)).select(
         "company_key", "degree", F.coalesce("via_name", F.lit("")).alias("via"), "ord", "name", "url"
     )
@@ -177,7 +177,7 @@ PRIORITY = "(interest_score / 100.0) * (fit_score / 100.0)"
     FROM v_postings p JOIN v_scores USING (hash)""", ("v_postings", "v_scores"))
 def priority_order(spark, sf):
     rows = report.scored_postings(v.postings(spark, sf), v.scores(spark, sf))
-    placed = ranking.with_position(rows, report.ranked_order(), "rank")
+    placed = ranking.with_position(rows, report.ranked_order(), "rank", key="ord")
     return placed.select("ord", F.round("priority", 6).alias("priority"), "rank")
 
 
@@ -228,7 +228,7 @@ def agreement(spark, sf):
     SELECT ord, row_number() OVER (ORDER BY lower(source), ord) AS rank FROM v_postings""", ("v_postings",))
 def text_column_order(spark, sf):
     rows = v.postings(spark, sf)
-    return ranking.with_position(rows, report.column_order(rows, "source"), "rank").select("ord", "rank")
+    return ranking.with_position(rows, report.column_order(rows, "source"), "rank", key="ord").select("ord", "rank")
 
 
 @query("rnk4_number_column_order", """
@@ -236,20 +236,20 @@ def text_column_order(spark, sf):
     FROM v_postings p JOIN v_scores USING (hash)""", ("v_postings", "v_scores"))
 def number_column_order(spark, sf):
     rows = report.scored_postings(v.postings(spark, sf), v.scores(spark, sf))
-    return ranking.with_position(rows, report.column_order(rows, "fit_score", False), "rank").select("ord", "rank")
+    return ranking.with_position(rows, report.column_order(rows, "fit_score", False), "rank", key="ord").select("ord", "rank")
 
 
 @query("rnk5_page_numbers", """
     SELECT ord, (row_number() OVER (ORDER BY posted DESC, ord) - 1) // 50 AS page FROM v_postings""", ("v_postings",))
 def page_numbers(spark, sf):
-    return ranking.with_page(v.postings(spark, sf), [F.desc("posted"), F.asc("ord")]).select("ord", "page")
+    return ranking.with_page(v.postings(spark, sf), [F.desc("posted"), F.asc("ord")], key="ord").select("ord", "page")
 
 
 @query("rnk5_last_page", """
     SELECT ord FROM v_postings ORDER BY posted DESC, ord
     OFFSET (SELECT ((count(*) - 1) // 50) * 50 FROM v_postings)""", ("v_postings",))
 def last_page(spark, sf):
-    return ranking.page(v.postings(spark, sf), 10**9, [F.desc("posted"), F.asc("ord")]).select("ord")
+    return ranking.page(v.postings(spark, sf), 10**9, [F.desc("posted"), F.asc("ord")], key="ord").select("ord")
 
 
 @query("rnk6_sources_by_name", """
@@ -328,7 +328,7 @@ def rounded_scores(spark, sf):
     path = fresh_path(spark, "scores")
     p = v.store(spark, sf)
     guesses = p.select("hash", (F.length("description") / F.lit(7.0)).alias("surrogate_score"))
-    sinks.write_surrogate(p, guesses, path)
+    sinks.write_surrogate(p, guesses, path, key="ord")
     return spark.read.parquet(path).select("ord", "hash", "surrogate_score", "rank")
 
 

@@ -6,12 +6,13 @@ from pyspark.sql import functions as F
 
 from postmill.functions.dates import is_stale
 from postmill.functions.text import fingerprint
-from postmill.operators import dedup, state
+from postmill.operators import dedup, retained, state
 from postmill.plans import views as v
 from postmill.plans.registry import query
 from postmill.schema import DEDUP_FIELDS
 from postmill.sources import readers, sinks
 from postmill.session import fresh_path
+from postmill.sources.tables import KeyedTable, in_buckets
 
 POSTING_COLUMNS = """hash, title, company, url, source, last_seen_at, posted, location, ord,
     length(description) AS n_chars"""
@@ -68,6 +69,13 @@ def upsert(spark, sf):
     return brief(new).withColumn("is_fresh", F.col("last_seen_at") == v.AS_OF)
 
 
+@query("jon1_jon2_bucketed_store", STA1_SQL, ("v_store", "v_fresh"))
+def upsert_in_buckets(spark, sf):
+    """`sta1_upsert_and_evict` on a store in buckets by hash, whose rows stay where they are."""
+    new = state.upsert_and_evict(in_buckets(v.store(spark, sf), "hash"), v.fresh(spark, sf), v.AS_OF)
+    return brief(new).withColumn("is_fresh", F.col("last_seen_at") == v.AS_OF)
+
+
 @query("agg1_store_counts", """
     , observed AS (SELECT hash, url FROM v_fresh)
     SELECT fresh, carried, fresh + carried AS total FROM (
@@ -130,6 +138,20 @@ def compaction(spark, sf):
     )
 
 
+@query("sta3_compaction_in_place", f"""
+    , live AS ({LIVE})
+    SELECT _key AS cache_key, arg_max(value, line_no) AS value, max(line_no) AS line_no
+    FROM live GROUP BY _key""", ("v_cache",))
+def compaction_in_place(spark, sf):
+    """The log as a versioned table, compacted over the path it is read from."""
+    log = v.cache_log(spark, sf)
+    cache = KeyedTable(spark, fresh_path(spark, "cache"), log.schema, "_key", 8)
+    cache.overwrite(log)
+    retained.compact_cache(cache, v.EVENTS_AS_OF, 1_000_000.0)
+    cache.vacuum(keep=1)
+    return cache.read().select(F.col("_key").alias("cache_key"), "value", "line_no")
+
+
 STATUS_SQL = """
     SELECT source, arg_max(run_at, n) AS last_run_at, arg_max(ok, n) AS last_run_ok,
            arg_max(coalesce(error, ''), n) AS last_run_error,
@@ -225,7 +247,7 @@ def pay_columns():
     SELECT hash, title, url, ord, {PAY_COLUMNS} FROM v_postings""", ("v_postings",))
 def posting_scan(spark, sf):
     path = fresh_path(spark, "postings")
-    sinks.write_postings(v.postings(spark, sf), path)
+    sinks.write_postings(v.postings(spark, sf), path, key="ord")
     return readers.read_postings(spark, path).select("hash", "title", "url", "ord", *pay_columns())
 
 
@@ -233,7 +255,7 @@ def posting_scan(spark, sf):
     SELECT hash, title, url, ord, {PAY_COLUMNS} FROM v_store""", ("v_store",))
 def store_scan(spark, sf):
     path = fresh_path(spark, "store")
-    sinks.write_postings(v.postings(spark, sf), path)
+    sinks.write_postings(v.postings(spark, sf), path, key="ord")
     return readers.read_store(spark, path).select("hash", "title", "url", "ord", *pay_columns())
 
 
@@ -253,7 +275,7 @@ def capture_scan(spark, sf):
     SELECT hash, row_number() OVER (ORDER BY location, ord) - 1 AS place FROM v_postings""", ("v_postings",))
 def ordered_rows(spark, sf):
     path = fresh_path(spark, "ordered")
-    sinks.write_postings(v.postings(spark, sf), path, ("location", "ord"))
+    sinks.write_postings(v.postings(spark, sf), path, ("location", "ord"), key="ord")
     return readers.read_postings(spark, path).select("hash", F.col("ord").alias("place"))
 
 

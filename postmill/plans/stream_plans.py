@@ -6,12 +6,13 @@ checkpoint and meets the rest.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from postmill.plans import views as v
 from postmill.plans.registry import query
-from postmill.plans.state_plans import POSTING_COLUMNS, STATUS_SQL, brief
-from postmill.schema import POSTING, STATUS
+from postmill.plans.state_plans import LIVE, POSTING_COLUMNS, STATUS_SQL, brief
 from postmill.session import fresh_path
 from postmill.streaming import streams
 
@@ -42,7 +43,7 @@ def stream_upsert(spark, sf):
         spark, [v.postings(spark, sf), v.fresh(spark, sf)],
         lambda s, path, progress: streams.stream_upsert(s, path, progress, lambda n: stamps[n]),
     )
-    return brief(streams.read_latest(spark, table, POSTING))
+    return brief(streams.read_store(spark, table))
 
 
 HALF = "2024-01-15"
@@ -50,23 +51,20 @@ HALF_EPOCH = 1705276800.0
 
 
 @query("str2_stream_latest_live", f"""
-    , early AS (SELECT _key, arg_max(struct_pack(_ts, _ttl, value, line_no), line_no) AS r FROM v_cache
-                WHERE _key IS NOT NULL AND _ts < {HALF_EPOCH} AND NOT coalesce({HALF_EPOCH} - _ts > coalesce(_ttl, 1000000), FALSE)
-                GROUP BY _key),
-    together AS (SELECT _key, r._ts AS _ts, r._ttl AS _ttl, r.value AS value, r.line_no AS line_no FROM early
-                 UNION ALL SELECT _key, _ts, _ttl, value, line_no FROM v_cache WHERE _ts >= {HALF_EPOCH})
-    SELECT _key AS cache_key, arg_max(value, line_no) AS value, max(line_no) AS line_no FROM together
-    WHERE _key IS NOT NULL AND NOT coalesce({v.EVENTS_AS_OF} - _ts > coalesce(_ttl, 1000000), FALSE)
-    GROUP BY _key""", ("v_cache",))
+    , live AS ({LIVE})
+    SELECT _key AS cache_key, arg_max(value, line_no) AS value, max(line_no) AS line_no FROM live GROUP BY _key""",
+       ("v_cache",))
 def stream_latest_live(spark, sf):
     log = v.cache_log(spark, sf)
     early = F.col("_ts") < HALF_EPOCH
-    moments = (HALF_EPOCH, v.EVENTS_AS_OF)
+    # The log is of another time than this run: state is dropped by a clock a day before its last one.
+    skew = v.EVENTS_AS_OF - 86_400 - time.time()
     table = in_two_runs(
         spark, [log.filter(early), log.filter(~early)],
-        lambda s, path, progress: streams.stream_latest_live(s, path, progress, lambda n: moments[n], 1_000_000.0),
+        lambda s, path, progress: streams.stream_latest_live(s, path, progress, 1_000_000.0, skew=skew),
     )
-    return streams.read_latest(spark, table, log.schema).select(F.col("_key").alias("cache_key"), "value", "line_no")
+    live = streams.read_live(spark, table, log.schema, v.EVENTS_AS_OF, 1_000_000.0)
+    return live.select(F.col("_key").alias("cache_key"), "value", "line_no")
 
 
 @query("str3_stream_status", STATUS_SQL, ("v_runs",))
@@ -77,4 +75,4 @@ def stream_status(spark, sf):
         spark, [runs.filter(early), runs.filter(~early)],
         lambda s, path, progress: streams.stream_status(s, path, progress, F.col("n")),
     )
-    return streams.read_latest(spark, table, STATUS).withColumn("last_run_error", F.coalesce("last_run_error", F.lit("")))
+    return streams.read_status(spark, table).withColumn("last_run_error", F.coalesce("last_run_error", F.lit("")))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, html, match, pay, text
-from postmill.operators.dedup import dedup_first, select_universe, stage_counts
+from postmill.operators.dedup import counted_stages, dedup_first, select_universe, stage_counts
 from postmill.operators.state import store_place
 from postmill.operators.report import parse_score
 from postmill.plans import views as v
 from postmill.plans.registry import query
+from postmill.session import fresh_path
 from postmill.schema import FIT_FIELDS, INTEREST_FIELDS
 
 NOW = "TIMESTAMP '2026-04-19 12:00:00'"
@@ -303,23 +304,22 @@ def page_text(spark, sf):
     return pages.select("page_id", html.html_to_text("html").alias("page_text"))
 
 
-@query("htm2_json_ld", """
-    SELECT doc_id, sha256(text) AS digest FROM documents WHERE NOT regexp_matches(text, '[<&\\n]|^\\s|\\s$')
-    UNION ALL SELECT doc_id, '' FROM documents WHERE regexp_matches(text, '[<&\\n]|^\\s|\\s$')""")
+@query("htm2_json_ld", f"""
+    SELECT doc_id, sha256(trim(text, '{v.WS}')) AS digest FROM documents""")
 def json_ld(spark, sf):
     d = v.texts(spark, sf, "documents")
-    block = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), F.col("text").alias("description")))
-    escaped = F.replace(block, F.lit("</"), F.lit("<\\/"))
+    # Escaped twice, once for the markup and once for the feed that holds it.
+    escaped = F.col("text")
+    for _ in range(2):
+        escaped = F.replace(F.replace(escaped, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    block = F.to_json(F.struct(F.lit("JobPosting").alias("@type"), escaped.alias("description")))
     page = F.concat(
         F.lit('<html><script type="application/ld+json">{oops</script>'
               '<script type="application/ld+json">{"@type":"Place","description":"no"}</script>'
               '<script type="application/ld+json">'),
-        escaped, F.lit("</script></html>"),
-    )
-    plain = ~F.rlike("text", F.lit(r"[<&\n]|^\s|\s$"))
-    return d.select(
-        "doc_id", F.when(plain, F.sha2(html.json_ld_description(page), 256)).otherwise("").alias("digest")
+        block, F.lit("</script></html>"),
     )
+    return d.select("doc_id", F.sha2(html.json_ld_description(page), 256).alias("digest"))
 
 
 # --- text match ------------------------------------------------------------
@@ -378,6 +378,38 @@ match_query("prj6_keyword_lines", f"{sql_match('avec')} OR {sql_match('nicht')}"
     [match.term(line) for line in match.keyword_lines("# languages\n\navec\n  nicht  \n")]))
 
 
+#: Forty terms of four languages, looked for together.
+MANY = {
+    "en": ("the", "of", "and", "with", "by", "for", "that", "this", "was", "has"),
+    "fr": ("le", "la", "les", "des", "une", "dans", "pour", "avec", "sur", "pas"),
+    "de": ("der", "die", "das", "und", "nicht", "ein", "mit", "von", "ist", "auf"),
+    "es": ("el", "los", "las", "una", "por", "con", "para", "que", "del", "como"),
+}
+
+
+def _many_sql(language: str) -> str:
+    return "(" + " OR ".join(sql_match(t) for t in MANY[language]) + ")"
+
+
+@query("mat6_prj6_many_keywords", f"""
+    SELECT ord, hash FROM v_postings WHERE ({_many_sql('en')} AND NOT {_many_sql('fr')})
+      OR ({sql_match('der')} AND {sql_match('nicht')} AND NOT {_many_sql('en')})
+      OR ({_many_sql('es')} AND NOT {sql_match('una')} AND {sql_match('es', ('location',))})""", ("v_postings",))
+def many_keywords(spark, sf):
+    known = match.Keywords([t for terms in MANY.values() for t in terms] + ["es"])
+    has_any = {k: match.any_of([known.has(t) for t in terms]) for k, terms in MANY.items()}
+    tree = (
+        (has_any["en"] & ~has_any["fr"])
+        | (known.has("der") & known.has("nicht") & ~has_any["en"])
+        | (has_any["es"] & ~known.has("una") & known.has("es", "location"))
+    )
+    return known.scan(v.postings(spark, sf)).filter(tree).select("ord", "hash")
+
+
+match_query("prj6_any_keyword", f"{sql_match('avec')} OR {sql_match(f'of{GAP}the')} OR {sql_match('nicht')}",
+            lambda: match.any_phrase(["avec", "of the", "NICHT"]))
+
+
 UNIVERSE_SQL = f"""
     , unique_rows AS (SELECT * FROM (
         SELECT *, row_number() OVER (PARTITION BY title, company, team, description ORDER BY ord) AS rn
@@ -416,3 +448,15 @@ def fresh_wins(spark, sf):
            count(*) FILTER (WHERE {sql_match('the')}) AS matched FROM unique_rows""", ("v_postings",))
 def filter_counts(spark, sf):
     return stage_counts(v.postings(spark, sf), match.term("the"))
+
+
+@query("agg9_observed_counts", f"""
+    , unique_rows AS (SELECT DISTINCT ON (title, company, team, description) * FROM v_postings)
+    SELECT (SELECT count(*) FROM v_postings) AS total, count(*) AS unique_rows,
+           count(*) FILTER (WHERE {sql_match('the')}) AS matched FROM unique_rows""", ("v_postings",))
+def observed_counts(spark, sf):
+    """The counts of `agg9_filter_counts`, taken while the selection is written."""
+    chosen, counted = counted_stages(v.postings(spark, sf), match.term("the"))
+    chosen.write.parquet(fresh_path(spark, "selection"))
+    n = counted.counts()
+    return spark.range(1).select(*[F.lit(n[s]).cast("long").alias(s) for s in ("total", "unique_rows", "matched")])

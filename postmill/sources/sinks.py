@@ -17,17 +17,20 @@ def _as_lines(df: DataFrame) -> DataFrame:
     return df.withColumn("compensation", pay_union()).drop("compensation_raw")
 
 
-def write_postings(df: DataFrame, path: str, order_by=("ord",)) -> None:
-    """Postings as JSON lines, their order kept as the ``ord`` they are read by."""
-    placed = with_position(df, list(order_by), "_place", start=0)
+def write_postings(df: DataFrame, path: str, order_by=("ord",), key: str | None = None) -> None:
+    """Postings as JSON lines, their order kept as the ``ord`` they are read by.
+
+    With a ``key`` (a unique column) the keys alone are sorted and numbered.
+    """
+    placed = with_position(df, list(order_by), "_place", start=0, key=key)
     _as_lines(placed.withColumn("ord", F.col("_place")).drop("_place")).write.mode(
         "overwrite"
     ).json(path)
 
 
-def write_ranked(df: DataFrame, path: str, order_by, rank: str = "rank") -> None:
-    """Any ordered table with its order materialised as a column."""
-    with_position(df, order_by, rank).write.mode("overwrite").parquet(path)
+def write_ranked(df: DataFrame, path: str, order_by, rank: str = "rank", key: str | None = None) -> None:
+    """Any ordered table with its order materialised as a column; for ``key`` see ``write_postings``."""
+    with_position(df, order_by, rank, key=key).write.mode("overwrite").parquet(path)
 
 
 def with_rounded_score(postings: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -37,8 +40,8 @@ def with_rounded_score(postings: DataFrame, predictions: DataFrame) -> DataFrame
     )
 
 
-def write_surrogate(postings: DataFrame, predictions: DataFrame, path: str) -> None:
-    write_ranked(with_rounded_score(postings, predictions), path, ["ord"])
+def write_surrogate(postings: DataFrame, predictions: DataFrame, path: str, key: str | None = None) -> None:
+    write_ranked(with_rounded_score(postings, predictions), path, ["ord"], key=key)
 
 
 def append_metrics(metrics: DataFrame, path: str, as_of: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from postmill.models import features as fe
 from postmill.models import learning, ridge, surrogate
+from postmill.models.index import term_index
 from postmill.operators.ranking import with_position
 from tests.rows import column, posting, postings
 
@@ -226,3 +227,56 @@ def test_positions(spark):
     want = sorted(range(1000), key=lambda i: (-(i % 7), i))
     assert [r.id for r in sorted(placed, key=lambda r: r.position)] == want
     assert sorted(r.position for r in placed) == list(range(1, 1001))
+
+
+NO_PAY = "struct<min_amount:bigint,max_amount:bigint,currency:string,interval:string,equity:boolean,bonus:boolean>"
+
+
+def test_index_scores_as_texts_do(spark, model):
+    p = examples(spark, 24).withColumns({
+        "compensation_raw": F.lit(None).cast("string"), "compensation": F.lit(None).cast(NO_PAY)})
+    odd = p.limit(2).withColumns({"hash": F.concat(F.lit("odd"), "hash"), "title": F.lit(None).cast("string"), "description": F.lit("")})
+    p = p.unionByName(odd)
+    index = term_index(fe.posting_texts(p))
+    for by_text, by_index, name in ((model.predict, model.predict_indexed, "surrogate_score"),
+                                    (model.disagreement, model.disagreement_indexed, "variance")):
+        want = {r.hash: r[name] for r in by_text(p).collect()}
+        got = {r.hash: r[name] for r in by_index(index).collect()}
+        assert set(got) == set(want) and len(got) == 26
+        np.testing.assert_allclose([got[h] for h in sorted(want)], [want[h] for h in sorted(want)], atol=1e-12)
+    assert model.predict_indexed(index.limit(0)).collect() == []
+
+
+def test_rounds_read_texts_once(spark):
+    """The plan of a round's selection reads the index, not a text column."""
+    universe = loop_rows(spark, 12)
+    index = term_index(fe.posting_texts(universe))
+    fitted = surrogate.fit_surrogate(examples(spark, 24), ["ord"], n_models=2, seed=5, meta_k=6, desc_k=9)
+    plan = fitted.disagreement_indexed(index)._jdf.queryExecution().executedPlan().toString()
+    assert "description" not in plan and "title" not in plan
+
+
+@pytest.mark.parametrize("tracked", [8, 64, 100_000])
+def test_frequent_terms_are_exact_whatever_the_summary_keeps(spark, tracked):
+    rng = np.random.default_rng(4)
+    words = np.minimum(rng.zipf(1.2, 6000), 900)
+    texts = [" ".join(f"w{w}" for w in words[n : n + 30]) for n in range(0, 6000, 30)]
+    df = spark.createDataFrame([(t,) for t in texts], "body string").repartition(4)
+    counts = {}
+    for t in texts:
+        w = t.split()
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                g = " ".join(w[i : i + n])
+                counts[g] = counts.get(g, 0) + 1
+    for k in (1, 3, 40, 10**5):
+        want = sorted(counts, key=lambda g: (-counts[g], g))[:k]
+        assert fe.top_terms(df, "body", k, (), tracked) == want
+    assert fe.top_terms(df.limit(0), "body", 3, (), tracked) == fe.top_terms(df, "body", 0, (), tracked) == []
+
+
+def test_a_summary_names_few_candidates(spark):
+    texts = ["the same words again"] * 300 + [f"a{n} b{n}" for n in range(500)]
+    terms = spark.createDataFrame([(t,) for t in texts], "body string").select(F.explode(F.split("body", " ")).alias("term"))
+    assert set(fe._frequent(terms, 4, 300)) == {"the", "same", "words", "again"}
+    assert fe._frequent(terms, 200, 300) is None

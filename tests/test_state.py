@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from postmill.functions.dates import is_stale
 from postmill.operators import dedup, state
 from postmill.schema import POSTING
+from postmill.sources.tables import in_buckets
 from tests.rows import NOW, column, posting, postings
 
 DAY = 86_400
@@ -213,3 +214,47 @@ def test_of_equal_postings_the_one_seen_last_is_taken(spark):
     for force in (None, F.lit(False)):
         universe, _ = dedup.select_universe(store, F.lit(True), force, order=state.store_place())
         assert column(universe) == ["new"]
+
+
+# --- plans -----------------------------------------------------------------
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_winners_are_chosen_without_sorting_aggregates(spark):
+    a, b = postings(spark, posting("a")), postings(spark, posting("b"))
+    log = spark.createDataFrame([(0, "a", 1.0, None, "v")], LOG)
+    for df in (
+        dedup.last_value_first_position(a), state.upsert_and_evict(a, b, NOW), state.latest_live(log, 5.0),
+        dedup.select_universe(a, F.col("title") == "x", F.col("title") == "y")[0],
+    ):
+        assert "SortAggregate" not in plan_of(df)
+
+
+def test_a_store_in_buckets_is_not_moved(spark):
+    many = postings(spark, *[posting(f"h{n}", last_seen_at="2026-04-18T00:00:00") for n in range(50)])
+    store, fresh = in_buckets(many, "hash", 8), postings(spark, posting("h3"), posting("new", url="https://jobs.test/h9"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = state.upsert_and_evict(store, fresh, NOW)
+        lines = plan_of(new).splitlines()
+        got = {r.hash for r in new.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {f"h{n}" for n in range(50) if n != 9} | {"new"}
+    whole = next(k for k, line in enumerate(lines) if "FileScan" in line and "description" in line)
+    join = next(k for k in range(whole, -1, -1) if "LeftAnti" in lines[k])
+    assert "Bucketed: true" in lines[whole] and not any("Exchange" in line for line in lines[join:whole])
+
+
+def test_counts_are_taken_while_rows_are_written(spark, tmp_path):
+    df = postings(spark, posting("a", title="spark"), posting("b", title="spark"), posting("c", title="beam"))
+    chosen, counted = dedup.counted_stages(df, F.col("title") == "spark", ["title"])
+    chosen.write.parquet(str(tmp_path / "out"))
+    assert counted.counts() == {"total": 3, "unique_rows": 2, "matched": 1}
+    assert counted.counts() == dedup.stage_counts(df, F.col("title") == "spark", ["title"]).first().asDict()
+    marked = dedup.Counted()
+    marked.through(df, "spark", F.col("title") == "spark").write.parquet(str(tmp_path / "again"))
+    assert marked.counts() == {"spark": 2}

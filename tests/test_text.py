@@ -149,3 +149,39 @@ def test_boolean_and_guards(spark):
         except ValueError:
             continue
         raise AssertionError("expected a ValueError")
+
+
+# --- many keywords at once -------------------------------------------------
+
+MANY = ["engineer", "Élan", "data", "data engineer", "build the eclipse", "build", "sao paulo", "c", "snake", "twelve", "of things of"]
+
+
+def test_keywords_found_together_equal_single_terms(spark):
+    known = match.Keywords(MANY, prefixes=["engin", "the ecl", "ecol"])
+    scanned = known.scan(rows(spark)).cache()
+    for cols in (None, "title", ("description", "company")):
+        for text in MANY:
+            assert {r.hash for r in scanned.filter(known.has(text, cols)).collect()} == hits(spark, match.term(text, cols)), text
+        for text in ("engin", "the ecl", "ecol"):
+            assert {r.hash for r in scanned.filter(known.has(text, cols, prefix=True)).collect()} == hits(spark, match.prefix(text, cols)), text
+    assert {r.hash for r in scanned.filter(known.any()).collect()} == hits(
+        spark, match.any_of([match.term(t) for t in MANY] + [match.prefix(p) for p in ("engin", "the ecl", "ecol")]))
+    assert hits(spark, match.any_phrase(["vital", "c++", "twelve nine"])) == hits(spark, match.any_of([match.term("vital"), match.term("c")]))
+    assert hits(spark, match.any_phrase([])) == hits(spark, match.any_phrase(["++"])) == set()
+
+
+def test_a_prefix_is_no_whole_term(spark):
+    known = match.Keywords(["eng", "engine"], prefixes=["eng"])
+    df = known.scan(postings(spark, posting("x", title="engines", description="engineering eng-ine")))
+    got = df.select(known.has("eng"), known.has("eng", prefix=True), known.has("engine"), known.has("eng", "title")).first()
+    assert tuple(got) == (True, True, False, False)
+
+
+def test_keywords_refuse_what_they_do_not_know(spark):
+    known = match.Keywords(["a"], cols="title")
+    for call in (lambda: known.has("b"), lambda: known.has("a", "company"), lambda: match.Keywords(["a"], cols="nope")):
+        try:
+            call()
+        except ValueError:
+            continue
+        raise AssertionError("expected a ValueError")
