@@ -20,6 +20,8 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.text import let
+
 COLUMNS = ("title", "description", "company", "location")
 
 # The characters of a token, and the marks ignored inside one.
@@ -62,6 +64,18 @@ def _cases(char: str) -> set[str]:
     return {char, char.upper()} if len(char.upper()) == 1 else {char}
 
 
+def _head_class(chars: Iterable[str], ascii_text: bool) -> str:
+    """Any of some folded characters, as one class of ASCII and one of other letters."""
+    cases = set().union(*(_cases(c) for c in chars))
+    if not ascii_text:
+        cases |= set("".join(_variants().get(c, "") for c in chars))
+    plain, other = {c for c in cases if c < "\x80"}, {c for c in cases if c >= "\x80"}
+    ways = [f"[{_ranges(plain)}]"] if plain else []
+    if other:
+        ways.append(rf"(?=[^\x00-\x7F])[{_ranges(other)}]")
+    return f"(?:{'|'.join(ways)})"
+
+
 def _char_class(char: str, ascii_text: bool) -> str:
     """One folded character: in ASCII text its cases, else all its variants.
 
@@ -195,9 +209,10 @@ class Keywords:
         fitting = sorted(f for f in self.known if f[0].isascii() or not ascii_text)
         if not fitting:
             return None
-        word, heads = ASCII_WORD if ascii_text else WORD, {f[0][0] for f in fitting}
-        first = "|".join(sorted(_char_class(h, ascii_text).removesuffix(f"[{MARKS}]*") for h in heads))
-        return f"(?={first})(?<![{word}])(?=({_trie_pattern(_trie(fitting), ascii_text)}))"
+        word, heads = ASCII_WORD if ascii_text else WORD, sorted({f[0][0] for f in fitting})
+        # Most places are left after one class test, and most others by what stands before.
+        start = rf"(?={_head_class(heads, ascii_text)})(?<![{word}])"
+        return f"{start}(?=({_trie_pattern(_trie(fitting), ascii_text)}))"
 
     def _found(self, column: str) -> Column:
         c, none = F.coalesce(F.col(column), F.lit("")), F.array().cast("array<string>")
@@ -208,12 +223,30 @@ class Keywords:
 
         return F.when(is_ascii(c), met(plain)).otherwise(met(full))
 
+    def _all_found(self) -> Column:
+        return F.struct(*[self._found(c).alias(c) for c in self.names])
+
     def scan(self, df):
-        """``df`` with what was found in each column."""
-        return df.withColumn(self.name, F.struct(*[self._found(c).alias(c) for c in self.names]))
+        """``df`` with what was found in each column, to be stored and read by ``has``."""
+        return df.withColumn(self.name, self._all_found())
+
+    def predicate(self, tree) -> Column:
+        """``tree``, a function of this set's ``has`` that builds a predicate, over one scan of the text.
+
+        The lists found are bound once: a filter on a column made by ``scan`` would be
+        pushed below it and scan the text for each phrase of the tree.
+        """
+        def bound(found: Column) -> Column:
+            def has(text: str, cols=None, *, prefix: bool = False) -> Column:
+                return self.has(text, cols, prefix=prefix, found=found)
+
+            return tree(has)
+
+        return let(self._all_found(), bound)
 
-    def has(self, text: str, cols=None, *, prefix: bool = False) -> Column:
+    def has(self, text: str, cols=None, *, prefix: bool = False, found: Column | None = None) -> Column:
         """Whether a phrase of the set was found in one of the columns scanned."""
+        found = F.col(self.name) if found is None else found
         wanted = (" ".join(fold_tokens(text)), prefix)
         names = self.names if cols is None else _resolve(cols)
         if set(names) - set(self.names):
@@ -224,7 +257,7 @@ class Keywords:
             raise ValueError(f"phrase not in the set: {text}")
         # What was found begins with the phrase if the phrase was met there.
         pattern = f"^{_pattern(wanted[0].split(), prefix, False, False)}"
-        return any_of([F.exists(F.col(self.name)[c], lambda x: F.rlike(x, F.lit(pattern))) for c in names])
+        return any_of([F.exists(found[c], lambda x: F.rlike(x, F.lit(pattern))) for c in names])
 
     def any(self) -> Column:
         """Whether any phrase of the set was found."""

@@ -404,8 +404,9 @@ def partly_broken(spark, sf) -> DataFrame:
 
 
 @query("src10_errors", """
-    SELECT 'gem:s' || (p_partkey % 10) AS source, min('malformed listing page ' || p_partkey) AS error
-    FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) WHERE p_size = 13 AND p_partkey % 10 IN (3, 7) GROUP BY ALL""")
+    SELECT source, min(error) AS error FROM (
+    SELECT 'gem:s' || (p_partkey % (SELECT count(*) FROM supplier)) AS source, 'malformed listing page ' || p_partkey AS error
+    FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier) WHERE p_size = 13 AND p_partkey % 10 IN (3, 7)) GROUP BY source""")
 def source_errors(spark, sf):
     return boards.normalize("gem", partly_broken(spark, sf), v.sources(spark, sf, "gem"))[1]
 

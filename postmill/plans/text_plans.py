@@ -397,13 +397,16 @@ def _many_sql(language: str) -> str:
       OR ({_many_sql('es')} AND NOT {sql_match('una')} AND {sql_match('es', ('location',))})""", ("v_postings",))
 def many_keywords(spark, sf):
     known = match.Keywords([t for terms in MANY.values() for t in terms] + ["es"])
-    has_any = {k: match.any_of([known.has(t) for t in terms]) for k, terms in MANY.items()}
-    tree = (
-        (has_any["en"] & ~has_any["fr"])
-        | (known.has("der") & known.has("nicht") & ~has_any["en"])
-        | (has_any["es"] & ~known.has("una") & known.has("es", "location"))
-    )
-    return known.scan(v.postings(spark, sf)).filter(tree).select("ord", "hash")
+
+    def tree(has):
+        any_in = {k: match.any_of([has(t) for t in terms]) for k, terms in MANY.items()}
+        return (
+            (any_in["en"] & ~any_in["fr"])
+            | (has("der") & has("nicht") & ~any_in["en"])
+            | (any_in["es"] & ~has("una") & has("es", "location"))
+        )
+
+    return matched(spark, sf, known.predicate(tree))
 
 
 match_query("prj6_any_keyword", f"{sql_match('avec')} OR {sql_match(f'of{GAP}the')} OR {sql_match('nicht')}",

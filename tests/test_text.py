@@ -166,6 +166,9 @@ def test_keywords_found_together_equal_single_terms(spark):
             assert {r.hash for r in scanned.filter(known.has(text, cols, prefix=True)).collect()} == hits(spark, match.prefix(text, cols)), text
     assert {r.hash for r in scanned.filter(known.any()).collect()} == hits(
         spark, match.any_of([match.term(t) for t in MANY] + [match.prefix(p) for p in ("engin", "the ecl", "ecol")]))
+    tree = lambda has: has("engineer") & ~has("data engineer") | has("ecol", "company", prefix=True)
+    assert hits(spark, known.predicate(tree)) == hits(
+        spark, match.term("engineer") & ~match.phrase("data engineer") | match.prefix("ecol", "company"))
     assert hits(spark, match.any_phrase(["vital", "c++", "twelve nine"])) == hits(spark, match.any_of([match.term("vital"), match.term("c")]))
     assert hits(spark, match.any_phrase([])) == hits(spark, match.any_phrase(["++"])) == set()
 
