@@ -78,26 +78,42 @@ class WaveletMatrix:
         return self._descend(symbols, ends) - self.first[symbols]
 
 
-def suffix_array(symbols: np.ndarray, longest: int) -> np.ndarray:
-    """Order of the suffixes, all of which differ within ``longest`` symbols, by doubling."""
-    _, rank = np.unique(symbols, return_inverse=True)
-    n, known, order = len(symbols), 1, np.argsort(rank, kind="stable")
-    while known < longest and int(rank.max(initial=0)) < n - 1:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - known] = rank[known:] + 1
-        key = rank.astype(np.int64) * (n + 1) + ahead
-        order = np.argsort(key)
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.r_[0, np.cumsum(sorted_key[1:] != sorted_key[:-1])]
+def suffix_array(symbols: np.ndarray) -> np.ndarray:
+    """Order of the suffixes, no two of which are equal within one sequence's length.
+
+    Suffixes are sorted by their first two symbols, then by what follows, as far again as
+    they are known; only those that still tie are sorted again. A rank is the first place
+    that a suffix can have.
+    """
+    n = len(symbols)
+    width, ahead = int(symbols.max(initial=0)) + 2, np.zeros(n, np.int64)
+    ahead[:-1] = symbols[1:] + 1
+    key = symbols * width + ahead
+    order, known = np.argsort(key), 2
+    rank, places = np.empty(n, np.int64), np.arange(n)
+    waiting, key = order, key[order]
+    while True:
+        new = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        first = places[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        rank[waiting] = first
+        tied = ~(new & np.r_[new[1:], True][: len(new)])
+        places, waiting = places[tied], waiting[tied]
+        if not len(waiting):
+            return order
+        key = rank[waiting] * (n + 1) + rank[np.minimum(waiting + known, n - 1)]
+        again = np.argsort(key)
+        waiting, key = waiting[again], key[again]
+        order[places] = waiting
         known *= 2
-    return order
 
 
 class FMIndex:
-    """Sequences of words, given one after another with their bounds."""
+    """Sequences of words, given one after another with their bounds.
 
-    def __init__(self, words: np.ndarray, bounds: np.ndarray) -> None:
+    ``twice`` marks sequences that stand for more than one place.
+    """
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray, twice: np.ndarray | None = None) -> None:
         self.vocabulary, ids = np.unique(words, return_inverse=True)
         texts, sizes = len(bounds) - 1, np.diff(bounds)
         # Separators sort before words and differ, so no suffix equals another one.
@@ -107,10 +123,13 @@ class FMIndex:
         inside[closing] = False
         symbols[closing] = np.arange(texts)
         symbols[inside] = ids + texts
-        order = suffix_array(symbols, int(sizes.max(initial=0)) + 1)
+        order = suffix_array(symbols)
         transform = np.maximum(symbols[order - 1] - (texts - 1), 0)
         self.size = len(symbols)
         self.wavelet = WaveletMatrix(transform, len(self.vocabulary) + 1)
+        # Suffixes of sequences that count twice, in the order of suffixes.
+        own = np.zeros(texts, bool) if twice is None else twice
+        self.doubled = Bits(np.repeat(own, sizes + 1)[order])
         # Suffixes that begin with a lesser symbol.
         self.lesser = np.r_[0, np.cumsum(np.bincount(transform, minlength=len(self.vocabulary) + 1))]
 
@@ -127,6 +146,11 @@ class FMIndex:
         base = self.lesser[symbols]
         return base + both[: len(lo)], base + both[len(lo) :]
 
+    def places(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """How many places the suffixes in [lo, hi) stand for, at least two of each that counts twice."""
+        ones = self.doubled.ones(np.r_[lo, hi])
+        return hi - lo + ones[len(lo) :] - ones[: len(lo)]
+
     def repeats(
         self, words: np.ndarray, bounds: np.ndarray, length: int, places: int = 2
     ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +170,7 @@ class FMIndex:
             symbol = symbols[end - met - 1]
             known = np.maximum(symbol, 0)
             below, above = self.prepend(known, lo, hi)
-            longer = (symbol >= 0) & (above - below >= places)
+            longer = (symbol >= 0) & (self.places(below, above) >= places)
             met, lo, hi = met + longer, np.where(longer, below, lo), np.where(longer, above, hi)
             whole = longer & (end - met == begin)
             over = ~longer | whole

@@ -10,9 +10,10 @@ text or another. Windows are judged on the input.
 2. Passages are collapsed by anchor and digest, and of each one place is cut from its
    text; how often it was met is kept as one or more. Shards are hashes of anchors, about
    `SHARD` words each, so all passages that can share a window are in one shard.
-3. A task indexes its shard (`fm_index`), passages met more than once twice, and streams the
-   passages against it: backward search over the wavelet matrix gives their matching
-   statistics, and runs of `WINDOW` words or more met in two places are reported.
+3. A task indexes its shard (`fm_index`), each passage once and those met more than once
+   marked as two places, and streams the passages against it: backward search over the
+   wavelet matrix gives their matching statistics, and runs of `WINDOW` words or more met
+   in two places are reported.
 4. Reported runs go back to every place of their passage and are joined to the texts.
 
 An anchor with more than `HOT` different passages (a common passage in different
@@ -180,10 +181,7 @@ def indexed(table: pa.Table) -> pa.Table:
         lists = lists.chunk(0)
     sizes = np.diff(lists.offsets.to_numpy())
     words, bounds = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.r_[0, np.cumsum(sizes)]
-    twice = np.flatnonzero(copies > 1)
-    place = np.repeat(np.arange(len(sizes)), sizes)
-    again = words[np.isin(place, twice)]
-    index = FMIndex(np.r_[words, again], np.r_[bounds, bounds[-1] + np.cumsum(sizes[twice])].astype(np.int64))
+    index = FMIndex(words, bounds.astype(np.int64), copies > 1)
     text, lo, hi = index.repeats(words, bounds, WINDOW)
     order = np.lexsort((lo, text))
     text, lo, hi = text[order], lo[order], hi[order]
@@ -204,7 +202,8 @@ def _same(frame: DataFrame, other: DataFrame, how: str = "inner") -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, hash, runs): word ranges of each text of ``docs`` (id, hash, text) that are met elsewhere."""
     placed = materialise(_places(docs.select("id", "hash", "text").filter("text IS NOT NULL")), "places")
-    again = placed.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor")
+    # Stored, so that the join below deals both sides anew and Spark can split a hot anchor.
+    again = materialise(placed.groupBy("anchor").agg(F.count("*").alias("k")).filter("k > 1").select("anchor"), "anchors")
     live = materialise(placed.join(again, "anchor", "left_semi"), "live")
     kinds = materialise(
         live.groupBy("anchor", "digest").agg(
