@@ -9,8 +9,8 @@ Line labels are not given: lines take the label of their document while the fiel
 trained, by gradient steps on the chain's log-likelihood over a bounded sample.
 
 Defined cases: a null or empty text is one empty line. With no labelled row every score
-is the prior 0.5. Identical rows get identical results, other columns are ignored, an
-empty table gives an empty result. A text of any length and number of lines is read
+is the prior 0.5. Identical rows get identical results, equal scores are equal predictions,
+other columns are ignored, an empty table gives an empty result. A text of any length and number of lines is read
 whole.
 """
 
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.buffers import WordHasher, column_bytes, mix, runs
 from postmill.llm.samples import by_label
+from postmill.session import materialise
 
 #: Most labelled rows that are learned from, and most lines of them, in all.
 SAMPLE_ROWS = 3000
@@ -217,7 +218,7 @@ def _each(column: pa.Array, hasher: WordHasher) -> Iterator[tuple[int, int, np.n
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "quality", id_column: str = "doc_id") -> Model | None:
-    """A model from about ``SAMPLE_ROWS`` rows with label 0 or 1; None if there are none.
+    """A model from at most ``SAMPLE_ROWS`` rows with label 0 or 1; None if there are none.
 
     The id only draws the sample.
     """
@@ -236,12 +237,19 @@ def train(docs: DataFrame, text: str = "text", label: str = "quality", id_column
                 )
 
     sample = (
-        by_label(rows, "label", F.col("id"), SAMPLE_ROWS).select("text", "label")
+        by_label(rows, "label", F.xxhash64("id", "text"), SAMPLE_ROWS).select("text", "label")
         .mapInArrow(work, "label int, x array<double>, length array<double>")
         .withColumn("lines", F.size("length"))
     )
-    # Long documents are rare; what they hold is bounded before it is gathered.
-    sample = sample.filter(F.col("lines") <= SAMPLE_LINES // 10).toArrow().to_pandas()
+    # Long texts are rare; of the sample the shortest are gathered that have so many lines in all.
+    sample = materialise(sample, "lines")
+    total, longest = 0, -1
+    for lines, texts in sorted(tuple(r) for r in sample.groupBy("lines").count().collect()):
+        total += lines * texts
+        if total > SAMPLE_LINES:
+            break
+        longest = lines
+    sample = sample.filter(F.col("lines") <= longest).toArrow().to_pandas()
     if sample.empty:
         return None
     sample["key"] = [v.tobytes() for v in sample["x"]]
