@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import (
-    conversation_repair, fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, packing, quality,
-    substring_dedup, surrogates,
+    conversation_repair, fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, oracles, packing,
+    quality,    substring_dedup, surrogates,
 )
 from postmill.llm.samples import remainder
 
@@ -185,6 +185,8 @@ ORACLES: dict[str, str] = {
         r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id)
         SELECT n.doc_id, n.n AS n_shingles, min(r.c) AS component_id
         FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL""",
+    "op11_importance_resampling": oracles.IMPORTANCE,
+    "op12_conversation_repair": oracles.CONVERSATIONS,
     "op13_substring_dedup": r"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id,
                 coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
