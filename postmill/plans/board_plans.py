@@ -6,7 +6,10 @@ platform has them, two detail payloads) on the board of a supplier.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.operators import enrich
@@ -88,6 +91,31 @@ def result(spark, sf, platform: str, payloads: DataFrame) -> DataFrame:
     )
 
 
+#: What each platform's board sends, and what comes of it in SQL.
+PAGES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+EXPECTED: dict[str, str] = {}
+
+
+def board(name: str, platform: str, sql: str, repeated: bool = False):
+    """Register the payloads of a platform and the query that normalises them.
+
+    Where a listing is ``repeated``, the second item lies one place further on.
+    """
+
+    def register(pages):
+        PAGES[platform], EXPECTED[platform] = pages, sql
+
+        @query(name, sql)
+        def run(spark, sf):
+            out = result(spark, sf, platform, pages(spark, sf))
+            moved = F.when(F.lit(repeated) & (F.col("ord") % 16777216 == 2), 1).otherwise(0)
+            return out.withColumn("ord", F.col("ord") - moved)
+
+        return pages
+
+    return register
+
+
 def expect(platform: str, *, url: str, description: str, team="''", posted=DAY_SQL, location="''", low="-1",
            high="-1", currency="''", every="''", raw="''", where="TRUE", the_title="title", ord="ord") -> str:
     inner = f"""SELECT {the_title} AS title, company, {url} AS url, {description} AS description,
@@ -112,7 +140,7 @@ def link(i: int) -> Column:
     return F.concat(F.lit("https://j/"), key(i))
 
 
-@query("nrm1_greenhouse", expect(
+@board("nrm1_greenhouse", "greenhouse", expect(
     "greenhouse", url=LINK, description=HTML_TEXT, team="brand", location="kind",
     low="CASE WHEN size % 3 = 0 THEN -1 ELSE price END", high="CASE WHEN size % 3 = 1 THEN -1 ELSE price + 1 END",
     currency="CASE WHEN size % 2 = 0 THEN 'EUR' ELSE 'USD' END"))
@@ -131,10 +159,10 @@ def greenhouse(spark, sf):
             updated_at=F.concat(day().cast("string"), F.lit("T10:00:00-04:00")), pay_input_ranges=F.array(nothing, cents),
         )
 
-    return result(spark, sf, "greenhouse", listing(spark, sf, "greenhouse", F.to_json(named(jobs=both(job)))))
+    return listing(spark, sf, "greenhouse", F.to_json(named(jobs=both(job))))
 
 
-@query("nrm2_ashby", expect(
+@board("nrm2_ashby", "ashby", expect(
     "ashby", url=LINK, description=PLAIN_SQL, team="CASE WHEN size % 2 = 0 THEN brand ELSE kind END", location="kind",
     low="CASE size % 4 WHEN 0 THEN price WHEN 1 THEN price * 1000 WHEN 2 THEN price ELSE -1 END",
     high="CASE size % 4 WHEN 0 THEN price + 1 WHEN 1 THEN price * 1000 + 2000 ELSE -1 END",
@@ -160,10 +188,10 @@ def ashby(spark, sf):
                      descriptionPlain=plain(), jobUrl=link(i), publishedAt=day().cast("string"), location=F.col("p_type"),
                      compensation=pay)
 
-    return result(spark, sf, "ashby", listing(spark, sf, "ashby", F.to_json(named(jobs=both(job)))))
+    return listing(spark, sf, "ashby", F.to_json(named(jobs=both(job))))
 
 
-@query("nrm3_lever", expect(
+@board("nrm3_lever", "lever", expect(
     "lever", url=LINK, description=PLAIN_SQL, team="brand", location="kind",
     posted=f"CASE WHEN size % 5 = 0 THEN '' ELSE {DAY_SQL} END", low="price", high="price + 10",
     currency="'EUR'", every="CASE WHEN size % 2 = 0 THEN 'annual' ELSE '' END"))
@@ -179,20 +207,20 @@ def lever(spark, sf):
                               interval=F.when(F.col("p_size") % 2 == 0, "per-year-salary").otherwise("per-moon")),
         )
 
-    return result(spark, sf, "lever", listing(spark, sf, "lever", F.to_json(both(job))))
+    return listing(spark, sf, "lever", F.to_json(both(job)))
 
 
-@query("nrm4_gem", expect("gem", url=LINK, description=PLAIN_SQL, team="brand", location="kind"))
+@board("nrm4_gem", "gem", expect("gem", url=LINK, description=PLAIN_SQL, team="brand", location="kind"))
 def gem(spark, sf):
     def job(i):
         return named(title=title(i), content_plain=plain(), absolute_url=link(i),
                      departments=F.array(named(name=F.col("p_brand"))), location=named(name=F.col("p_type")),
                      first_published_at=F.concat(day().cast("string"), F.lit("T01:02:03Z")))
 
-    return result(spark, sf, "gem", listing(spark, sf, "gem", F.to_json(both(job))))
+    return listing(spark, sf, "gem", F.to_json(both(job)))
 
 
-@query("nrm5_workable", expect(
+@board("nrm5_workable", "workable", expect(
     "workable", url="'https://apply.workable.com/' || slug || '/j/' || k || '-' || i || '/'", description=HTML_TEXT,
     team="brand", location="CASE WHEN size % 2 = 0 THEN kind || ', Land' ELSE kind || ', Region, Land' END"))
 def workable(spark, sf):
@@ -204,7 +232,7 @@ def workable(spark, sf):
     pages = listing(spark, sf, "workable", F.to_json(named(results=both(job))))
     for i in (0, 1):
         pages = pages.unionByName(detail(spark, sf, "workable", i, F.to_json(named(description=html_body()))))
-    return result(spark, sf, "workable", pages)
+    return pages
 
 
 def pay_html() -> Column:
@@ -219,7 +247,7 @@ PAY_TEXT = "'Salary range: $' || format('{:,}', price * 100) || ' to $' || forma
 TEXT_PAY = dict(low="price * 100", high="price * 100 + 500", currency="'USD'", every="'annual'")
 
 
-@query("nrm6_workday", expect(
+@board("nrm6_workday", "workday", expect(
     "workday", url="'https://' || slug || '.wd5.myworkdayjobs.com/careers/job/' || k || '-' || i",
     description=f"CASE WHEN i = 1 AND size % 4 = 0 THEN '' ELSE {PAY_TEXT} END",
     posted=f"CASE WHEN i = 1 AND size % 4 = 0 THEN '' ELSE {DAY_SQL} END",
@@ -241,10 +269,10 @@ def workday(spark, sf):
     good = detail(spark, sf, "workday", 0, F.to_json(named(jobPostingInfo=info)), path(0))
     other = F.when(F.col("p_size") % 4 != 0, F.to_json(named(jobPostingInfo=info))).otherwise("{broken")
     pages = pages.unionByName(good).unionByName(detail(spark, sf, "workday", 1, other, path(1)))
-    return result(spark, sf, "workday", pages)
+    return pages
 
 
-@query("nrm7_icims", expect(
+@board("nrm7_icims", "icims", expect(
     "icims", url=f"CASE WHEN size % 2 = 0 THEN {LINK} ELSE 'https://apply/' || k END",
     description=f"{PAY_TEXT} || CASE WHEN size % 3 = 0 THEN '' ELSE chr(10) || chr(10) || 'Duties' END || chr(10) || chr(10) || 'Skills'",
     team="brand", location="CASE WHEN size % 2 = 0 THEN kind ELSE 'Short' END", **TEXT_PAY))
@@ -260,10 +288,10 @@ def icims(spark, sf):
             apply_url=F.concat(F.lit("https://apply/"), F.col("k").cast("string")), posted_date=day().cast("string"),
         ))
 
-    return result(spark, sf, "icims", listing(spark, sf, "icims", F.to_json(named(jobs=both(job)))))
+    return listing(spark, sf, "icims", F.to_json(named(jobs=both(job))))
 
 
-@query("nrm8_phenom", expect(
+@board("nrm8_phenom", "phenom", expect(
     "phenom", url="'https://' || slug || '/us/en/job/' || k || '-' || i", description=PAY_TEXT,
     team="CASE WHEN size % 2 = 0 THEN brand ELSE 'Dept' END", location="CASE WHEN size % 3 = 0 THEN kind ELSE 'City' END",
     **TEXT_PAY))
@@ -277,13 +305,13 @@ def phenom(spark, sf):
     body = F.to_json(named(jobDetail=named(data=named(job=named(description=pay_html())))))
     for i in (0, 1):
         pages = pages.unionByName(detail(spark, sf, "phenom", i, body))
-    return result(spark, sf, "phenom", pages)
+    return pages
 
 
-@query("nrm9_rippling", expect(
+@board("nrm9_rippling", "rippling", expect(
     "rippling", url=LINK, description="'Make' || chr(10) || kind || chr(10) || 'R&D' || chr(10) || chr(10) || 'Firm'",
     team="CASE WHEN size % 2 = 0 THEN brand ELSE 'Base' END", location="kind || ', Remote'",
-    posted="strftime(DATE '2026-01-01' + size - 1, '%Y-%m-%d')", low="price", high="-1", currency="'GBP'", every="'weekly'"))
+    posted="strftime(DATE '2026-01-01' + size - 1, '%Y-%m-%d')", low="price", high="-1", currency="'GBP'", every="'weekly'"), repeated=True)
 def rippling(spark, sf):
     pages = listing(spark, sf, "rippling", F.to_json(F.array(named(uuid=key(0)), named(uuid=key(0)), named(uuid=key(1)))))
     empty = named(rangeStart=F.lit(None).cast("double"), rangeEnd=F.lit(None).cast("double"), currency="USD", frequency="YEAR")
@@ -295,12 +323,10 @@ def rippling(spark, sf):
             workLocations=F.array(F.col("p_type"), F.lit("Remote")), url=link(i), payRangeDetails=F.array(empty, paid),
             createdOn=F.concat(day().cast("string"), F.lit("T01:00:00+05:30")),
         ))))
-    out = result(spark, sf, "rippling", pages)
-    # A repeated listing moves the second item one place on.
-    return out.withColumn("ord", F.col("ord") - F.when(F.col("ord") % 16777216 == 2, 1).otherwise(0))
+    return pages
 
 
-@query("nrm10_smartrecruiters", expect(
+@board("nrm10_smartrecruiters", "smartrecruiters", expect(
     "smartrecruiters", url=f"CASE WHEN i = 0 THEN {LINK} ELSE 'https://jobs.smartrecruiters.com/' || slug || '/' || k || '-1' END",
     description="CASE WHEN i = 0 THEN 'Make' || chr(10) || kind || chr(10) || 'R&D' || chr(10) || chr(10) || 'More' ELSE '' END",
     location="kind", low="-1", high="CASE WHEN i = 0 THEN price ELSE -1 END", currency="CASE WHEN i = 0 THEN 'EUR' ELSE '' END",
@@ -318,10 +344,10 @@ def smartrecruiters(spark, sf):
         postingUrl=link(0), compensation=named(min=F.lit(0), max=F.col("price"), currency="EUR", period="YEARLY"),
     )
     pages = pages.unionByName(detail(spark, sf, "smartrecruiters", 0, F.to_json(body)))
-    return result(spark, sf, "smartrecruiters", pages)
+    return pages
 
 
-@query("nrm11_src9_trakstar", expect(
+@board("nrm11_src9_trakstar", "trakstar", expect(
     "trakstar", url=LINK, description=HTML_TEXT, team="CASE WHEN size % 2 = 0 THEN brand ELSE '' END",
     location="kind || ', Land'"))
 def trakstar(spark, sf):
@@ -336,10 +362,10 @@ def trakstar(spark, sf):
 
     body = F.concat(F.lit('<rss xmlns:job="https://recruiterbox.com/rss/job/"><channel><title>Feed</title>'),
                     item(0), item(1), F.lit("</channel></rss>"))
-    return result(spark, sf, "trakstar", listing(spark, sf, "trakstar", body))
+    return listing(spark, sf, "trakstar", body)
 
 
-@query("nrm12_breezy", expect(
+@board("nrm12_breezy", "breezy", expect(
     "breezy", url=LINK, description=HTML_TEXT, team="CASE WHEN size % 2 = 0 THEN brand ELSE '' END", location="kind"))
 def breezy(spark, sf):
     def job(i):
@@ -351,10 +377,10 @@ def breezy(spark, sf):
     page = F.concat(F.lit("<html><head><script type='application/ld+json'>"), data, F.lit("</script></head></html>"))
     for i in (0, 1):
         pages = pages.unionByName(detail(spark, sf, "breezy", i, page, link(i), "page"))
-    return result(spark, sf, "breezy", pages)
+    return pages
 
 
-@query("nrm13_kula", expect(
+@board("nrm13_kula", "kula", expect(
     "kula", url="'https://careers.kula.ai/' || slug || '/jobs/' || k", description=HTML_TEXT, team="brand", posted="''",
     location="CASE size % 3 WHEN 0 THEN kind || ' (Hybrid, Full time)' WHEN 1 THEN kind ELSE 'Hybrid' END",
     where="NOT (i = 1 AND size % 2 = 0)"))
@@ -373,7 +399,7 @@ def kula(spark, sf):
         )
 
     refs = F.create_map(F.lit("$a"), html_body(), F.lit("$b"), F.lit("other"))
-    return result(spark, sf, "kula", listing(spark, sf, "kula", F.to_json(named(jobs=both(job), refs=refs))))
+    return listing(spark, sf, "kula", F.to_json(named(jobs=both(job), refs=refs)))
 
 
 # --- collection ------------------------------------------------------------
@@ -428,6 +454,18 @@ def collect(spark, sf):
     return postings.groupBy("source").agg(F.count("*").alias("jobs"))
 
 
+@query("src10_collect_all_platforms", "SELECT source, count(*) AS jobs, min(hash) AS first_hash, max(hash) AS last_hash FROM ("
+       + " UNION ALL ".join(f"SELECT source, hash FROM ({sql})" for sql in EXPECTED.values()) + ") GROUP BY source")
+def collect_all(spark, sf):
+    """The boards of all platforms from one table of payloads."""
+    pages = reduce(DataFrame.unionByName, [build(spark, sf) for build in PAGES.values()])
+    registry = reduce(DataFrame.unionByName, [v.sources(spark, sf, platform) for platform in PAGES])
+    postings, _ = boards.collect(pages, registry)
+    return postings.groupBy("source").agg(
+        F.count("*").alias("jobs"), F.min("hash").alias("first_hash"), F.max("hash").alias("last_hash")
+    )
+
+
 @query("jon10_udx2_live_payloads", """
     SELECT slug, request_key, arg_max(body, n) AS body, min(n) AS ord FROM (
       SELECT 's' || (user_id % (SELECT count(*) FROM supplier)) AS slug, 'r' || user_id AS request_key, props AS body, event_id AS n, ts,

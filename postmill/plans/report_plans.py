@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from postmill.functions.text import listing_text, short_key
@@ -16,6 +18,7 @@ from postmill.plans.registry import query
 from postmill.plans.text_plans import LISTING_SQL, SQL_PREFIX, SQL_SUFFIX, sql_amount, sql_match, sql_pay_text, sql_time_ago
 from postmill.session import fresh_path
 from postmill.sources import readers, sinks
+from postmill.sources.tables import Folder
 
 NOW = "TIMESTAMP '2026-04-19 12:00:00'"
 
@@ -135,6 +138,47 @@ def intermediaries(spark, sf):
     return readers.with_via(rows, persons).select("ord", "via_name", "via_url")
 
 
+@query("src5_network_directories", """
+    SELECT c_custkey AS k, 'First ' || c_custkey || chr(160) || c_name AS name, 'https://p/' || c_custkey AS url,
+      'NATION_' || c_nationkey AS company, c_mktsegment AS person,
+      CASE WHEN c_mktsegment < 'F' THEN c_mktsegment ELSE 'Via' || chr(160) || c_mktsegment END AS via_name,
+      CASE WHEN c_mktsegment < 'F' THEN '' ELSE 'https://p/' || c_mktsegment END AS via_url FROM customer""")
+def network_directories(spark, sf):
+    """Exports of all intermediaries, written as directories and read again."""
+    c = v.table(spark, sf, "customer")
+    number = F.col("c_custkey").cast("string")
+    line = F.concat(F.lit("First "), number, F.lit(","), "c_name", F.lit(",https://p/"), number, F.lit(",NATION_"),
+                    F.col("c_nationkey").cast("string"))
+    segments = c.select("c_mktsegment").distinct()
+    header = segments.select("c_mktsegment", F.lit(-1).alias("at"), F.lit("First Name,Last Name,URL,Company").alias("value"))
+    lines = header.unionByName(c.select("c_mktsegment", F.col("c_custkey").alias("at"), line.alias("value")))
+    path = fresh_path(spark, "network")
+    lines.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "at").select(
+        "value", F.col("c_mktsegment").alias("person")).write.partitionBy("person").text(path)
+    folder = Folder(spark, path)
+    for name in folder.names():  # one directory for each segment
+        if name.startswith("person="):
+            person = name.removeprefix("person=")
+            part = next(p for p in folder.names(name) if p.startswith("part-"))
+            folder.rename(f"{name}/{part}", f"{person}/Connections.csv")
+            if person >= "F":
+                folder.publish(f"{person}/Person.json", json.dumps(
+                    {"first_name": "Via", "last_name": person, "linkedin_profile_url": f"https://p/{person}"}))
+    read = readers.read_network(spark, path)
+    return read.select(
+        F.regexp_extract("url", r"(\d+)$", 1).cast("bigint").alias("k"), "name", "url", "company", "person", "via_name", "via_url"
+    )
+
+
+@query("src6_context_directory", "SELECT canonical, content FROM v_context", ("v_context",))
+def context_directory(spark, sf):
+    """Context documents, one file for each company, written and read again."""
+    folder = Folder(spark, fresh_path(spark, "context"))
+    for row in v.context(spark, sf).collect():  # as many files as there are companies
+        folder.publish(f"{row.canonical}.md", f"\n {row.content}\n\n")
+    return readers.read_context(spark, folder.path)
+
+
 CACHED_SQL = f"""
     , keyed AS (SELECT ord, source, sha256({LISTING_SQL})[1:16] AS key FROM v_postings),
     cached AS (SELECT DISTINCT key FROM keyed WHERE source < 'src5')"""

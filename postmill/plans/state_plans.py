@@ -88,6 +88,26 @@ def store_counts(spark, sf):
     return state.store_counts(state.upsert_and_evict(v.store(spark, sf), fresh, v.AS_OF), fresh)
 
 
+@query("agg1_observed_counts", """
+    , observed AS (SELECT hash, url FROM v_fresh)
+    SELECT fresh, carried, fresh + carried AS total FROM (
+      SELECT (SELECT count(DISTINCT hash) FROM v_fresh) AS fresh, count(*) AS carried FROM v_store
+      WHERE hash NOT IN (SELECT hash FROM observed) AND url NOT IN (SELECT url FROM observed)
+        AND epoch(TIMESTAMP '2026-04-19 12:00:00') - epoch(CAST(last_seen_at AS TIMESTAMP)) <= 604800)""",
+       ("v_store", "v_fresh"))
+def observed_store_counts(spark, sf):
+    """The counts of `agg1_store_counts`, taken while the new store is written."""
+    counted = dedup.Counted()
+    new = state.upsert_and_evict(v.store(spark, sf), v.fresh(spark, sf), v.AS_OF)
+    marked = counted.through(counted.through(new, "total"), "fresh", F.col("last_seen_at") == v.AS_OF)
+    marked.write.parquet(fresh_path(spark, "store"))
+    n = counted.counts()
+    return spark.range(1).select(
+        F.lit(n["fresh"]).cast("long").alias("fresh"), F.lit(n["total"] - n["fresh"]).cast("long").alias("carried"),
+        F.lit(n["total"]).cast("long").alias("total"),
+    )
+
+
 @query("jon2_edited_posting_superseded", """
     SELECT s.hash, s.url FROM v_store s WHERE s.url IN (SELECT url FROM v_fresh)
       AND s.hash NOT IN (SELECT hash FROM v_fresh)""", ("v_store", "v_fresh"))

@@ -59,18 +59,25 @@ class Folder:
 
     def publish(self, name: str, text: str) -> None:
         """Write a file whole or not at all; raise ``Conflict`` if there is one."""
-        draft = self._at(f"_draft-{uuid.uuid4().hex}")
-        out = self.files.create(draft)
+        draft = f"_draft-{uuid.uuid4().hex}"
+        out = self.files.create(self._at(draft))
         out.write(bytearray(text.encode()))
         out.close()
-        self.files.mkdirs(self._at(name).getParent())
+        try:
+            self.rename(draft, name)
+        except Conflict:
+            self.delete(draft)
+            raise
+
+    def rename(self, name: str, new: str) -> None:
+        """Move a file to a name that is free; raise ``Conflict`` if it is not."""
+        self.files.mkdirs(self._at(new).getParent())
         options = self.spark._sc._gateway.new_array(self.hadoop.Options.Rename, 0)
         try:
-            self.hadoop.FileContext.getFileContext(self.files.getUri(), self.conf).rename(draft, self._at(name), options)
+            self.hadoop.FileContext.getFileContext(self.files.getUri(), self.conf).rename(self._at(name), self._at(new), options)
         except Exception as error:
-            self.files.delete(draft, False)
-            if self.files.exists(self._at(name)):
-                raise Conflict(f"{self.path}/{name}") from error
+            if self.files.exists(self._at(new)):
+                raise Conflict(f"{self.path}/{new}") from error
             raise
 
     def delete(self, name: str) -> None:
