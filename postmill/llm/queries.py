@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm import (
     conversation_repair, fingerprints, html_content, importance, language, line_dedup, mixing, neighbours, ngram_join, oracles, packing,
-    quality,    substring_dedup, surrogates,
+    quality, substring_dedup, surrogates,
 )
 from postmill.llm.samples import remainder
 
