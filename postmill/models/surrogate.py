@@ -6,6 +6,7 @@ with constant coefficients, so scoring a table needs no shuffle and no Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -38,14 +39,19 @@ def fold_of(ordinal: Column, n: int, folds: int) -> Column:
     return F.when(ordinal < cut, F.floor(ordinal / F.lit(small + 1))).otherwise(late).cast("int")
 
 
-def bootstrap_weights(rows: DataFrame, n: int, models: int, seed: int) -> DataFrame:
+Draw = Callable[[Column, Column], Column]
+
+
+def bootstrap_weights(rows: DataFrame, n: int, models: int, seed: int, draw: Draw | None = None) -> DataFrame:
     """(model, ordinal, weight): n draws with replacement per member.
 
     Every row also stands for one draw of each member and names, by a hash of
     seed, member and row, the row it draws. So there are exactly n draws, the
-    result repeats with the seed, and nothing is gathered.
+    result repeats with the seed, and nothing is gathered. ``draw`` gives, for a
+    member and a row, another whole number to draw by.
     """
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "model", "ordinal"), F.lit(n)).alias("ordinal")
+    number = F.xxhash64(F.lit(seed), "model", "ordinal") if draw is None else draw(F.col("model"), F.col("ordinal"))
+    drawn = F.pmod(number, F.lit(n)).alias("ordinal")
     members = F.explode(F.sequence(F.lit(0), F.lit(models - 1))).alias("model")
     return (
         rows.select("ordinal", members).select("model", drawn)
@@ -83,6 +89,7 @@ class Surrogate:
     n_models: int
     seed: int
     max_chars: int | None
+    draw: Draw | None = None
 
     # --- prediction ---------------------------------------------------------
 
@@ -129,7 +136,7 @@ class Surrogate:
 
     @cached_property
     def ensemble(self) -> tuple[Linear, ...]:
-        draws = bootstrap_weights(self.rows, self.n, self.n_models, self.seed)
+        draws = bootstrap_weights(self.rows, self.n, self.n_models, self.seed, self.draw)
         weighted = draws.join(self.rows, "ordinal")
         fitted = fit_weighted(
             weighted, self.n, self.features.size, 3, [2], ENSEMBLE_ALPHA
@@ -181,9 +188,9 @@ def regression_metrics(predictions: DataFrame) -> DataFrame:
 
 def fit_surrogate(
     examples: DataFrame, order_by, n_models: int = MODELS, seed: int = 0,
-    max_chars: int | None = None, **features,
+    max_chars: int | None = None, draw: Draw | None = None, **features,
 ) -> Surrogate:
-    """Fit both heads on EXAMPLE rows taken in the order ``order_by``."""
+    """Fit both heads on EXAMPLE rows taken in the order ``order_by``; for ``draw`` see ``bootstrap_weights``."""
     placed = with_position(examples, order_by, "ordinal", start=0)
     n = placed.count()
     if n == 0:
@@ -203,7 +210,7 @@ def fit_surrogate(
     )
     heads = fit_by_loo(rows, n, fitted.size, 3, 2).sort_values("target")
     interest, fit = (_linear(r) for r in heads.itertuples())
-    return Surrogate(fitted, interest, fit, rows, n, n_models, seed, max_chars)
+    return Surrogate(fitted, interest, fit, rows, n, n_models, seed, max_chars, draw)
 
 
 def agreement(examples: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -222,6 +222,119 @@ def cv_metrics(spark, sf):
     return trained(spark, sf).cv_metrics()
 
 
+# --- the same models over few terms, against elimination in SQL --------------
+
+SMALL = {"meta_k": 3, "desc_k": 5}
+MEMBERS = 10
+
+
+def ridge_sql(models: str) -> str:
+    """CTEs up to ``solved`` (model, target, alpha, beta, b0, inverse, mean, n).
+
+    ``models`` selects (model, alpha, target, i, weight): which rows weigh how much in
+    which fit. Systems are solved by Gauss-Jordan elimination, one column a round.
+    """
+    return fea_sql(STORE_TEXTS, "hash IN (SELECT hash FROM v_scores)", SMALL["meta_k"], SMALL["desc_k"]) + f""",
+    terms AS (SELECT block, term, row_number() OVER (ORDER BY block, n DESC, term) AS j FROM vocabulary),
+    dense AS (SELECT s.hash, list(coalesce(w, 0.0) ORDER BY j) AS x FROM v_store s CROSS JOIN terms
+        LEFT JOIN weights ON weights.hash = s.hash AND weights.block = terms.block AND weights.term = terms.term GROUP BY s.hash),
+    rows_in AS (SELECT hash, x, [interest_score / 100.0, fit_score / 100.0, sqrt((interest_score / 100.0) * (fit_score / 100.0))] AS ys,
+        row_number() OVER (ORDER BY ord) - 1 AS i, count(*) OVER () AS rows_n
+        FROM dense JOIN v_store USING (hash) JOIN v_scores USING (hash)),
+    fits AS ({models}),
+    long AS (SELECT model, alpha, target, weight, ys[target] AS y, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j, i FROM fits JOIN rows_in USING (i)),
+    totals AS (SELECT model, alpha, target, sum(weight) AS n, sum(weight * ys[target]) / sum(weight) AS y_mean FROM fits JOIN rows_in USING (i) GROUP BY ALL),
+    means AS (SELECT model, alpha, target, j, sum(weight * v) / sum(weight) AS m, sum(weight * v * y) AS xy FROM long GROUP BY ALL),
+    grams2 AS (SELECT a.model, a.alpha, a.target, a.j, b.j AS k, sum(a.weight * a.v * b.v) AS g
+        FROM long a JOIN long b ON a.model = b.model AND a.alpha = b.alpha AND a.target = b.target AND a.i = b.i GROUP BY ALL),
+    cells AS (SELECT g.model, g.alpha, g.target, g.j, g.k,
+            g.g - t.n * a.m * b.m + CASE WHEN g.j = g.k THEN g.alpha ELSE 0 END AS v, CASE WHEN g.j = g.k THEN 1.0 ELSE 0.0 END AS one,
+            a.xy - t.n * a.m * t.y_mean AS rhs
+        FROM grams2 g JOIN totals t USING (model, alpha, target) JOIN means a USING (model, alpha, target, j)
+        JOIN means b ON b.model = g.model AND b.alpha = g.alpha AND b.target = g.target AND b.j = g.k),
+    lines AS (SELECT model, alpha, target, j, list(v ORDER BY k) || list(one ORDER BY k) || [any_value(rhs)] AS line FROM cells GROUP BY ALL),
+    elimination AS (
+        SELECT model, alpha, target, 0 AS s, list(line ORDER BY j) AS m FROM lines GROUP BY model, alpha, target
+        UNION ALL
+        SELECT model, alpha, target, s + 1, list_transform(m, lambda r, j: CASE WHEN j = s + 1
+            THEN list_transform(r, lambda v: v / m[s + 1][s + 1])
+            ELSE list_transform(r, lambda v, k: v - r[s + 1] * m[s + 1][k] / m[s + 1][s + 1]) END)
+        FROM elimination WHERE s < len(m)),
+    solved AS (SELECT e.model, e.alpha, e.target, list_transform(m, lambda r: r[len(r)]) AS beta,
+            list_transform(m, lambda r: r[len(m) + 1 : 2 * len(m)]) AS inverse, mean, t.n, t.y_mean,
+            t.y_mean - list_dot_product(mean, list_transform(m, lambda r: r[len(r)])) AS b0
+        FROM elimination e JOIN totals t USING (model, alpha, target)
+        JOIN (SELECT model, alpha, target, list(m ORDER BY j) AS mean FROM means GROUP BY model, alpha, target) USING (model, alpha, target)
+        WHERE s = len(m))"""
+
+
+#: Both heads by leave-one-out over all alphas.
+HEADS_SQL = ridge_sql("""SELECT 0 AS model, power(10, -2 + 4 * a / 49.0) AS alpha, target, i, 1.0 AS weight
+        FROM rows_in, range(50) r(a), (VALUES (1), (2)) t(target)""") + """,
+    errors AS (SELECT target, alpha, sum(power((ys[target] - y_mean - list_dot_product(z, beta))
+            / (1 - 1.0 / n - list_dot_product(z, list_transform(inverse, lambda r: list_dot_product(r, z)))), 2)) AS error
+        FROM (SELECT s.*, ys, list_transform(x, lambda v, j: v - mean[j]) AS z FROM solved s, rows_in) GROUP BY ALL),
+    heads AS (SELECT target, alpha, beta, b0 FROM solved JOIN (
+        SELECT target, arg_min(alpha, (error, alpha)) AS alpha FROM errors GROUP BY target) USING (target, alpha)),
+    guesses AS (SELECT hash, sqrt(greatest(0, least(1, a.b0 + list_dot_product(x, a.beta))) * greatest(0, least(1, b.b0 + list_dot_product(x, b.beta)))) AS score
+        FROM dense, heads a, heads b WHERE a.target = 1 AND b.target = 2)"""
+
+
+def small(spark, sf):
+    """The surrogate over eight terms, its members drawn by a rule that SQL has too."""
+    return trained(spark, sf, draw=lambda m, i: i * (2 * m + 3) + 17 * m + i * i * (m + 1), n_models=MEMBERS, **SMALL)
+
+
+@query("mod1_small_alpha", HEADS_SQL + """
+    SELECT CASE target WHEN 1 THEN 'interest' ELSE 'fit' END AS head, round(alpha, 6) AS alpha, round(b0, 6) AS intercept FROM heads""",
+       ("v_store", "v_scores"))
+def small_alpha(spark, sf):
+    model = small(spark, sf)
+    heads = [("interest", model.interest), ("fit", model.fit)]
+    rows = [(name, round(h.alpha, 6), round(h.intercept, 6)) for name, h in heads]
+    return spark.createDataFrame(rows, "head string, alpha double, intercept double")
+
+
+@query("mod2_mod6_small_predictions", HEADS_SQL + " SELECT hash, round(score, 6) AS surrogate_score FROM guesses", ("v_store", "v_scores"))
+def small_predictions(spark, sf):
+    scored = small(spark, sf).predict(stored(spark, sf))
+    return scored.select("hash", F.round("surrogate_score", 6).alias("surrogate_score"))
+
+
+@query("mod5_small_by_score", HEADS_SQL + """
+    SELECT hash, round(score, 6) AS surrogate_score FROM guesses ORDER BY score DESC, hash LIMIT 10""", ("v_store", "v_scores"))
+def small_by_score(spark, sf):
+    best = small(spark, sf).by_score(stored(spark, sf), 10)
+    return best.select("hash", F.round("surrogate_score", 6).alias("surrogate_score"))
+
+
+@query("mod3_mod4_agg7_small_disagreement", ridge_sql(f"""SELECT model, 1.0 AS alpha, 3 AS target, drawn AS i, count(*)::DOUBLE AS weight
+        FROM (SELECT m AS model, (i * (2 * m + 3) + 17 * m + i * i * (m + 1)) % rows_n AS drawn FROM rows_in, range({MEMBERS}) r(m))
+        GROUP BY model, drawn""") + """
+    SELECT hash, round(variance, 9) AS variance FROM (
+        SELECT hash, var_pop(b0 + list_dot_product(x, beta)) AS variance FROM dense, solved GROUP BY hash)
+    ORDER BY variance DESC, hash LIMIT 10""", ("v_store", "v_scores"))
+def small_disagreement(spark, sf):
+    model = small(spark, sf)
+    widest = model.by_disagreement(stored(spark, sf), 10)
+    return widest.select("hash", F.round("variance", 9).alias("variance"))
+
+
+@query("mod7_small_metrics", ridge_sql("""SELECT f AS model, 1.0 AS alpha, 3 AS target, i, 1.0 AS weight
+        FROM (SELECT *, CASE WHEN i < (rows_n % 5) * (rows_n // 5 + 1) THEN i // (rows_n // 5 + 1)
+            ELSE rows_n % 5 + (i - (rows_n % 5) * (rows_n // 5 + 1)) // (rows_n // 5) END AS fold FROM rows_in), range(5) r(f)
+        WHERE f <> fold""") + """,
+    held AS (SELECT ys[3] AS y, b0 + list_dot_product(x, beta) AS p FROM (
+        SELECT *, CASE WHEN i < (rows_n % 5) * (rows_n // 5 + 1) THEN i // (rows_n // 5 + 1)
+            ELSE rows_n % 5 + (i - (rows_n % 5) * (rows_n // 5 + 1)) // (rows_n // 5) END AS fold FROM rows_in) JOIN solved ON model = fold),
+    ranks AS (SELECT y, p, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry,
+        rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM held)
+    SELECT count(*) AS n_examples, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 4) AS cv_r2,
+      round(avg(abs(y - p)), 4) AS cv_mae, round(corr(ry, rp), 4) AS cv_spearman FROM ranks""", ("v_store", "v_scores"))
+def small_metrics(spark, sf):
+    return small(spark, sf).cv_metrics()
+
+
 # --- learning loop ----------------------------------------------------------
 
 

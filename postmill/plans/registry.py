@@ -30,7 +30,8 @@ def with_views(sql: str, *views: str) -> str:
         add(view)
     if not needed:
         return sql
-    return "WITH " + ",\n".join(needed) + "\n" + sql
+    # Harmless where nothing recurs.
+    return "WITH RECURSIVE " + ",\n".join(needed) + "\n" + sql
 
 
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
