@@ -13,7 +13,7 @@ from postmill.operators.ranking import with_position
 from postmill.plans import views as v
 from postmill.plans.registry import query
 from postmill.plans.report_plans import PRIORITY
-from postmill.plans.text_plans import META_SQL
+from postmill.plans.text_plans import META_SQL, sql_match
 from postmill.session import materialise
 
 STOP_SQL = ", ".join(f"'{w}'" for w in fe.STOP_WORDS)
@@ -373,3 +373,50 @@ def cold_loop(spark, sf):
     """A cold start with two rounds of learning."""
     out = loop(spark, sf, False, init_learning_iters=2)
     return out.training.groupBy("round").agg(F.count("*").alias("examples"))
+
+
+# --- single steps of the loop, with SQL --------------------------------------
+
+CHOSEN_SQL = f""", unique_rows AS (SELECT * FROM (
+      SELECT *, row_number() OVER (PARTITION BY title, company, team, description ORDER BY ord) AS rn FROM v_store) WHERE rn = 1),
+    forced AS (SELECT * FROM unique_rows WHERE {sql_match('avec')}),
+    chosen AS (SELECT * FROM unique_rows WHERE {sql_match('the')} OR {sql_match('de')} OR {sql_match('avec')})"""
+LABEL_SQL = "CAST(length(description) % 101 AS INTEGER) AS interest_score, CAST(ord % 101 AS INTEGER) AS fit_score"
+
+
+def by_rule(rows):
+    """A label function of the caller's own: scores that follow from the posting."""
+    return rows.select(
+        "hash", (F.length("description") % 101).cast("int").alias("interest_score"), (F.col("ord") % 101).cast("int").alias("fit_score")
+    )
+
+
+def first_steps(spark, sf, before, **options):
+    universe, forced = select_universe(
+        stored(spark, sf), match.any_of([match.term("the"), match.term("de")]), match.term("avec"))
+    out = learning.active_learning(
+        universe, forced, before, by_rule, reference_text(spark, sf), seed=7, n_models=2,
+        init_learning_iters=0, learning_iters=0, **options)
+    return out.training.select("hash", "round", "interest_score", "fit_score")
+
+
+@query("lop1_udx3_forced_step", CHOSEN_SQL + f"""
+    SELECT hash, 0 AS round, interest_score, fit_score FROM v_store JOIN v_scores USING (hash)
+    UNION ALL SELECT hash, 1, {LABEL_SQL} FROM forced WHERE hash NOT IN (SELECT hash FROM v_scores)""", ("v_store", "v_scores"))
+def forced_step(spark, sf):
+    """A warm start labels what is forced and has no score."""
+    before = training(spark, sf).select(
+        "hash", "title", "description", "company", "location", "team", "comp", "interest_score", "fit_score",
+        F.lit(0).alias("round"), F.col("ord").alias("place"))
+    return first_steps(spark, sf, before)
+
+
+@query("lop2_cold_seed", CHOSEN_SQL + """,
+    waiting AS (SELECT * FROM chosen WHERE hash NOT IN (SELECT hash FROM forced))""" + SIMILARITY_SQL.replace(
+    "FROM v_store\n", "FROM waiting\n").replace("FROM v_store s", "FROM waiting s") + f""",
+    seeds AS (SELECT hash FROM likeness ORDER BY likeness.similarity DESC, hash LIMIT 100)
+    SELECT hash, 0 AS round, {LABEL_SQL} FROM forced
+    UNION ALL SELECT hash, 1, {LABEL_SQL} FROM waiting JOIN seeds USING (hash)""", ("v_store",))
+def cold_seed(spark, sf):
+    """A cold start labels what is forced, then what is most like the reference."""
+    return first_steps(spark, sf, learning.empty_training(spark))
