@@ -27,6 +27,9 @@ DESC_FEATURES = 1300
 TRACKED = 200_000
 SUMMARY_ERROR = 3.5
 
+#: Columns of stored tokens.
+TOKENS = ("_meta_tokens", "_body_tokens")
+
 # Token pattern and default stop words. Pass another list to
 # ``fit_features`` to use it instead.
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -190,9 +193,12 @@ class Features:
         return _block_counts(texts, self.meta_vocabulary, self.body_vocabulary, self.stop_words)
 
     def transform(self, texts: DataFrame) -> DataFrame:
-        """Adds ``features``: array of (i, w), at most ``size`` entries per row."""
+        """Adds ``features``: array of (i, w), at most ``size`` entries per row.
+
+        ``texts`` has (meta, body), or the tokens of both from ``fit_with_tokens``.
+        """
         counted = self.counts(texts)
-        kept = [c for c in texts.columns if c not in ("meta", "body")]
+        kept = [c for c in texts.columns if c not in ("meta", "body", *TOKENS)]
         return counted.select(
             *kept,
             F.concat(
@@ -229,15 +235,23 @@ def fit_features(
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> Features:
     """Vocabulary and smoothed idf over (hash, meta, body) rows."""
+    return fit_with_tokens(texts, meta_k, desc_k, stop_words)[0]
+
+
+def fit_with_tokens(
+    texts: DataFrame, meta_k: int = META_FEATURES, desc_k: int = DESC_FEATURES,
+    stop_words: Sequence[str] = STOP_WORDS,
+) -> tuple[Features, DataFrame]:
+    """``fit_features``, and the stored tokens of its rows, which ``transform`` takes for texts."""
     stop = tuple(stop_words)
     # Tokens are made once; vocabulary and frequencies both read them.
     tokens = with_tokens(with_tokens(texts, "meta", "_meta_tokens", stop), "body", "_body_tokens", stop)
-    texts = materialise(tokens.select("_meta_tokens", "_body_tokens"), "tokens")
+    texts = materialise(tokens.drop("meta", "body"), "tokens")
     vocabulary = {
         text: tuple(top_terms(texts.select(f"_{text}_tokens"), text, k, stop))
         for text, k in (("meta", meta_k), ("body", desc_k))
     }
-    counted = _block_counts(texts, vocabulary["meta"], vocabulary["body"], stop)
+    counted = _block_counts(texts.select(*TOKENS), vocabulary["meta"], vocabulary["body"], stop)
     offset = len(vocabulary["meta"])
     present = F.concat(
         F.col("_meta")["indices"], F.transform(F.col("_body")["indices"], lambda i: i + offset)
@@ -253,9 +267,10 @@ def fit_features(
         math.log((1 + n) / (1 + frequency.get(i, 0))) + 1
         for i in range(offset + len(vocabulary["body"]))
     ]
-    return Features(
+    fitted = Features(
         vocabulary["meta"], vocabulary["body"], tuple(idf[:offset]), tuple(idf[offset:]), stop
     )
+    return fitted, texts
 
 
 def dot(features: Column | str, weights: Sequence[float] | Column) -> Column:
@@ -282,13 +297,14 @@ def similarity(postings: DataFrame, reference_text: str, **options) -> DataFrame
     reference = spark.range(1).select(
         F.lit("").alias("hash"), F.lit(reference_text).alias("meta"), F.lit("").alias("body")
     )
-    fitted = fit_features(texts.unionByName(reference), **options)
-    row = fitted.transform(reference).select("features").head()
+    # The reference is the row whose hash is empty, which no posting's is.
+    fitted, tokens = fit_with_tokens(texts.unionByName(reference), **options)
+    row = fitted.transform(tokens.filter("hash = ''")).select("features").head()
     dense = [0.0] * fitted.size
     for i, w in row.features:
         dense[i] = w
     length = sum(w * w for w in dense) ** 0.5
-    scored = fitted.transform(texts)
+    scored = fitted.transform(tokens.filter("hash <> ''"))
     if length == 0.0:
         return scored.select("hash", F.lit(0.0).alias("similarity"))
     cosine = dot("features", dense) / (norm("features") * length)

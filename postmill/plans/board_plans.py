@@ -495,6 +495,16 @@ def listing_detail(spark, sf):
                          F.coalesce("o_orderpriority", F.lit("")).alias("found"))
 
 
+@query("jon11_missing_details", f"""
+    SELECT 'workday:' || slug AS source, title, ord,
+      CASE WHEN k % 3 = 0 OR (i = 1 AND size % 4 = 0) THEN 'Anywhere' ELSE kind || '; ' || brand END AS location FROM ({ITEM_SQL})""")
+def missing_details(spark, sf):
+    """Listings whose details never came keep what the listing says, here for one page in three."""
+    met = (F.col("kind") == "listing") | (F.col("ord") % 3 != 0)
+    pages = workday(spark, sf).filter(met)
+    return result(spark, sf, "workday", pages).select("source", "title", "ord", "location")
+
+
 @query("udx1_custom_source", """
     SELECT hash, ord, CAST(location AS VARCHAR) AS location, '' AS last_seen_at FROM v_postings""", ("v_postings",))
 def custom_source(spark, sf):
