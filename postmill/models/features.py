@@ -26,6 +26,8 @@ DESC_FEATURES = 1300
 #: number of terms, divided by its slots (a known bound of such summaries).
 TRACKED = 200_000
 SUMMARY_ERROR = 3.5
+#: Bytes of texts from which a summary and a recount move less than one count of all terms.
+SUMMARY_BYTES = 1 << 30
 
 #: Columns of stored tokens.
 TOKENS = ("_meta_tokens", "_body_tokens")
@@ -128,17 +130,25 @@ def _frequent(terms: DataFrame, k: int, tracked: int) -> list[str] | None:
     return [t.item for t in found if t["count"] >= floor]
 
 
-def top_terms(df: DataFrame, text: str, k: int, stop_words: Sequence[str], tracked: int = TRACKED) -> list[str]:
+def _bytes_of(df: DataFrame) -> int:
+    """Bytes that Spark expects a table to have, from its files; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def top_terms(
+    df: DataFrame, text: str, k: int, stop_words: Sequence[str], tracked: int = TRACKED, summary_bytes: int = SUMMARY_BYTES,
+) -> list[str]:
     """The k most frequent 1- to 3-grams of a text column, ties by term.
 
     A bounded summary names candidates that hold all of them, which are then counted
     exactly; so no more terms are shuffled than a summary has, whatever the corpus. If
-    the summary's error is too large for its counts to tell, all terms are counted.
+    the summary's error is too large for its counts to tell, or the texts have less than
+    ``summary_bytes``, all terms are counted, in one pass. The result is the same.
     """
     if k <= 0:
         return []
     terms = with_terms(df, text, "_terms", stop_words).select(F.explode_outer("_terms").alias("term")).filter("term is not null")
-    candidates = _frequent(terms, k, tracked)
+    candidates = _frequent(terms, k, tracked) if _bytes_of(df) >= summary_bytes else None
     if candidates is not None:
         listed = df.sparkSession.createDataFrame([(t,) for t in candidates], "term string")
         terms = terms.join(F.broadcast(listed), "term", "left_semi")

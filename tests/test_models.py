@@ -271,8 +271,8 @@ def test_frequent_terms_are_exact_whatever_the_summary_keeps(spark, tracked):
                 counts[g] = counts.get(g, 0) + 1
     for k in (1, 3, 40, 10**5):
         want = sorted(counts, key=lambda g: (-counts[g], g))[:k]
-        assert fe.top_terms(df, "body", k, (), tracked) == want
-    assert fe.top_terms(df.limit(0), "body", 3, (), tracked) == fe.top_terms(df, "body", 0, (), tracked) == []
+        assert fe.top_terms(df, "body", k, (), tracked, 0) == fe.top_terms(df, "body", k, ()) == want
+    assert fe.top_terms(df.limit(0), "body", 3, (), tracked, 0) == fe.top_terms(df, "body", 0, (), tracked, 0) == []
 
 
 def test_a_summary_names_few_candidates(spark):
