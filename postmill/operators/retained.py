@@ -61,7 +61,9 @@ def upsert(
     if now < version.notes.get("now", now):
         raise ValueError(f"a run of {stamp} after a later one")
     stamped = materialise(last_value_first_position(fresh.select(*POSTING.names)).withColumn("last_seen_at", F.lit(stamp)), "fresh")
-    former = table.keys_with(stamped, "url", version)
+    # Every url observed, also those of rows that a later one of their hash replaced.
+    urls = materialise(fresh.select("url").distinct(), "urls")
+    former = table.keys_with(urls, "url", version)
     buckets = sorted({*table.touched(stamped, "hash", version), *table.touched(former, "hash", version)})
     floor = max(now - retain_seconds * 1_000_000, version.notes.get("floor", -(1 << 62)))
     notes = {"now": now, "floor": floor}
@@ -69,7 +71,7 @@ def upsert(
     kept = (
         table.read(version, buckets).filter(_retained(after))
         .join(stamped.select("hash"), "hash", "left_anti")
-        .join(stamped.select("url").distinct(), "url", "left_anti")
+        .join(urls, "url", "left_anti")
     )
     return table.replace(version, buckets, stamped.unionByName(kept), stamped, writer, number, notes)
 

@@ -141,3 +141,10 @@ def test_a_cache_is_compacted_in_place(spark, tmp_path):
     cache.overwrite(log)
     retained.compact_cache(cache, 10.0, 5.0)
     assert {(r["_key"], r.value) for r in cache.read().collect()} == {("b", "b1")}
+
+
+def test_every_url_observed_supersedes_also_that_of_a_replaced_row(spark, tmp_path):
+    store = retained.posting_store(spark, str(tmp_path / "s"), 8)
+    retained.upsert(store, postings(spark, posting("old", url="u"), posting("other")), DAYS[0])
+    retained.upsert(store, postings(spark, posting("new", url="u"), posting("new", url="v")), DAYS[1])
+    assert {(r.hash, r.url) for r in retained.stored_postings(store).collect()} == {("new", "v"), ("other", "https://jobs.test/other")}
