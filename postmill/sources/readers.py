@@ -131,10 +131,11 @@ def parse_contacts(files: DataFrame) -> DataFrame:
     cut = F.regexp_replace(text, rf"(?s)^.*?(?:^|\n)(?={HEADER_START})", "")
     records = F.array_remove(F.regexp_extract_all(cut, F.lit(RECORD), F.lit(0)), "")
     other = [c for c in files.columns if c != "content"]
+    # The header is taken before the records are spread, so that no row carries the whole file.
     rows = (
         files.select(*other, records.alias("records"))
-        .select(*other, _fields(F.get("records", F.lit(0))).alias("header"),
-                F.posexplode_outer("records").alias("ord", "record"))
+        .withColumn("header", _fields(F.get("records", F.lit(0))))
+        .select(*other, "header", F.posexplode_outer("records").alias("ord", "record"))
         .filter("ord > 0")
         .withColumn("fields", _fields(F.col("record")))
     )

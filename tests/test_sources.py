@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -365,3 +366,12 @@ def test_payloads_of_late_partitions_keep_their_order(spark):
     rows, errors = boards.collect(df, _registry(spark, ["lever"]), ["lever"])
     assert errors.count() == 0
     assert [r.title for r in rows.orderBy("ord").collect()] == ["0", "1", "2"]
+
+
+def test_rows_of_an_export_do_not_carry_its_records(spark):
+    lines = "First Name,Last Name,URL,Company\n" + "".join(f"F{n},L,https://p/{n},C\n" for n in range(2000))
+    read = readers.parse_contacts(spark.createDataFrame([("", lines)], "person string, content string"))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    carried = re.search(r"Generate posexplode\(records#\d+\), \[([^\]]*)\]", plan).group(1)
+    assert "header#" in carried and "records#" not in carried
+    assert read.count() == 2000
