@@ -1,6 +1,6 @@
 """TF-IDF features of postings: two text blocks, 1- to 3-grams, bounded vocabulary.
 
-Fitting counts terms with map-side aggregation and keeps the top terms only, at
+Fitting counts words, then pairs and triples of frequent parts, and keeps the top terms only, at
 most 2,000 by default, so the vocabulary is a bounded driver object. Transforming
 is a pure per-row projection: no shuffle, whatever the table size.
 """
@@ -8,12 +8,16 @@ is a pure per-row projection: no shuffle, whatever the table size.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.pay import format_pay
 from postmill.functions.text import clip, let, meta_text, or_blank
@@ -29,8 +33,14 @@ SUMMARY_ERROR = 3.5
 #: Bytes of texts from which a summary and a recount move less than one count of all terms.
 SUMMARY_BYTES = 1 << 30
 
-#: Columns of stored tokens.
+#: Terms of one length that are held at once to tell which longer ones to count.
+HELD = 200_000
+#: Rows whose words are looked up at once.
+ROWS = 1_000
+
+#: Columns of stored tokens, and of the term counts made of them.
 TOKENS = ("_meta_tokens", "_body_tokens")
+COUNTS = ("_meta", "_body")
 
 # Token pattern and default stop words. Pass another list to
 # ``fit_features`` to use it instead.
@@ -140,13 +150,19 @@ def top_terms(
 ) -> list[str]:
     """The k most frequent 1- to 3-grams of a text column, ties by term.
 
-    A bounded summary names candidates that hold all of them, which are then counted
-    exactly; so no more terms are shuffled than a summary has, whatever the corpus. If
-    the summary's error is too large for its counts to tell, or the texts have less than
-    ``summary_bytes``, all terms are counted, in one pass. The result is the same.
+    No term is more frequent than the words and pairs it is made of. So words are counted
+    first, then the pairs and last the triples whose parts are frequent enough to be among
+    the k. Where that tells too little apart, a bounded summary names candidates that hold
+    all of them, which are then counted exactly. If the summary's error is too large for its
+    counts to tell, or the texts have less than ``summary_bytes``, all terms are counted, in
+    one pass. The result is the same.
     """
     if k <= 0:
         return []
+    tokens = _tokens_of(df, text, stop_words)
+    found = _by_parts(tokens, k)
+    if found is not None:
+        return found
     terms = with_terms(df, text, "_terms", stop_words).select(F.explode_outer("_terms").alias("term")).filter("term is not null")
     candidates = _frequent(terms, k, tracked) if _bytes_of(df) >= summary_bytes else None
     if candidates is not None:
@@ -156,6 +172,86 @@ def top_terms(
     return [r.term for r in counted.orderBy(F.desc("n"), F.asc("term")).limit(k).collect()]
 
 
+def _tokens_of(df: DataFrame, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """(t): the tokens of a text column, or its stored ones."""
+    stored = f"_{text}_tokens"
+    if stored in df.columns:
+        return df.select(F.col(stored).alias("t"))
+    return with_tokens(df.select(text), text, "t", stop_words).select("t")
+
+
+def _by_parts(tokens: DataFrame, k: int) -> list[str] | None:
+    """The k most frequent terms, each length counted over terms with frequent parts.
+
+    None if there are fewer than k words, or more than ``HELD`` terms of a length that
+    could be among the k.
+    """
+    # Of every length, what is met as often as the k-th term of the shorter ones.
+    counted = materialise(term_counts(tokens, "t").withColumnRenamed("term", "code"), "words")
+    words = _most(counted, 0, k)
+    if len(words) < k:
+        return None
+    floor = words[-1]["n"]
+    words = _most(counted, floor)
+    if words is None:
+        return None
+    known = [r.code for r in words]
+    counts = [(r.n, r.code) for r in words]
+    pairs = _most(_part_counts(tokens, known), floor)
+    if pairs is None:
+        return None
+    width = len(known)
+    pair_terms = {r.code: f"{known[r.code // width]} {known[r.code % width]}" for r in pairs}
+    counts += [(r.n, pair_terms[r.code]) for r in pairs]
+    floor = sorted((n for n, _ in counts), reverse=True)[k - 1]
+    kept = np.array(sorted(r.code for r in pairs if r.n >= floor), np.int64)
+    if len(kept):
+        triples = _most(_part_counts(tokens, known, kept), floor)
+        if triples is None:
+            return None
+        counts += [
+            (r.n, f"{pair_terms[int(kept[r.code // width])]} {known[r.code % width]}") for r in triples]
+    return [t for _, t in sorted(counts, key=lambda c: (-c[0], c[1]))[:k]]
+
+
+def _most(counted: DataFrame, floor: int, k: int | None = None) -> list | None:
+    """The k first rows of (code, n), most frequent first; without k all from ``floor`` on, None for too many."""
+    best = counted.filter(F.col("n") >= floor).orderBy(F.desc("n")).limit(HELD + 1 if k is None else k).collect()
+    return None if k is None and len(best) > HELD else best
+
+
+def _part_counts(tokens: DataFrame, words: Sequence[str], pairs: np.ndarray | None = None) -> DataFrame:
+    """(code, n) of the pairs of known words, or of the triples of known pairs.
+
+    A pair's code is its first word's number times the number of words plus its second's;
+    a triple's is made of its first pair's number and its last word's.
+    """
+    width = len(words)
+    # The lists travel once to each executor, not with each task.
+    shared = tokens.sparkSession.sparkContext.broadcast((list(words), pairs))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, kept = shared.value
+        known = pa.array(listed, pa.string())
+        for batch in batches:
+            for start in range(0, len(batch), ROWS):
+                column = batch.column(0).slice(start, ROWS)
+                sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                at = pc.index_in(column.flatten().cast(pa.string()), value_set=known)
+                ids = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                near = (row[1:] == row[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0)
+                code = np.where(near, ids[:-1] * width + ids[1:], -1)
+                if kept is not None:
+                    number = np.minimum(np.searchsorted(kept, code), len(kept) - 1)
+                    number = np.where(kept[number] == code, number, -1)
+                    code = np.where((number[:-1] >= 0) & (number[1:] >= 0), number[:-1] * width + ids[2:], -1)
+                met, n = np.unique(code[code >= 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n.astype(np.int64))], names=["code", "n"])
+
+    return tokens.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
 def literal_array(values: Sequence[float]) -> Column:
     """A constant array; one parsed literal instead of one node per value."""
     if len(values) == 0:
@@ -205,10 +301,10 @@ class Features:
     def transform(self, texts: DataFrame) -> DataFrame:
         """Adds ``features``: array of (i, w), at most ``size`` entries per row.
 
-        ``texts`` has (meta, body), or the tokens of both from ``fit_with_tokens``.
+        ``texts`` has (meta, body), or the term counts of both from ``fit_with_counts``.
         """
-        counted = self.counts(texts)
-        kept = [c for c in texts.columns if c not in ("meta", "body", *TOKENS)]
+        counted = texts if set(COUNTS) <= set(texts.columns) else self.counts(texts)
+        kept = [c for c in texts.columns if c not in ("meta", "body", *TOKENS, *COUNTS)]
         return counted.select(
             *kept,
             F.concat(
@@ -240,19 +336,76 @@ def _block_counts(
     return out
 
 
+def _slots(vocabulary: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Words of a vocabulary, the codes of its terms in order, and the place of each.
+
+    A term's code has the numbers of its words, from one, as digits.
+    """
+    words = sorted({w for t in vocabulary for w in t.split(" ")})
+    number, base = {w: i + 1 for i, w in enumerate(words)}, len(words) + 1
+    codes = []
+    for term in vocabulary:
+        code = 0
+        for w in term.split(" "):
+            code = code * base + number[w]
+        codes.append(code)
+    order = np.argsort(codes)
+    return words, np.array(codes, np.int64)[order], order
+
+
+def _met(column: pa.ListArray, words: pa.Array, codes: np.ndarray, order: np.ndarray) -> pa.StructArray:
+    """Indices and counts of the known terms in every row of tokens."""
+    size, base = max(len(codes), 1), len(words) + 1
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = pc.index_in(column.flatten().cast(pa.string()), value_set=words)
+    digit = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    places, code = [], digit
+    for n in range(3):
+        if n:  # terms a word longer, of those that go on with a known word of their row
+            code = np.where((code[:-1] > 0) & (digit[n:] > 0) & (row[n:] == row[: len(row) - n]), code[:-1] * base + digit[n:], 0)
+        if len(codes):
+            k = np.minimum(np.searchsorted(codes, code), size - 1)
+            found = np.flatnonzero(codes[k] == code)
+            places.append(row[found] * size + order[k[found]])
+    place, counts = np.unique(np.concatenate(places) if places else np.zeros(0, np.int64), return_counts=True)
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(place // size, minlength=len(sizes)))].astype(np.int32))
+    return pa.StructArray.from_arrays(
+        [pa.ListArray.from_arrays(offsets, pa.array((place % size).astype(np.int32))),
+         pa.ListArray.from_arrays(offsets, pa.array(counts.astype(float)))], names=["indices", "values"])
+
+
+def _token_counts(tokens: DataFrame, *vocabularies: Sequence[str]) -> DataFrame:
+    """Stored tokens of both blocks replaced by the sparse counts of their known terms."""
+    shared = tokens.sparkSession.sparkContext.broadcast([_slots(v) for v in vocabularies])
+    kept = [c for c in tokens.columns if c not in TOKENS]
+    sparse = T.StructType.fromDDL("indices array<int>, values array<double>")
+    schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField(c, sparse) for c in COUNTS])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [(pa.array(words, pa.string()), codes, order) for words, codes, order in shared.value]
+        for batch in batches:
+            for start in range(0, len(batch), ROWS):
+                part = batch.slice(start, ROWS)
+                counted = [_met(part.column(name), *slots) for name, slots in zip(TOKENS, known)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *counted], names=[*kept, *COUNTS])
+
+    return tokens.select(*kept, *TOKENS).mapInArrow(count, schema)
+
+
 def fit_features(
     texts: DataFrame, meta_k: int = META_FEATURES, desc_k: int = DESC_FEATURES,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> Features:
     """Vocabulary and smoothed idf over (hash, meta, body) rows."""
-    return fit_with_tokens(texts, meta_k, desc_k, stop_words)[0]
+    return fit_with_counts(texts, meta_k, desc_k, stop_words)[0]
 
 
-def fit_with_tokens(
+def fit_with_counts(
     texts: DataFrame, meta_k: int = META_FEATURES, desc_k: int = DESC_FEATURES,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> tuple[Features, DataFrame]:
-    """``fit_features``, and the stored tokens of its rows, which ``transform`` takes for texts."""
+    """``fit_features``, and the stored term counts of its rows, which ``transform`` takes for texts."""
     stop = tuple(stop_words)
     # Tokens are made once; vocabulary and frequencies both read them.
     tokens = with_tokens(with_tokens(texts, "meta", "_meta_tokens", stop), "body", "_body_tokens", stop)
@@ -261,7 +414,8 @@ def fit_with_tokens(
         text: tuple(top_terms(texts.select(f"_{text}_tokens"), text, k, stop))
         for text, k in (("meta", meta_k), ("body", desc_k))
     }
-    counted = _block_counts(texts.select(*TOKENS), vocabulary["meta"], vocabulary["body"], stop)
+    # Counts of known terms are small; frequencies and weights both read them.
+    counted = materialise(_token_counts(texts, vocabulary["meta"], vocabulary["body"]), "counts")
     offset = len(vocabulary["meta"])
     present = F.concat(
         F.col("_meta")["indices"], F.transform(F.col("_body")["indices"], lambda i: i + offset)
@@ -280,7 +434,7 @@ def fit_with_tokens(
     fitted = Features(
         vocabulary["meta"], vocabulary["body"], tuple(idf[:offset]), tuple(idf[offset:]), stop
     )
-    return fitted, texts
+    return fitted, counted
 
 
 def dot(features: Column | str, weights: Sequence[float] | Column) -> Column:
@@ -308,13 +462,13 @@ def similarity(postings: DataFrame, reference_text: str, **options) -> DataFrame
         F.lit("").alias("hash"), F.lit(reference_text).alias("meta"), F.lit("").alias("body")
     )
     # The reference is the row whose hash is empty, which no posting's is.
-    fitted, tokens = fit_with_tokens(texts.unionByName(reference), **options)
-    row = fitted.transform(tokens.filter("hash = ''")).select("features").head()
+    fitted, counts = fit_with_counts(texts.unionByName(reference), **options)
+    row = fitted.transform(counts.filter("hash = ''")).select("features").head()
     dense = [0.0] * fitted.size
     for i, w in row.features:
         dense[i] = w
     length = sum(w * w for w in dense) ** 0.5
-    scored = fitted.transform(tokens.filter("hash <> ''"))
+    scored = fitted.transform(counts.filter("hash <> ''"))
     if length == 0.0:
         return scored.select("hash", F.lit(0.0).alias("similarity"))
     cosine = dot("features", dense) / (norm("features") * length)

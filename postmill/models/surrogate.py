@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.models.features import Features, dot, example_texts, fit_with_tokens, posting_texts
+from postmill.models.features import Features, dot, example_texts, fit_with_counts, posting_texts
 from postmill.models.index import scored
 from postmill.models.ridge import fit_by_loo, fit_weighted
 from postmill.operators.ranking import spearman, top_n, with_position
@@ -200,9 +200,9 @@ def fit_surrogate(
         combined_target("interest_score", "fit_score"),
     )
     texts = example_texts(placed.withColumn("ys", ys), max_chars, ("ordinal", "ys"))
-    fitted, tokens = fit_with_tokens(texts, **features)
+    fitted, counts = fit_with_counts(texts, **features)
     rows = materialise(
-        fitted.transform(tokens).select(
+        fitted.transform(counts).select(
             "ordinal", "ys", "features",
             F.col("features")["i"].alias("idx"), F.col("features")["w"].alias("val"),
         ),

@@ -98,8 +98,8 @@ def long_form(spark, fitted: fe.Features, texts):
 
 @query("fea4_weights", fea_sql(STORE_TEXTS) + " SELECT hash, block, term, round(w, 6) AS w FROM weights", ("v_store",))
 def weights(spark, sf):
-    fitted, tokens = fe.fit_with_tokens(fe.posting_texts(stored(spark, sf)))
-    return long_form(spark, fitted, tokens)
+    fitted, counts = fe.fit_with_counts(fe.posting_texts(stored(spark, sf)))
+    return long_form(spark, fitted, counts)
 
 
 @query("fea5_unseen_rows", fea_sql(

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,35 @@ def test_a_summary_names_few_candidates(spark):
     terms = spark.createDataFrame([(t,) for t in texts], "body string").select(F.explode(F.split("body", " ")).alias("term"))
     assert set(fe._frequent(terms, 4, 300)) == {"the", "same", "words", "again"}
     assert fe._frequent(terms, 200, 300) is None
+
+
+def test_terms_are_counted_by_frequent_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{min(int(x), 400)}" for x in rng.zipf(1.3, 60)) for _ in range(120)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "body string")
+    counts = {}
+    for t in filter(None, texts):
+        w = t.split()
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                g = " ".join(w[i : i + n])
+                counts[g] = counts.get(g, 0) + 1
+    want = sorted(counts, key=lambda g: (-counts[g], g))
+    tokens = fe._tokens_of(df, "body", ())
+    for k in (1, 5, 60):
+        assert fe._by_parts(tokens, k) == fe.top_terms(df, "body", k, ()) == want[:k]
+    assert any(" " in t for t in want[:60]) and any(t.count(" ") == 2 for t in want[:60])
+    assert fe._by_parts(tokens, 10**6) is None
+    monkeypatch.setattr(fe, "HELD", 3)
+    assert fe._by_parts(tokens, 60) is None and fe.top_terms(df, "body", 60, ()) == want[:60]
+
+
+def test_counts_of_stored_tokens_are_those_of_the_texts(spark):
+    rng = np.random.default_rng(9)
+    rows = [(f"h{n}", " ".join(rng.choice(WORDS, n % 5)), " ".join(rng.choice(WORDS, n % 9))) for n in range(60)]
+    texts = spark.createDataFrame(rows, "hash string, meta string, body string")
+    fitted, counts = fe.fit_with_counts(texts, 9, 40)
+    assert any(t.count(" ") == 2 for t in fitted.body_vocabulary)
+    assert sorted(fitted.transform(counts).collect()) == sorted(fitted.transform(texts).collect())
+    none, counts = fe.fit_with_counts(texts, 0, 5)
+    assert sorted(none.transform(counts).collect()) == sorted(none.transform(texts).collect())
