@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PART_ROWS = 10_000
+#: Design rows made dense at once, so a task's memory does not follow its batches.
+DENSE_ROWS = 1_000
 ALPHAS = np.logspace(-2, 2, 50)
 
 MODEL_SCHEMA = "model int, target int, alpha double, intercept double, weights array<double>"
@@ -47,10 +49,13 @@ def solve(gram: np.ndarray, width: int, targets: list[int], alpha: float) -> lis
     return [(t, c - mean @ w[:, k], w[:, k]) for k, (t, c) in enumerate(zip(targets, centres))]
 
 
-def augmented(pdf: pd.DataFrame, width: int) -> np.ndarray:
-    x = dense_rows(pdf["idx"], pdf["val"], width)
-    y = np.stack(pdf["ys"].to_numpy())
-    return np.hstack([x, np.ones((len(x), 1)), y])
+def augmented(pdf: pd.DataFrame, width: int) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Runs of rows, each with its dense design rows."""
+    for start in range(0, len(pdf), DENSE_ROWS):
+        part = pdf.iloc[start : start + DENSE_ROWS]
+        x = dense_rows(part["idx"], part["val"], width)
+        y = np.stack(part["ys"].to_numpy())
+        yield part, np.hstack([x, np.ones((len(x), 1)), y])
 
 
 def _partial_grams(width: int):
@@ -64,15 +69,15 @@ def _partial_grams(width: int):
             return pd.DataFrame({"model": model, "i": keep, "row": list(total[keep])})
 
         for pdf in batches:
-            for m, part in pdf.groupby("model", sort=True):
-                a = augmented(part, width)
-                g = (a * part["weight"].to_numpy()[:, None]).T @ a
-                if m != model:
-                    if model is not None:
-                        yield emit()
-                    model, total = m, g
-                else:
-                    total += g
+            for m, rows in pdf.groupby("model", sort=True):
+                for part, a in augmented(rows, width):
+                    g = (a * part["weight"].to_numpy()[:, None]).T @ a
+                    if m != model:
+                        if model is not None:
+                            yield emit()
+                        model, total = m, g
+                    else:
+                        total += g
         if model is not None:
             yield emit()
 
@@ -193,8 +198,8 @@ def fit_by_loo(rows: DataFrame, n: int, width: int, n_targets: int, heads: int)
     def errors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(ALPHAS), heads))
         for pdf in batches:
-            a = augmented(pdf, width)
-            total += loo_errors(a[:, :width], a[:, width + 1 : width + 1 + heads], *shared.value)
+            for _, a in augmented(pdf, width):
+                total += loo_errors(a[:, :width], a[:, width + 1 : width + 1 + heads], *shared.value)
         grid = [(k, t, total[k, t]) for k in range(len(ALPHAS)) for t in range(heads)]
         yield pd.DataFrame(grid, columns=["k", "t", "error"])
 

@@ -304,6 +304,13 @@ def test_terms_are_counted_by_frequent_parts(spark, monkeypatch):
     assert fe._by_parts(tokens, 60) is None and fe.top_terms(df, "body", 60, ()) == want[:60]
 
 
+def test_dense_rows_come_in_bounded_runs():
+    pdf = pd.DataFrame({"idx": [[n % 7] for n in range(2500)], "val": [[float(n)] for n in range(2500)], "ys": [[0.0, 1.0, 2.0]] * 2500})
+    parts = [a for _, a in ridge.augmented(pdf, 7)]
+    assert max(len(a) for a in parts) <= ridge.DENSE_ROWS < 2500 == sum(map(len, parts))
+    assert (np.vstack(parts)[:, :7].sum(axis=1) == np.arange(2500)).all()
+
+
 def test_counts_of_stored_tokens_are_those_of_the_texts(spark):
     rng = np.random.default_rng(9)
     rows = [(f"h{n}", " ".join(rng.choice(WORDS, n % 5)), " ".join(rng.choice(WORDS, n % 9))) for n in range(60)]
