@@ -5,11 +5,14 @@ from __future__ import annotations
 import html
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: Fragments held as Python texts at once.
+RUN = 200
+
 # Elements whose text is no page text.
 HIDDEN = frozenset({"script", "style", "template"})
 
@@ -67,9 +70,18 @@ def fragment_text(raw: str) -> str:
     return "\n".join(parser.parts)
 
 
-@F.pandas_udf(StringType())
-def _html_to_text(raw: pd.Series) -> pd.Series:
-    return raw.map(fragment_text, na_action="ignore")
+def fragment_texts(raw: pa.Array) -> pa.Array:
+    """``fragment_text`` of every fragment; few are Python texts at a time, whatever the batch."""
+    runs = [
+        pa.array([None if x is None else fragment_text(x) for x in raw.slice(start, RUN).to_pylist()], pa.string())
+        for start in range(0, len(raw), RUN)
+    ]
+    return pa.concat_arrays(runs) if runs else pa.array([], pa.string())
+
+
+@F.arrow_udf(StringType())
+def _html_to_text(raw: pa.Array) -> pa.Array:
+    return fragment_texts(raw)
 
 
 def html_to_text(raw: Column | str) -> Column:

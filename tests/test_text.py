@@ -1,5 +1,7 @@
 import hashlib
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from postmill.functions import dates, html, match, text
@@ -188,3 +190,14 @@ def test_keywords_refuse_what_they_do_not_know(spark):
         except ValueError:
             continue
         raise AssertionError("expected a ValueError")
+
+
+def test_fragments_of_a_batch_are_not_all_python_texts():
+    raw = pa.array([None, "", *["<p>" + "a b" * 2000 + f"</p>{n}" for n in range(2000)]])
+    tracemalloc.start()
+    got = html.fragment_texts(raw)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 2002 and got[:2].to_pylist() == [None, ""] and got[2001].as_py() == "a b" * 2000 + "\n1999"
+    assert peak < raw.nbytes / 3
+    assert len(html.fragment_texts(pa.array([], pa.string()))) == 0
