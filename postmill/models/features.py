@@ -336,7 +336,7 @@ def _block_counts(
     return out
 
 
-def _slots(vocabulary: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def known_terms(vocabulary: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Words of a vocabulary, the codes of its terms in order, and the place of each.
 
     A term's code has the numbers of its words, from one, as digits.
@@ -353,8 +353,10 @@ def _slots(vocabulary: Sequence[str]) -> tuple[list[str], np.ndarray, np.ndarray
     return words, np.array(codes, np.int64)[order], order
 
 
-def _met(column: pa.ListArray, words: pa.Array, codes: np.ndarray, order: np.ndarray) -> pa.StructArray:
-    """Indices and counts of the known terms in every row of tokens."""
+def terms_met(
+    column: pa.ListArray, words: pa.Array, codes: np.ndarray, order: np.ndarray,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place and count of the known terms in rows of tokens, in order of rows and places."""
     size, base = max(len(codes), 1), len(words) + 1
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -369,15 +371,21 @@ def _met(column: pa.ListArray, words: pa.Array, codes: np.ndarray, order: np.nda
             found = np.flatnonzero(codes[k] == code)
             places.append(row[found] * size + order[k[found]])
     place, counts = np.unique(np.concatenate(places) if places else np.zeros(0, np.int64), return_counts=True)
-    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(place // size, minlength=len(sizes)))].astype(np.int32))
+    return place // size, place % size, counts
+
+
+def _sparse(column: pa.ListArray, *slots) -> pa.StructArray:
+    """Indices and counts of the known terms in every row of tokens."""
+    row, place, counts = terms_met(column, *slots)
+    offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row, minlength=len(column)))].astype(np.int32))
     return pa.StructArray.from_arrays(
-        [pa.ListArray.from_arrays(offsets, pa.array((place % size).astype(np.int32))),
+        [pa.ListArray.from_arrays(offsets, pa.array(place.astype(np.int32))),
          pa.ListArray.from_arrays(offsets, pa.array(counts.astype(float)))], names=["indices", "values"])
 
 
 def _token_counts(tokens: DataFrame, *vocabularies: Sequence[str]) -> DataFrame:
     """Stored tokens of both blocks replaced by the sparse counts of their known terms."""
-    shared = tokens.sparkSession.sparkContext.broadcast([_slots(v) for v in vocabularies])
+    shared = tokens.sparkSession.sparkContext.broadcast([known_terms(v) for v in vocabularies])
     kept = [c for c in tokens.columns if c not in TOKENS]
     sparse = T.StructType.fromDDL("indices array<int>, values array<double>")
     schema = T.StructType([tokens.schema[c] for c in kept] + [T.StructField(c, sparse) for c in COUNTS])
@@ -387,7 +395,7 @@ def _token_counts(tokens: DataFrame, *vocabularies: Sequence[str]) -> DataFrame:
         for batch in batches:
             for start in range(0, len(batch), ROWS):
                 part = batch.slice(start, ROWS)
-                counted = [_met(part.column(name), *slots) for name, slots in zip(TOKENS, known)]
+                counted = [_sparse(part.column(name), *slots) for name, slots in zip(TOKENS, known)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *counted], names=[*kept, *COUNTS])
 
     return tokens.select(*kept, *TOKENS).mapInArrow(count, schema)
@@ -401,6 +409,12 @@ def fit_features(
     return fit_with_counts(texts, meta_k, desc_k, stop_words)[0]
 
 
+def stored_tokens(texts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """Rows with the tokens of both blocks in place of their texts, stored."""
+    tokens = with_tokens(with_tokens(texts, "meta", "_meta_tokens", stop_words), "body", "_body_tokens", stop_words)
+    return materialise(tokens.drop("meta", "body"), "tokens")
+
+
 def fit_with_counts(
     texts: DataFrame, meta_k: int = META_FEATURES, desc_k: int = DESC_FEATURES,
     stop_words: Sequence[str] = STOP_WORDS,
@@ -408,8 +422,7 @@ def fit_with_counts(
     """``fit_features``, and the stored term counts of its rows, which ``transform`` takes for texts."""
     stop = tuple(stop_words)
     # Tokens are made once; vocabulary and frequencies both read them.
-    tokens = with_tokens(with_tokens(texts, "meta", "_meta_tokens", stop), "body", "_body_tokens", stop)
-    texts = materialise(tokens.drop("meta", "body"), "tokens")
+    texts = stored_tokens(texts, stop)
     vocabulary = {
         text: tuple(top_terms(texts.select(f"_{text}_tokens"), text, k, stop))
         for text, k in (("meta", meta_k), ("body", desc_k))

@@ -1,8 +1,8 @@
-"""A forward index of postings: term ids and counts, made once and scored many times.
+"""A forward index of postings: their tokens, made once and scored many times.
 
-Texts are tokenised once to the ids of their 1- to 3-grams (64-bit hashes) with counts, in
-both blocks. A model is a vocabulary and weights over it; scoring looks the ids up in the
-vocabulary, so no round of learning reads a text again.
+Texts are cut to their tokens once, which lie in the shared folder and take less room than
+the texts. A model is a vocabulary and weights over it; scoring looks the tokens' terms up
+in the vocabulary, so no round of learning reads a text again.
 """
 
 from __future__ import annotations
@@ -12,84 +12,41 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from postmill.models.features import STOP_WORDS, Features, with_terms
-from postmill.session import materialise
-
-BLOCKS = ("meta", "body")
-_SCHEMA = "hash string, " + ", ".join(f"{b}_ids array<long>, {b}_counts array<int>" for b in BLOCKS)
-
-
-def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column and the row of each."""
-    sizes = np.diff(column.offsets.to_numpy())
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        columns = [batch.column("hash")]
-        for block in BLOCKS:
-            ids, row = _flat(batch.column(block))
-            order = np.lexsort((ids, row))
-            ids, row = ids[order], row[order]
-            new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])][: len(ids)])
-            counts = np.diff(np.r_[new, len(ids)])
-            offsets = pa.array(np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(batch)))].astype(np.int32))
-            columns.append(pa.ListArray.from_arrays(offsets, pa.array(ids[new])))
-            columns.append(pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int32))))
-        yield pa.RecordBatch.from_arrays(columns, names=["hash", *[f"{b}_{c}" for b in BLOCKS for c in ("ids", "counts")]])
+from postmill.models.features import ROWS, STOP_WORDS, TOKENS, Features, known_terms, stored_tokens, terms_met
 
 
 def term_index(texts: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(hash, ids and counts of both blocks) of (hash, meta, body), stored."""
-    ids = texts
-    for block in BLOCKS:
-        ids = with_terms(ids, block, "_terms", stop_words).withColumn(
-            f"_{block}_ids", F.transform("_terms", lambda t: F.xxhash64(t))
-        ).drop("_terms")
-    own = ids.select("hash", *[F.col(f"_{b}_ids").alias(b) for b in BLOCKS])
-    return materialise(own.mapInArrow(_counted, _SCHEMA), "index")
-
-
-def _term_ids(spark, terms: Sequence[str]) -> np.ndarray:
-    if not terms:
-        return np.zeros(0, np.int64)
-    rows = spark.createDataFrame(list(enumerate(terms)), "i int, term string").select("i", F.xxhash64("term").alias("id"))
-    return np.array([r.id for r in sorted(rows.collect())], np.int64)
+    """(hash, tokens of both blocks) of (hash, meta, body), stored."""
+    return stored_tokens(texts.select("hash", "meta", "body"), stop_words)
 
 
 def scored(index: DataFrame, features: Features, weights: Sequence[Sequence[float]], intercepts: Sequence[float]) -> DataFrame:
     """(hash, p): for each posting the prediction of every linear model over ``features``."""
     blocks, start = [], 0
     for vocabulary, idf in ((features.meta_vocabulary, features.meta_idf), (features.body_vocabulary, features.body_idf)):
-        ids = _term_ids(index.sparkSession, vocabulary)
-        order = np.argsort(ids)
-        matrix = np.array(weights, float).reshape(len(intercepts), -1)[:, start : start + len(ids)].T
-        blocks.append((ids[order], np.array(idf, float)[order], matrix[order]))
-        start += len(ids)
+        matrix = np.array(weights, float).reshape(len(intercepts), -1)[:, start : start + len(vocabulary)].T
+        blocks.append((known_terms(vocabulary), np.array(idf, float), matrix))
+        start += len(vocabulary)
+    shared = index.sparkSession.sparkContext.broadcast(blocks)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = [(pa.array(words, pa.string()), codes, order) for (words, codes, order), _, _ in shared.value]
         for batch in batches:
-            n = len(batch)
-            total = np.tile(np.array(intercepts, float), (n, 1))
-            for name, (known, idf, matrix) in zip(BLOCKS, blocks):
-                if not len(known):
-                    continue
-                ids, row = _flat(batch.column(f"{name}_ids"))
-                counts = _flat(batch.column(f"{name}_counts"))[0]
-                at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-                met = known[at] == ids
-                at, row = at[met], row[met]
-                raw = (np.log(counts[met]) + 1) * idf[at]
-                length = np.sqrt(np.bincount(row, weights=raw * raw, minlength=n))
-                share = raw / length[row]
-                for k in range(matrix.shape[1]):
-                    total[:, k] += np.bincount(row, weights=share * matrix[at, k], minlength=n)
-            offsets = pa.array((np.arange(n + 1) * total.shape[1]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("hash"), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], names=["hash", "p"]
-            )
-
-    return index.mapInArrow(predict, "hash string, p array<double>")
+            for first in range(0, len(batch), ROWS):
+                part = batch.slice(first, ROWS)
+                n = len(part)
+                total = np.tile(np.array(intercepts, float), (n, 1))
+                for name, slots, (_, idf, matrix) in zip(TOKENS, known, shared.value):
+                    row, at, counts = terms_met(part.column(name), *slots)
+                    raw = (np.log(counts) + 1) * idf[at]
+                    length = np.sqrt(np.bincount(row, weights=raw * raw, minlength=n))
+                    share = raw / length[row]
+                    for k in range(matrix.shape[1]):
+                        total[:, k] += np.bincount(row, weights=share * matrix[at, k], minlength=n)
+                offsets = pa.array((np.arange(n + 1) * total.shape[1]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("hash"), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))], names=["hash", "p"]
+                )
+
+    return index.select("hash", *TOKENS).mapInArrow(predict, "hash string, p array<double>")

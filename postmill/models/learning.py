@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,11 +63,29 @@ def empty_training(spark) -> DataFrame:
 
 @dataclass(frozen=True)
 class Outcome:
+    """What a loop has learnt. The last model is fitted, and scores all, when it is asked for."""
+
     training: DataFrame
-    predictions: DataFrame
-    scored: DataFrame
-    metrics: DataFrame
+    universe: DataFrame
     rounds: int
+    train: Callable[[], Surrogate]
+    indexed: Callable[[], DataFrame]
+
+    @cached_property
+    def final(self) -> Surrogate:
+        return self.train()
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        return materialise(self.final.predict_indexed(self.indexed()), "predictions")
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        return scored_postings(self.universe, self.training)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return with_agreement(self.final.cv_metrics(), agreement(self.training, self.predictions))
 
 
 def with_agreement(metrics: DataFrame, agreed: DataFrame) -> DataFrame:
@@ -95,18 +114,23 @@ def active_learning(
     bounds of their files.
     """
     universe = materialise(universe.repartitionByRange("hash").sortWithinPartitions("hash"), "universe")
-    index = term_index(posting_texts(universe, options.get("max_chars")), options.get("stop_words", STOP_WORDS))
+
+    @cache
+    def indexed() -> DataFrame:
+        return term_index(posting_texts(universe, options.get("max_chars")), options.get("stop_words", STOP_WORDS))
+
     cold = training.isEmpty()
     last = training.agg(F.max("round")).head()[0]
     step = {"round": 0 if last is None else last + 1}
-    state = {"training": training}
+    # Examples are written once, each round's beside those before.
+    state = {"training": training if cold else materialise(training, "training")}
 
     def label(rows: DataFrame) -> None:
         """Label stored rows, which carry their ``place``, and append them."""
         scores = materialise(label_fn(rows), "labels")
         new = to_examples(rows, scores).withColumn("round", F.lit(step["round"]))
         new = new.select(*EXAMPLE_FIELDS, "round", "place")
-        state["training"] = materialise(state["training"].unionByName(new), "training")
+        state["training"] = state["training"].unionByName(materialise(new, "training"))
         step["round"] += 1
 
     def choose(selection: DataFrame, score: str) -> None:
@@ -128,19 +152,14 @@ def active_learning(
 
     done = 0
     for _ in range(init_learning_iters if cold else learning_iters):
-        if unscored(index, state["training"]).isEmpty():
+        if unscored(indexed().select("hash"), state["training"]).isEmpty():
             break
-        spread = unscored(train().disagreement_indexed(index), state["training"])
+        spread = unscored(train().disagreement_indexed(indexed()), state["training"])
         choose(top_n(spread, "variance", num_explore), "variance")
-        if unscored(index, state["training"]).isEmpty():
+        if unscored(indexed().select("hash"), state["training"]).isEmpty():
             break
-        guesses = unscored(train().predict_indexed(index), state["training"])
+        guesses = unscored(train().predict_indexed(indexed()), state["training"])
         choose(top_n(guesses, "surrogate_score", num_exploit), "surrogate_score")
         done += 1
 
-    final = train()
-    predictions = materialise(final.predict_indexed(index), "predictions")
-    metrics = with_agreement(final.cv_metrics(), agreement(state["training"], predictions))
-    return Outcome(
-        state["training"], predictions, scored_postings(universe, state["training"]), metrics, done
-    )
+    return Outcome(state["training"], universe, done, train, indexed)

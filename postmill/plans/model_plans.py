@@ -142,8 +142,8 @@ def seed(spark, sf):
 # --- surrogate --------------------------------------------------------------
 
 
-def training(spark, sf):
-    return to_examples(stored(spark, sf), v.scores(spark, sf))
+def training(spark, sf, postings=None):
+    return to_examples(stored(spark, sf) if postings is None else postings, v.scores(spark, sf))
 
 
 def trained(spark, sf, **options):
@@ -338,9 +338,8 @@ def small_metrics(spark, sf):
 # --- learning loop ----------------------------------------------------------
 
 
-def all_scores(spark, sf):
+def all_scores(spark, sf, p):
     """Labels where there are any, else scores that follow from the text."""
-    p = stored(spark, sf)
     derived = p.select(
         "hash", F.pmod(F.xxhash64("hash"), F.lit(101)).cast("int").alias("i"),
         F.pmod(F.length("description"), F.lit(101)).cast("int").alias("f"),
@@ -355,11 +354,11 @@ def loop(spark, sf, warm: bool, **options):
     universe, forced = select_universe(p, match.any_of([match.term("the"), match.term("de")]), match.term("avec"))
     before = learning.empty_training(spark)
     if warm:
-        before = training(spark, sf).select(
+        before = training(spark, sf, p).select(
             "hash", "title", "description", "company", "location", "team", "comp", "interest_score", "fit_score",
             F.lit(0).alias("round"), F.col("ord").alias("place"),
         )
-    label = learning.label_from_table(all_scores(spark, sf))
+    label = learning.label_from_table(all_scores(spark, sf, p))
     return learning.active_learning(universe, forced, before, label, reference_text(spark, sf), seed=7, **options)
 
 
@@ -391,9 +390,9 @@ def by_rule(rows):
     )
 
 
-def first_steps(spark, sf, before, **options):
+def first_steps(spark, sf, p, before, **options):
     universe, forced = select_universe(
-        stored(spark, sf), match.any_of([match.term("the"), match.term("de")]), match.term("avec"))
+        p, match.any_of([match.term("the"), match.term("de")]), match.term("avec"))
     out = learning.active_learning(
         universe, forced, before, by_rule, reference_text(spark, sf), seed=7, n_models=2,
         init_learning_iters=0, learning_iters=0, **options)
@@ -405,10 +404,11 @@ def first_steps(spark, sf, before, **options):
     UNION ALL SELECT hash, 1, {LABEL_SQL} FROM forced WHERE hash NOT IN (SELECT hash FROM v_scores)""", ("v_store", "v_scores"))
 def forced_step(spark, sf):
     """A warm start labels what is forced and has no score."""
-    before = training(spark, sf).select(
+    p = stored(spark, sf)
+    before = training(spark, sf, p).select(
         "hash", "title", "description", "company", "location", "team", "comp", "interest_score", "fit_score",
         F.lit(0).alias("round"), F.col("ord").alias("place"))
-    return first_steps(spark, sf, before)
+    return first_steps(spark, sf, p, before)
 
 
 @query("lop2_cold_seed", CHOSEN_SQL + """,
@@ -419,4 +419,4 @@ def forced_step(spark, sf):
     UNION ALL SELECT hash, 1, {LABEL_SQL} FROM waiting JOIN seeds USING (hash)""", ("v_store",))
 def cold_seed(spark, sf):
     """A cold start labels what is forced, then what is most like the reference."""
-    return first_steps(spark, sf, learning.empty_training(spark))
+    return first_steps(spark, sf, stored(spark, sf), learning.empty_training(spark))

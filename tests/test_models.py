@@ -320,3 +320,22 @@ def test_counts_of_stored_tokens_are_those_of_the_texts(spark):
     assert sorted(fitted.transform(counts).collect()) == sorted(fitted.transform(texts).collect())
     none, counts = fe.fit_with_counts(texts, 0, 5)
     assert sorted(none.transform(counts).collect()) == sorted(none.transform(texts).collect())
+
+
+def test_a_loop_fits_its_last_model_when_asked_and_writes_examples_once(spark, monkeypatch):
+    fits, written = [], []
+    monkeypatch.setattr(learning, "fit_surrogate", lambda *a, **k: fits.append(1) or surrogate.fit_surrogate(*a, **k))
+    write = learning.materialise
+
+    def materialise(df, name="table"):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(learning, "materialise", materialise)
+    universe, scores = loop_rows(spark, 30), spark.createDataFrame([(f"h{i:03d}", i, 50) for i in range(30)], "hash string, interest_score int, fit_score int")
+    out = learning.active_learning(
+        universe, universe.limit(4), learning.empty_training(spark), learning.label_from_table(scores), "data spark",
+        init_num_exploit=6, init_learning_iters=0, n_models=2, meta_k=6, desc_k=9)
+    assert out.training.count() == sum(n for name, n in written if name == "training") and not fits
+    assert out.predictions.count() == universe.count() and out.metrics.count() == 1 and len(fits) == 1
