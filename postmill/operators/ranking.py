@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postmill.session import materialise
+from postmill.session import fresh_path, materialise
 
 PAGE_SIZE = 50
+PART_BYTES = 128 << 20  # long rows that one task sorts
+ROW_BYTES = 128  # what a sort holds of a row beside its long column
 
 
 def _cols(order_by: Sequence[Column | str]) -> list[Column]:
@@ -58,6 +60,30 @@ def with_position(
     return df.join(placed.select(key, number), key).select(*df.columns, name)
 
 
+def positions_in_folders(
+    df: DataFrame, order_by: Sequence[str], folders: Sequence[str], long: str, name: str = "position", start: int = 1,
+) -> DataFrame:
+    """Rows stored in folders by some of their columns, with their global row number.
+
+    For rows with a ``long`` column of text. They are dealt by the order to as many parts
+    as hold ``PART_BYTES`` each, so what a task sorts does not grow with the table; left to
+    the number of cores or files it would. The same task numbers its rows and writes them to
+    the folders, and the rows of the parts before are added when the folders are read.
+    """
+    spark = df.sparkSession
+    rows = materialise(df, "rows")
+    size = rows.agg(F.sum(F.coalesce(F.octet_length(long), F.lit(0)) + F.lit(ROW_BYTES).cast("bigint"))).first()[0] or 0
+    placed = rows.repartitionByRange(max(1, -(-size // PART_BYTES)), *order_by).sortWithinPartitions(*order_by).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    )
+    path = fresh_path(spark, "placed")
+    placed.write.partitionBy(*folders).parquet(path)
+    stored = spark.read.schema(placed.schema).parquet(path)
+    offsets = F.broadcast(materialise(_offsets(stored, F.count("*")), "offsets"))
+    number = (F.col("_before") + F.col("_at") - F.col("_start") + start).cast("bigint").alias(name)
+    return stored.join(offsets, "_part").select(*df.columns, number)
+
+
 def with_page(
     df: DataFrame, order_by: Sequence[Column | str], size: int = PAGE_SIZE, key: str | None = None
 ) -> DataFrame:

@@ -25,9 +25,9 @@ from postmill.functions.pay import (
 from postmill.functions.text import first_non_empty, job_hash, join_non_empty, non_empty, or_blank, strip
 from postmill.operators.dedup import first_per_key
 from postmill.operators.enrich import with_sources
-from postmill.operators.ranking import with_position
+from postmill.operators.ranking import positions_in_folders
 from postmill.schema import PAY_DDL, PAYLOAD_TTL_SECONDS, POSTING_FIELDS
-from postmill.session import fresh_path, materialise
+from postmill.session import materialise
 
 ITEM_BITS = 24  # items of one payload share the low bits of ``ord``
 PAYLOADS = 1 << (63 - ITEM_BITS)
@@ -554,16 +554,14 @@ def collect(
     """(postings, errors) over all platforms plus custom postings.
 
     The payloads are numbered densely in their order, so that ``ord`` has room for the
-    items, and stored once in folders by platform and kind, of which a platform reads
-    its own.
+    items, and stored in folders by platform and kind, of which a platform reads its own.
     """
     columns = payloads.columns
     order = ["ord", "platform", "slug", "kind", "request_key"]
-    numbered = with_position(payloads.withColumnRenamed("ord", "_line"), ["_line", *order[1:]], "ord", start=0)
-    numbered = numbered.withColumn("ord", F.col("ord").cast("bigint")).select(columns)
-    path = fresh_path(payloads.sparkSession, "payloads")
-    numbered.write.partitionBy("platform", "kind").parquet(path)
-    payloads = payloads.sparkSession.read.schema(numbered.schema).parquet(path).select(columns)
+    lines = payloads.withColumnRenamed("ord", "_line")
+    payloads = positions_in_folders(
+        lines, ["_line", *order[1:]], ["platform", "kind"], "body", "ord", start=0
+    ).select(columns)
     postings, errors = custom, None
     for platform in platforms or sorted(BOARDS):
         p, e = normalize(platform, payloads, sources)

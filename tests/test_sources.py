@@ -375,3 +375,26 @@ def test_rows_of_an_export_do_not_carry_its_records(spark):
     carried = re.search(r"Generate posexplode\(records#\d+\), \[([^\]]*)\]", plan).group(1)
     assert "header#" in carried and "records#" not in carried
     assert read.count() == 2000
+
+
+def test_parts_of_payloads_follow_their_size(spark, monkeypatch):
+    taken, normalize = [], boards.normalize
+    monkeypatch.setattr(ranking, "PART_BYTES", 1 << 16, raising=False)
+    monkeypatch.setattr(boards, "normalize", lambda p, df, s: taken.append(df) or normalize(p, df, s))
+    text = "x" * 500
+    bodies = [(n, platform, '[{"%s": "%s", "descriptionPlain": "%s"}]' % (title, n, text))
+              for n in range(300) for platform, title in (("gem", "title"), ("lever", "text"))]
+    df = spark.createDataFrame([_payload(p, b, key=str(n), ord=n << 40) for n, p, b in reversed(bodies)], CAPTURE)
+    rows, errors = boards.collect(df, _registry(spark, ["gem", "lever"]), ["gem", "lever"])
+    assert errors.count() == 0
+    found = [(r.source, r.title, r.ord >> boards.ITEM_BITS) for r in rows.orderBy("ord").collect()]
+    assert found == [(f"{p}:s", str(n), 2 * n + (p == "lever")) for n, p, _ in bodies]
+    # What a task sorts is bounded: a part holds about 100 of the rows, in either folder half of them.
+    files = [f for f in taken[0].inputFiles() if "/kind=" in f]
+    assert max(r["count"] for r in spark.read.parquet(*files).groupBy(F.input_file_name()).count().collect()) < 100
+
+
+def test_positions_of_no_payloads(spark):
+    df = spark.createDataFrame([], CAPTURE)
+    rows, errors = boards.collect(df, _registry(spark, ["gem"]), ["gem"])
+    assert rows.count() == 0 and errors.count() == 0
