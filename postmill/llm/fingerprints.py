@@ -100,7 +100,9 @@ def as_text(high: Column, low: Column) -> Column:
 def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(high_a, low_a, high_b, low_b): all pairs of different fingerprints within the radius.
 
-    Each pair is returned once, the smaller fingerprint first.
+    Each pair is returned once, the smaller fingerprint first. Both sides are shuffled and
+    merged, never broadcast: Spark sizes a table of keys like the classes before the explode,
+    some forty times too low.
     """
     blocks = radius + 2
     cuts = [k * BITS // blocks for k in range(blocks + 1)]
@@ -127,8 +129,8 @@ def near_fingerprints(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     for k in range(blocks):
         own = (F.lit(k) == first) | (F.lit(k) == second)
         met_first = met_first & F.when(own, equal[k]).otherwise((F.lit(k) > second) | ~equal[k])
-    return side("a").join(
-        side("b"),
+    return side("a").hint("merge").join(
+        side("b").hint("merge"),
         (F.col("key_a") == F.col("key_b"))
         & ((F.col("high_a") < F.col("high_b")) | ((F.col("high_a") == F.col("high_b")) & (F.col("low_a") < F.col("low_b"))))
         & (F.bit_count(high) + F.bit_count(low) <= radius) & met_first,

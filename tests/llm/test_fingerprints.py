@@ -2,6 +2,8 @@ import hashlib
 import random
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from postmill.llm import fingerprints
 from postmill.llm.queries import op3_fingerprints
 
@@ -73,3 +75,12 @@ def test_copies_with_one_changed_word_are_near(spark):
         docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:250] + ["changed"] + words[251:]))]
     rows = fingerprints.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert len(rows) == 80 and max(r.n_near for r in rows) == 1 and sum(r.n_near for r in rows) >= 64
+
+
+def test_tables_of_keys_are_not_broadcast(spark):
+    n = F.col("id")
+    prints = spark.range(2_000).select(F.xxhash64(n).alias("high"), F.xxhash64(n + F.lit(10**6)).alias("low"))
+    pairs = fingerprints.near_fingerprints(prints)
+    assert pairs.count() == 0
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
