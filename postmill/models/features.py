@@ -422,7 +422,8 @@ def fit_with_counts(
     """``fit_features``, and the stored term counts of its rows, which ``transform`` takes for texts."""
     stop = tuple(stop_words)
     # Tokens are made once; vocabulary and frequencies both read them.
-    texts = stored_tokens(texts, stop)
+    if not set(TOKENS) <= set(texts.columns):
+        texts = stored_tokens(texts, stop)
     vocabulary = {
         text: tuple(top_terms(texts.select(f"_{text}_tokens"), text, k, stop))
         for text, k in (("meta", meta_k), ("body", desc_k))
@@ -468,14 +469,18 @@ def similarity(postings: DataFrame, reference_text: str, **options) -> DataFrame
     The vocabulary is fitted on the postings plus the reference, which has the
     text as metadata and an empty body.
     """
-    spark = postings.sparkSession
-    max_chars = options.pop("max_chars", None)
-    texts = posting_texts(postings, max_chars)
-    reference = spark.range(1).select(
-        F.lit("").alias("hash"), F.lit(reference_text).alias("meta"), F.lit("").alias("body")
-    )
-    # The reference is the row whose hash is empty, which no posting's is.
-    fitted, counts = fit_with_counts(texts.unionByName(reference), **options)
+    texts = posting_texts(postings, options.pop("max_chars", None))
+    return _similarity(texts.unionByName(_reference(postings.sparkSession, reference_text)), **options)
+
+
+def _reference(spark, text: str) -> DataFrame:
+    """The reference is the row whose hash is empty, which no posting's is."""
+    return spark.range(1).select(F.lit("").alias("hash"), F.lit(text).alias("meta"), F.lit("").alias("body"))
+
+
+def _similarity(texts: DataFrame, **options) -> DataFrame:
+    """(hash, similarity) to the reference among texts, or among their stored tokens."""
+    fitted, counts = fit_with_counts(texts, **options)
     row = fitted.transform(counts.filter("hash = ''")).select("features").head()
     dense = [0.0] * fitted.size
     for i, w in row.features:
@@ -493,3 +498,10 @@ def similarity(postings: DataFrame, reference_text: str, **options) -> DataFrame
 def seed_by_similarity(postings: DataFrame, reference_text: str, n: int, **options) -> DataFrame:
     """The n postings most similar to the reference text, best first."""
     return top_n(similarity(postings, reference_text, **options), "similarity", n)
+
+
+def seed_indexed(index: DataFrame, reference_text: str, n: int, **options) -> DataFrame:
+    """``seed_by_similarity`` of postings from their stored tokens."""
+    options.pop("max_chars", None)
+    reference = stored_tokens(_reference(index.sparkSession, reference_text), options.get("stop_words", STOP_WORDS))
+    return top_n(_similarity(index.unionByName(reference), **options), "similarity", n)

@@ -8,20 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cache, cached_property
+from functools import cache, cached_property, reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.pay import format_pay
-from postmill.models.features import STOP_WORDS, posting_texts, seed_by_similarity
+from postmill.models.features import STOP_WORDS, example_texts, posting_texts, seed_indexed, stored_tokens
 from postmill.models.index import term_index
 from postmill.models.surrogate import MODELS, Surrogate, agreement, fit_surrogate
 from postmill.operators.dedup import unscored
-from postmill.operators.ranking import top_n
+from postmill.operators.ranking import numbered, stored_in_order, top_n
 from postmill.operators.report import parse_score, scored_postings
 from postmill.schema import EXAMPLE_FIELDS
-from postmill.session import materialise
+from postmill.session import materialise, sparing_disk
 
 LabelFn = Callable[[DataFrame], DataFrame]
 
@@ -77,7 +77,8 @@ class Outcome:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        return materialise(self.final.predict_indexed(self.indexed()), "predictions")
+        with sparing_disk(self.universe.sparkSession):
+            return materialise(self.final.predict_indexed(self.indexed()), "predictions")
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -85,7 +86,8 @@ class Outcome:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        return with_agreement(self.final.cv_metrics(), agreement(self.training, self.predictions))
+        with sparing_disk(self.universe.sparkSession):
+            return with_agreement(self.final.cv_metrics(), agreement(self.training, self.predictions))
 
 
 def with_agreement(metrics: DataFrame, agreed: DataFrame) -> DataFrame:
@@ -109,28 +111,54 @@ def active_learning(
     A cold start is one without training rows before the forced ones. Rows the
     provider does not label stay unscored and may be picked again.
 
-    Texts are tokenised once, to an index that every round scores. The universe is
-    stored in the order of hashes, so the few rows that are picked are found by the
-    bounds of their files.
+    Texts are tokenised once, to an index that every round scores. Each file of the
+    universe is stored in the order of hashes, so the few rows that are picked are found
+    by the bounds of its pages. Examples are written once, with their tokens and their
+    place in the order, as those of a round come after those before.
     """
-    universe = materialise(universe.repartitionByRange("hash").sortWithinPartitions("hash"), "universe")
+    with sparing_disk(universe.sparkSession):
+        return _learned(
+            universe, forced, training, label_fn, reference_text, init_num_exploit, num_explore, num_exploit,
+            init_learning_iters, learning_iters, n_models, seed, options)
 
-    @cache
-    def indexed() -> DataFrame:
-        return term_index(posting_texts(universe, options.get("max_chars")), options.get("stop_words", STOP_WORDS))
 
-    cold = training.isEmpty()
-    last = training.agg(F.max("round")).head()[0]
+def _learned(
+    universe: DataFrame, forced: DataFrame, training: DataFrame, label_fn: LabelFn, reference_text: str,
+    init_num_exploit: int, num_explore: int, num_exploit: int, init_learning_iters: int, learning_iters: int,
+    n_models: int, seed: int, options: dict,
+) -> Outcome:
+    universe = materialise(universe.sortWithinPartitions("hash"), "universe")
+    max_chars, stop_words = options.get("max_chars"), options.get("stop_words", STOP_WORDS)
+    state: dict = {"training": None, "tokens": None, "n": 0}
+
+    def append(new: DataFrame) -> DataFrame:
+        """Store examples in their order, and their tokens with their ordinal."""
+        stored = materialise(stored_in_order(new, TRAINING_ORDER), "training")
+        rows = stored.drop("_part", "_at")
+        state["training"] = rows if state["training"] is None else state["training"].unionByName(rows)
+        n = rows.count()
+        if n:
+            placed = numbered(stored, "ordinal", state["n"])
+            kept = ("ordinal", "interest_score", "fit_score")
+            tokens = stored_tokens(example_texts(placed, max_chars, kept), stop_words)
+            state["tokens"] = tokens if state["tokens"] is None else state["tokens"].unionByName(tokens)
+            state["n"] += n
+        return rows
+
+    before = append(training)
+    cold = state["n"] == 0
+    last = before.agg(F.max("round")).head()[0]
     step = {"round": 0 if last is None else last + 1}
-    # Examples are written once, each round's beside those before.
-    state = {"training": training if cold else materialise(training, "training")}
+
+    @cache
+    def indexed() -> DataFrame:
+        return term_index(posting_texts(universe, max_chars), stop_words)
 
     def label(rows: DataFrame) -> None:
         """Label stored rows, which carry their ``place``, and append them."""
         scores = materialise(label_fn(rows), "labels")
         new = to_examples(rows, scores).withColumn("round", F.lit(step["round"]))
-        new = new.select(*EXAMPLE_FIELDS, "round", "place")
-        state["training"] = state["training"].unionByName(materialise(new, "training"))
+        append(new.select(*EXAMPLE_FIELDS, "round", "place"))
         step["round"] += 1
 
     def choose(selection: DataFrame, score: str) -> None:
@@ -138,17 +166,29 @@ def active_learning(
         place = F.row_number().over(Window.orderBy(F.col(score).desc(), F.col("hash").asc()))
         chosen = materialise(selection.select("hash", place.cast("bigint").alias("place")), "chosen")
         picked = [r.hash for r in chosen.select("hash").collect()]
-        label(materialise(universe.filter(F.col("hash").isin(picked)).join(F.broadcast(chosen), "hash"), "rows"))
+        # Longer lists reach the files as their bounds only.
+        some = [F.col("hash").isin(picked[k : k + 10]) for k in range(0, len(picked), 10)]
+        met = universe.filter(reduce(Column.__or__, some, F.lit(False)))
+        label(materialise(met.join(F.broadcast(chosen), "hash"), "rows"))
 
-    waiting = unscored(forced, state["training"])
+    waiting = materialise(unscored(forced, state["training"]).withColumn("place", F.col("ord")), "rows")
     if not waiting.isEmpty():
-        label(materialise(waiting.withColumn("place", F.col("ord")), "rows"))
+        label(waiting)
     if cold:
-        left = unscored(universe, state["training"])
-        choose(seed_by_similarity(left, reference_text, init_num_exploit, **options), "similarity")
+        # The index is stored in two parts, as the seeds are sought among what is left.
+        met = state["training"].select("hash").distinct()
+        left, rest = (
+            term_index(posting_texts(universe.join(met, "hash", how), max_chars), stop_words)
+            for how in ("left_anti", "left_semi")
+        )
+        both = left.unionByName(rest)
+        indexed = lambda: both
+        choose(seed_indexed(left, reference_text, init_num_exploit, **options), "similarity")
 
     def train() -> Surrogate:
-        return _train(state["training"], n_models, seed + done, options)
+        if state["tokens"] is None:
+            raise ValueError("no training examples")
+        return _train(state["tokens"], n_models, seed + done, options)
 
     done = 0
     for _ in range(init_learning_iters if cold else learning_iters):

@@ -5,13 +5,16 @@ cross-validation fits and the bootstrap members - is one weighting of the same
 rows, so each needs only its weighted Gram matrix, whose size depends on the
 vocabulary (at most a few thousand columns) and not on the rows.
 
-The rows of a model are spread over tasks of about ``PART_ROWS`` rows, each emits
-the rows of its partial Gram matrix, and Spark sums them.
+The rows of a model are spread over tasks of at least about ``PART_ROWS`` rows, each emits
+the upper half of its partial Gram matrix, and Spark sums them. Where the rows are stored
+with the weights of all models, each model's tasks read them where they lie: no row is
+copied or shuffled for a model, and the number of partial matrices follows the cores.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,8 +33,9 @@ MODEL_SCHEMA = "model int, target int, alpha double, intercept double, weights a
 
 def dense_rows(indices: pd.Series, weights: pd.Series, width: int) -> np.ndarray:
     x = np.zeros((len(indices), width))
-    for r, (i, w) in enumerate(zip(indices, weights)):
-        x[r, i] = w
+    row = np.repeat(np.arange(len(indices)), [len(i) for i in indices])
+    if len(row):
+        x[row, np.concatenate([np.asarray(i, np.int64) for i in indices])] = np.concatenate(list(weights))
     return x
 
 
@@ -59,19 +63,22 @@ def augmented(pdf: pd.DataFrame, width: int) -> Iterator[tuple[pd.DataFrame, np.
 
 
 def _partial_grams(width: int):
-    """Per task: rows of the weighted Gram matrix of each model met."""
+    """Per task: rows of the weighted Gram matrix of each model met, from the diagonal on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, total = None, None
 
         def emit():
-            keep = np.flatnonzero(np.abs(total).sum(axis=1))
-            return pd.DataFrame({"model": model, "i": keep, "row": list(total[keep])})
+            keep = np.flatnonzero(total.diagonal())
+            return pd.DataFrame({"model": model, "i": keep, "row": [total[i, i:] for i in keep]})
 
         for pdf in batches:
             for m, rows in pdf.groupby("model", sort=True):
                 for part, a in augmented(rows, width):
-                    g = (a * part["weight"].to_numpy()[:, None]).T @ a
+                    weight = part["weight"].to_numpy()
+                    if (weight != 1).any():
+                        a = a * np.sqrt(weight)[:, None]
+                    g = a.T @ a  # of a matrix and itself: half the work
                     if m != model:
                         if model is not None:
                             yield emit()
@@ -84,21 +91,49 @@ def _partial_grams(width: int):
     return run
 
 
-def weighted_grams(rows: DataFrame, width: int, n_targets: int, salts: int) -> DataFrame:
-    """(model, i, row): summed Gram rows of (model, weight, idx, val, ys, ordinal)."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ordinal"), F.lit(salts)))
-    partial = (
-        salted.repartition("model", "_salt").sortWithinPartitions("model")
-        .select("model", "weight", "idx", "val", "ys")
-        .mapInPandas(_partial_grams(width), "model int, i int, row array<double>")
-    )
+def _summed(partial: DataFrame) -> DataFrame:
     summed = partial.groupBy("model", "i").agg(Summarizer.sum(array_to_vector("row")).alias("_v"))
     return summed.select("model", "i", vector_to_array("_v").alias("row"))
 
 
+def _grams(rows: DataFrame, width: int) -> DataFrame:
+    partial = rows.select("model", "weight", "idx", "val", "ys").mapInPandas(
+        _partial_grams(width), "model int, i int, row array<double>")
+    return _summed(partial)
+
+
+def weighted_grams(rows: DataFrame, width: int, salts: int) -> DataFrame:
+    """(model, i, row): summed Gram rows of (model, weight, idx, val, ys, ordinal)."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ordinal"), F.lit(salts)))
+    return _grams(salted.repartition("model", "_salt").sortWithinPartitions("model"), width)
+
+
+def member_grams(rows: DataFrame, n: int, models: int, width: int) -> DataFrame:
+    """(model, i, row): summed Gram rows of stored (idx, val, ys, weights), one weight for each model.
+
+    A task has one model's matrix and reads the rows that weigh in it.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # Two at least: Spark reads a union of single partitions in one task.
+    parts = max(2, min(-(-n // PART_ROWS), -(-2 * cores // models)))
+    each = [
+        rows.select(F.lit(m).alias("model"), F.col("weights")[m].alias("weight"), "idx", "val", "ys")
+        .filter("weight <> 0").coalesce(parts)
+        for m in range(models)
+    ]
+    return _grams(reduce(DataFrame.unionAll, each), width)
+
+
+def all_but(grams: DataFrame, models: int) -> DataFrame:
+    """Gram rows of each model's complement: the sums of the others."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(models - 1)), lambda m: m != F.col("model"))
+    return _summed(grams.select(F.explode(others).alias("model"), "i", "row"))
+
+
 def stack_gram(pdf: pd.DataFrame, width: int, n_targets: int) -> np.ndarray:
     gram = np.zeros((width + 1 + n_targets,) * 2)
-    gram[pdf["i"].to_numpy()] = np.stack(pdf["row"].to_numpy())
+    for i, row in zip(pdf["i"], pdf["row"]):
+        gram[i, i:] = gram[i:, i] = row
     return gram
 
 
@@ -106,6 +141,11 @@ def fit_weighted(
     rows: DataFrame, n: int, width: int, n_targets: int, targets: list[int], alpha: float,
 ) -> DataFrame:
     """Ridge fits per model id, one per listed target: MODEL_SCHEMA rows."""
+    return solved(weighted_grams(rows, width, -(-n // PART_ROWS)), width, n_targets, targets, alpha)
+
+
+def solved(grams: DataFrame, width: int, n_targets: int, targets: list[int], alpha: float) -> DataFrame:
+    """The ridge fits of summed Gram rows."""
 
     def table(model: int, fitted: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(
@@ -119,8 +159,6 @@ def fit_weighted(
         fitted = solve(stack_gram(pdf, width, n_targets), width, targets, alpha)
         return table(int(pdf["model"].iloc[0]), fitted)
 
-    salts = -(-n // PART_ROWS)
-    grams = weighted_grams(rows, width, n_targets, salts)
     return grams.groupBy("model").applyInPandas(from_gram, MODEL_SCHEMA)
 
 
@@ -183,10 +221,9 @@ def fit_by_loo(rows: DataFrame, n: int, width: int, n_targets: int, heads: int)
     vocabulary.
     """
 
-    salts = -(-n // PART_ROWS)
-    weighted = rows.select("*", F.lit(0).alias("model"), F.lit(1.0).alias("weight"))
     # One Gram matrix, its size fixed by the vocabulary, is decomposed once.
-    gram = stack_gram(weighted_grams(weighted, width, n_targets, salts).toPandas(), width, n_targets)
+    weighted = rows.withColumn("weights", F.array(F.lit(1.0)))
+    gram = stack_gram(member_grams(weighted, n, 1, width).toPandas(), width, n_targets)
     count, mean, v, s = _basis(gram, width)
     centres = np.array([gram[width, width + 1 + t] / count for t in range(heads)])
     xty = np.stack(

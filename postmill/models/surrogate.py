@@ -13,9 +13,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.models.features import Features, dot, example_texts, fit_with_counts, posting_texts
+from postmill.models.features import TOKENS, Features, dot, example_texts, fit_with_counts, posting_texts
 from postmill.models.index import scored
-from postmill.models.ridge import fit_by_loo, fit_weighted
+from postmill.models.ridge import all_but, fit_by_loo, member_grams, solved
 from postmill.operators.ranking import spearman, top_n, with_position
 from postmill.session import materialise
 
@@ -50,13 +50,25 @@ def bootstrap_weights(rows: DataFrame, n: int, models: int, seed: int, draw: Dra
     result repeats with the seed, and nothing is gathered. ``draw`` gives, for a
     member and a row, another whole number to draw by.
     """
+    drawn = _drawn(rows, n, models, seed, draw)
+    return drawn.groupBy("model", "ordinal").agg(F.count("*").cast("double").alias("weight"))
+
+
+def _drawn(rows: DataFrame, n: int, models: int, seed: int, draw: Draw | None) -> DataFrame:
+    """(model, ordinal) of every draw."""
     number = F.xxhash64(F.lit(seed), "model", "ordinal") if draw is None else draw(F.col("model"), F.col("ordinal"))
-    drawn = F.pmod(number, F.lit(n)).alias("ordinal")
     members = F.explode(F.sequence(F.lit(0), F.lit(models - 1))).alias("model")
-    return (
-        rows.select("ordinal", members).select("model", drawn)
-        .groupBy("model", "ordinal").agg(F.count("*").cast("double").alias("weight"))
-    )
+    return rows.select("ordinal", members).select("model", F.pmod(number, F.lit(n)).alias("ordinal"))
+
+
+def with_draws(rows: DataFrame, n: int, models: int, seed: int, draw: Draw | None = None) -> DataFrame:
+    """Rows that any member draws, with ``weights``: how often each does, see ``bootstrap_weights``.
+
+    A row stays one row, however many members draw it.
+    """
+    times = F.array(*[F.count_if(F.col("model") == m).cast("double") for m in range(models)])
+    drawn = _drawn(rows, n, models, seed, draw).groupBy("ordinal").agg(times.alias("weights"))
+    return rows.join(drawn, "ordinal")
 
 
 def _clamp(c: Column) -> Column:
@@ -79,11 +91,9 @@ def _linear(row) -> Linear:
 
 @dataclass(frozen=True)
 class Surrogate:
-    """Fitted heads and the stored training rows the ensemble and metrics use."""
+    """Features and the stored training rows; models are fitted when first asked for."""
 
     features: Features
-    interest: Linear
-    fit: Linear
     rows: DataFrame
     n: int
     n_models: int
@@ -91,6 +101,20 @@ class Surrogate:
     max_chars: int | None
     draw: Draw | None = None
 
+    @cached_property
+    def heads(self) -> tuple[Linear, Linear]:
+        found = fit_by_loo(self.rows, self.n, self.features.size, 3, 2).sort_values("target")
+        interest, fit = (_linear(r) for r in found.itertuples())
+        return interest, fit
+
+    @property
+    def interest(self) -> Linear:
+        return self.heads[0]
+
+    @property
+    def fit(self) -> Linear:
+        return self.heads[1]
+
     # --- prediction ---------------------------------------------------------
 
     def _featured(self, postings: DataFrame) -> DataFrame:
@@ -117,8 +141,7 @@ class Surrogate:
 
     def predict_indexed(self, index: DataFrame) -> DataFrame:
         """``predict`` of postings from their term index."""
-        heads = (self.interest, self.fit)
-        p = scored(index, self.features, [h.weights for h in heads], [h.intercept for h in heads])
+        p = scored(index, self.features, [h.weights for h in self.heads], [h.intercept for h in self.heads])
         return p.select("hash", F.sqrt(_clamp(F.col("p")[0]) * _clamp(F.col("p")[1])).alias("surrogate_score"))
 
     def disagreement_indexed(self, index: DataFrame) -> DataFrame:
@@ -132,15 +155,14 @@ class Surrogate:
     def by_disagreement(self, postings: DataFrame, n: int) -> DataFrame:
         return top_n(self.disagreement(postings), "variance", n)
 
-    # --- ensemble and metrics, fitted when first asked for ------------------
+    # --- ensemble and metrics -----------------------------------------------
 
     @cached_property
     def ensemble(self) -> tuple[Linear, ...]:
-        draws = bootstrap_weights(self.rows, self.n, self.n_models, self.seed, self.draw)
-        weighted = draws.join(self.rows, "ordinal")
-        fitted = fit_weighted(
-            weighted, self.n, self.features.size, 3, [2], ENSEMBLE_ALPHA
-        ).collect()
+        drawn = with_draws(self.rows, self.n, self.n_models, self.seed, self.draw)
+        weighted = materialise(drawn.select("idx", "val", "ys", "weights"), "weighted")
+        grams = member_grams(weighted, self.n, self.n_models, self.features.size)
+        fitted = solved(grams, self.features.size, 3, [2], ENSEMBLE_ALPHA).collect()
         return tuple(_linear(r) for r in sorted(fitted, key=lambda r: r.model))
 
     @cached_property
@@ -148,16 +170,14 @@ class Surrogate:
         """(ordinal, target, prediction) with every row predicted by the other folds."""
         folds = min(FOLDS, self.n)
         rows = self.rows.withColumn("fold", fold_of(F.col("ordinal"), self.n, folds))
-        others = F.explode(F.filter(
-            F.sequence(F.lit(0), F.lit(folds - 1)), lambda m: m != F.col("fold")
-        )).alias("model")
-        training = rows.select("*", others).withColumn("weight", F.lit(1.0))
-        fitted = fit_weighted(
-            training, self.n, self.features.size, 3, [2], ENSEMBLE_ALPHA
-        ).collect()
+        # One matrix a fold; each model's is the sum of the other folds'.
+        own = F.array(*[(F.col("fold") == m).cast("double") for m in range(folds)])
+        grams = member_grams(rows.withColumn("weights", own), self.n, folds, self.features.size)
+        fitted = solved(all_but(grams, folds), self.features.size, 3, [2], ENSEMBLE_ALPHA).collect()
+        features = F.arrays_zip(F.col("idx").alias("i"), F.col("val").alias("w"))
         prediction = F.lit(None).cast("double")
         for row in fitted:
-            prediction = F.when(F.col("fold") == row.model, _linear(row).predict()).otherwise(prediction)
+            prediction = F.when(F.col("fold") == row.model, _linear(row).predict(features)).otherwise(prediction)
         return rows.select("ordinal", F.col("ys")[2].alias("target"), prediction.alias("prediction"))
 
     def cv_metrics(self) -> DataFrame:
@@ -190,8 +210,12 @@ def fit_surrogate(
     examples: DataFrame, order_by, n_models: int = MODELS, seed: int = 0,
     max_chars: int | None = None, draw: Draw | None = None, **features,
 ) -> Surrogate:
-    """Fit both heads on EXAMPLE rows taken in the order ``order_by``; for ``draw`` see ``bootstrap_weights``."""
-    placed = with_position(examples, order_by, "ordinal", start=0)
+    """Features and rows of EXAMPLE rows taken in the order ``order_by``; for ``draw`` see ``bootstrap_weights``.
+
+    Examples can also be given as their stored tokens with ``ordinal`` and both scores.
+    """
+    stored = set(TOKENS) <= set(examples.columns)
+    placed = examples if stored else with_position(examples, order_by, "ordinal", start=0)
     n = placed.count()
     if n == 0:
         raise ValueError("no training examples")
@@ -199,18 +223,17 @@ def fit_surrogate(
         F.col("interest_score") / F.lit(100.0), F.col("fit_score") / F.lit(100.0),
         combined_target("interest_score", "fit_score"),
     )
-    texts = example_texts(placed.withColumn("ys", ys), max_chars, ("ordinal", "ys"))
+    placed = placed.withColumn("ys", ys)
+    texts = placed.select("ordinal", "ys", *TOKENS) if stored else example_texts(placed, max_chars, ("ordinal", "ys"))
     fitted, counts = fit_with_counts(texts, **features)
     rows = materialise(
         fitted.transform(counts).select(
-            "ordinal", "ys", "features",
+            "ordinal", "ys",
             F.col("features")["i"].alias("idx"), F.col("features")["w"].alias("val"),
         ),
         "training",
     )
-    heads = fit_by_loo(rows, n, fitted.size, 3, 2).sort_values("target")
-    interest, fit = (_linear(r) for r in heads.itertuples())
-    return Surrogate(fitted, interest, fit, rows, n, n_models, seed, max_chars, draw)
+    return Surrogate(fitted, rows, n, n_models, seed, max_chars, draw)
 
 
 def agreement(examples: DataFrame, predicted: DataFrame) -> DataFrame:

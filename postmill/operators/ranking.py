@@ -42,6 +42,19 @@ def _offsets(parts: DataFrame, amount: Column) -> DataFrame:
     )
 
 
+def stored_in_order(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
+    """Rows sorted by range with what ``numbered`` needs; to be stored as they are."""
+    return df.orderBy(*_cols(order_by)).select(
+        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at"))
+
+
+def numbered(stored: DataFrame, name: str, start: int) -> DataFrame:
+    """The global row number of rows that were stored by ``stored_in_order``."""
+    offsets = F.broadcast(materialise(_offsets(stored, F.count("*")), "offsets"))
+    number = (F.col("_before") + F.col("_at") - F.col("_start") + start).cast("bigint").alias(name)
+    return stored.join(offsets, "_part").select(*[c for c in stored.columns if c not in ("_part", "_at")], number)
+
+
 def with_position(
     df: DataFrame, order_by: Sequence[Column | str], name: str = "position", start: int = 1,
     key: str | None = None,

@@ -14,7 +14,7 @@ from postmill.plans import views as v
 from postmill.plans.registry import query
 from postmill.plans.report_plans import PRIORITY
 from postmill.plans.text_plans import META_SQL, sql_match
-from postmill.session import materialise
+from postmill.session import materialise, sparing_disk
 
 STOP_SQL = ", ".join(f"'{w}'" for w in fe.STOP_WORDS)
 
@@ -350,6 +350,11 @@ def all_scores(spark, sf, p):
 
 
 def loop(spark, sf, warm: bool, **options):
+    with sparing_disk(spark):
+        return _loop(spark, sf, warm, **options)
+
+
+def _loop(spark, sf, warm: bool, **options):
     p = stored(spark, sf)
     universe, forced = select_universe(p, match.any_of([match.term("the"), match.term("de")]), match.term("avec"))
     before = learning.empty_training(spark)
@@ -358,7 +363,8 @@ def loop(spark, sf, warm: bool, **options):
             "hash", "title", "description", "company", "location", "team", "comp", "interest_score", "fit_score",
             F.lit(0).alias("round"), F.col("ord").alias("place"),
         )
-    label = learning.label_from_table(all_scores(spark, sf, p))
+    # Looked up in every round.
+    label = learning.label_from_table(materialise(all_scores(spark, sf, p), "scores"))
     return learning.active_learning(universe, forced, before, label, reference_text(spark, sf), seed=7, **options)
 
 

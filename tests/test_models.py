@@ -9,6 +9,7 @@ from postmill.models import features as fe
 from postmill.models import learning, ridge, surrogate
 from postmill.models.index import term_index
 from postmill.operators.ranking import with_position
+from postmill.session import sparing_disk
 from tests.rows import column, posting, postings
 
 WORDS = "data spark join window scan filter query table column shuffle".split()
@@ -339,3 +340,39 @@ def test_a_loop_fits_its_last_model_when_asked_and_writes_examples_once(spark, m
         init_num_exploit=6, init_learning_iters=0, n_models=2, meta_k=6, desc_k=9)
     assert out.training.count() == sum(n for name, n in written if name == "training") and not fits
     assert out.predictions.count() == universe.count() and out.metrics.count() == 1 and len(fits) == 1
+
+
+def test_members_weigh_rows_in_place(spark, model, monkeypatch):
+    """No row is copied for a member, and the heads are not fitted where only members are asked."""
+    drawn = surrogate.with_draws(model.rows, model.n, 4, 5).select("ordinal", "weights").collect()
+    assert len({r.ordinal for r in drawn}) == len(drawn) <= 24
+    got = {(m, r.ordinal): w for r in drawn for m, w in enumerate(r.weights) if w}
+    assert got == {(r.model, r.ordinal): r.weight for r in surrogate.bootstrap_weights(model.rows, model.n, 4, 5).collect()}
+    monkeypatch.setattr(surrogate, "fit_by_loo", lambda *a: pytest.fail("heads were fitted"))
+    fresh = surrogate.fit_surrogate(examples(spark, 24), ["ord"], n_models=2, seed=5, meta_k=6, desc_k=9)
+    assert len(fresh.ensemble) == 2
+
+
+def test_a_loop_stores_the_tokens_of_a_row_once(spark, monkeypatch):
+    written, write = [], fe.materialise
+
+    def materialise(df, name="table"):
+        out = write(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(fe, "materialise", materialise)
+    universe, scores = loop_rows(spark, 30), score_table(spark, [f"h{i:03d}" for i in range(30)])
+    out = learning.active_learning(
+        universe, universe.limit(4), learning.empty_training(spark), learning.label_from_table(scores), "data spark",
+        init_num_exploit=6, num_explore=3, num_exploit=3, init_learning_iters=2, n_models=2, meta_k=6, desc_k=9)
+    # Those of the universe, of the examples and of the reference.
+    assert sum(n for name, n in written if name == "tokens") == 30 + out.training.count() + 1
+
+
+def test_disk_is_spared_within_only(spark):
+    names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.parquet.compression.codec")
+    before = [spark.conf.get(n) for n in names]
+    with sparing_disk(spark):
+        assert [spark.conf.get(n) for n in names] == ["true", "zstd"]
+    assert [spark.conf.get(n) for n in names] == before
